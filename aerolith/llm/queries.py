@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import exact_dedup, mixing
+from aerolith.llm import exact_dedup, licenses, mixing
 from aerolith.llm.common import documents
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -55,12 +55,64 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("detections")
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _op9_sql() -> str:
+    rules = ",\n".join(
+        f"({r['id']}, {_sql_text(r['label'])}, {_sql_text(r['pattern'])}, [{', '.join(_sql_text(k) for k in r['keywords'])}], {r['priority']}, {r['confidence']})" for r in licenses.RULES
+    )
+    base = []
+    for phrase, label in licenses.BASE:
+        inner = _sql_text(f" {phrase.replace(' ', '  ')} ")
+        n = len(phrase.split(" "))
+        base.append(
+            f"SELECT doc_id, {_sql_text(label)} AS label, len(string_split(spaced, {inner})) - 1 AS n, (len(string_split(split_part(spaced, {inner}, 1), ' ')) - 1) // 2 AS s,"
+            f" n_words - (len(string_split(list_last(string_split(spaced, {inner})), ' ')) - 1) // 2 - {n} AS e FROM t WHERE contains(spaced, {inner})"
+        )
+    return f"""
+WITH rules(id, label, pattern, keywords, priority, confidence) AS (VALUES {rules}),
+n AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' ') AS norm FROM documents),
+t AS (SELECT doc_id, ' ' || replace(norm, ' ', '  ') || ' ' AS spaced, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS n_words FROM n),
+b AS ({' UNION ALL '.join(base)}),
+bases AS (SELECT doc_id, sum(n) AS n_base, min(s) AS first_word, max(e) AS last_word, list(label) AS labels FROM b GROUP BY doc_id),
+hits AS (
+  SELECT doc_id, rules.*, regexp_extract_all(spaced, pattern) AS found, string_split_regex(spaced, pattern) AS gaps
+  FROM t JOIN rules ON len(list_filter(keywords, lambda k: contains(spaced, ' ' || k || ' '))) > 0 WHERE regexp_matches(spaced, pattern)
+),
+places AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM hits),
+spans AS (
+  SELECT doc_id, id, label, priority, confidence,
+    (len(replace(array_to_string(gaps[1:i], '') || array_to_string(found[1:i-1], ''), ' ', '--')) - len(array_to_string(gaps[1:i], '') || array_to_string(found[1:i-1], ''))) // 2 AS s,
+    (len(replace(array_to_string(gaps[1:i], '') || array_to_string(found[1:i], ''), ' ', '--')) - len(array_to_string(gaps[1:i], '') || array_to_string(found[1:i], ''))) // 2 AS e
+  FROM places
+),
+kept AS (
+  SELECT * FROM spans a WHERE NOT EXISTS (
+    SELECT 1 FROM spans o WHERE o.doc_id = a.doc_id AND o.s <= a.s AND o.e >= a.e
+      AND (o.priority < a.priority OR (o.priority = a.priority AND (o.e - o.s > a.e - a.s OR (o.e - o.s = a.e - a.s AND o.id < a.id)))))
+),
+method AS (SELECT doc_id, list(label) AS labels, max(confidence) AS score FROM kept GROUP BY doc_id)
+SELECT t.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(bases.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(bases.labels, []), coalesce(method.labels, [])))), ',') AS labels,
+  CAST(coalesce(method.score, 0) AS DOUBLE) AS score
+FROM t LEFT JOIN bases ON bases.doc_id = t.doc_id LEFT JOIN method ON method.doc_id = t.doc_id
+"""
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op9_license_scan": op9_license_scan,
 }
 
-_ORACLE = {"op2_exact_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL}
+_ORACLE = {"op2_exact_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_license_scan": _op9_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
