@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -43,6 +44,14 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def extended(schema: T.StructType, **columns: str) -> T.StructType:
+    """A copy of schema with more columns, given as name=type."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, kind)
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -115,7 +115,7 @@ def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_winners(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of docs that stay, all columns, one for each distinct text."""
     heavy = F.broadcast(common.spill(heavy_winners(digest_table(docs, counters), counters).withColumnsRenamed({"digest": "__digest", "keep_id": "__keep_id"}).drop("group_size"), "heavy")[0])
-    rows = docs.mapInArrow(_with_digest, docs.schema.add("__digest", "binary"))
+    rows = docs.mapInArrow(_with_digest, common.extended(docs.schema, __digest="binary"))
     order = Window.partitionBy("__digest").orderBy(F.col("doc_id").desc_nulls_last())
     light = rows.join(heavy.select("__digest"), "__digest", "left_anti").withColumn("__n", F.row_number().over(order)).filter("__n = 1")
     hot = rows.join(heavy, "__digest").filter(F.col("doc_id").eqNullSafe(F.col("__keep_id")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import exact_dedup, licenses, mixing
+from aerolith.llm import exact_dedup, language_id, licenses, mixing
 from aerolith.llm.common import documents
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -24,6 +24,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -108,6 +112,7 @@ FROM t LEFT JOIN bases ON bases.doc_id = t.doc_id LEFT JOIN method ON method.doc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op9_license_scan": op9_license_scan,
 }
