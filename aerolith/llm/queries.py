@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import exact_dedup, language_id, licenses, mixing
+from aerolith.llm import exact_dedup, language_id, licenses, line_crf, mixing, quality_grade
 from aerolith.llm.common import documents
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -59,6 +59,14 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_grade.grade(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("detections")
 
@@ -114,6 +122,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
+    "op7_line_quality": op7_line_quality,
+    "op8_quality_grade": op8_quality_grade,
     "op9_license_scan": op9_license_scan,
 }
 
