@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import exact_dedup, language_id, licenses, line_crf, mixing, quality_grade
+from aerolith.llm import exact_dedup, language_id, licenses, line_crf, mixing, packing, quality_grade
 from aerolith.llm.common import documents
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -59,6 +59,10 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -122,6 +126,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_line_quality": op7_line_quality,
     "op8_quality_grade": op8_quality_grade,
     "op9_license_scan": op9_license_scan,
