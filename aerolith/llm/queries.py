@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import exact_dedup, language_id, licenses, line_crf, mixing, packing, quality_grade
+from aerolith.llm import exact_dedup, language_id, licenses, line_crf, mixing, packing, quality_grade, token_files
 from aerolith.llm.common import documents
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(documents(spark, sf_dir))
 
@@ -123,6 +127,7 @@ FROM t LEFT JOIN bases ON bases.doc_id = t.doc_id LEFT JOIN method ON method.doc
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
