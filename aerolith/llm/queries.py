@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import exact_dedup, language_id, licenses, line_crf, mixing, packing, quality_grade, token_files
+from aerolith.llm import exact_dedup, jaccard_join, language_id, licenses, line_crf, mixing, packing, quality_grade, token_files
 from aerolith.llm.common import documents
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -79,6 +79,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("detections")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(documents(spark, sf_dir))
+
+
 def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -135,6 +139,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_quality": op7_line_quality,
     "op8_quality_grade": op8_quality_grade,
     "op9_license_scan": op9_license_scan,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 _ORACLE = {"op2_exact_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_license_scan": _op9_sql()}
