@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import exact_dedup, jaccard_join, language_id, licenses, line_crf, mixing, packing, quality_grade, token_files
+from aerolith.llm import exact_dedup, jaccard_join, language_id, licenses, line_crf, lm_scoring, mixing, packing, quality_grade, token_files
 from aerolith.llm.common import documents
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -28,6 +28,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -133,6 +137,7 @@ FROM t LEFT JOIN bases ON bases.doc_id = t.doc_id LEFT JOIN method ON method.doc
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op6_best_fit_packing": op6_best_fit_packing,
