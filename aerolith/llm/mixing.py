@@ -4,8 +4,9 @@ The size of a document is its number of words. Sources, sorted by code point wit
 null last, weigh 3, 1, 2, 3, 1, 2, ... and share ``share`` times all sizes; a target
 stops at ``ceiling`` times its source's size, and the excess goes by weight to the
 others until none is above. That fixed point is a water level: a source gets
-``min(ceiling * size, level * weight)``, and the level follows from prefix sums over
-the sources in the order in which they fill up.
+``min(ceiling * size, level * weight)``. With the sources in the order in which they fill
+up, prefix sums give the level that holds if exactly the first k are full; it rises with
+k while the next source is full too and falls afterwards, so that the largest is right.
 
 A source's repetition rate is target / size. Each document comes floor(rate) times,
 plus once more with probability rate - floor(rate), drawn from an MD5 of the seed and
@@ -56,7 +57,7 @@ def targets(sizes: DataFrame, share: float = SHARE, ceiling: float = CEILING) ->
         ranked.withColumn("weight", weight)
         .withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
         .withColumn("level", (F.col("total") - F.lit(ceiling) * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(after))
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.lit(ceiling) * F.col("source_size"), F.col("level"))).over(everything))
+        .withColumn("level", F.max("level").over(everything))
         .select("source", "source_size", F.least(F.lit(ceiling) * F.col("source_size"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
     )
 

@@ -53,7 +53,7 @@ WITH sized AS (
      - 2.0 * coalesce(CAST(sum(source_size) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0))
      / CAST(sum(weight) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
   FROM weighed
-), water AS (SELECT min(level) AS level FROM levels WHERE level * weight <= 2.0 * source_size),
+), water AS (SELECT max(level) AS level FROM levels),
 plan AS (
   SELECT source, source_size, least(2.0 * source_size, coalesce(water.level, 0) * weight) AS target FROM levels, water
 ), rated AS (
