@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm import common
-from aerolith.llm.tokenize import Encoder
+from aerolith.llm.tokenize import shared_encoder
 
 CAPACITY = 2048
 END = 0
@@ -47,7 +47,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _piece_pass(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])

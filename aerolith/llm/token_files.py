@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.llm import common, rans
-from aerolith.llm.tokenize import Encoder
+from aerolith.llm.tokenize import Encoder, shared_encoder
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -44,7 +44,7 @@ def _encode_pass(path: str, end: int):
     """A row of ids for each document, and a last row with the task's counts of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         counts = np.zeros(max(encoder.size, end + 1), np.int64)
         tail = np.array([end], encoder.dtype).tobytes()
         for batch in batches:

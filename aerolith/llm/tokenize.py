@@ -11,8 +11,11 @@ white space could make chunks depend on each other is encoded whole.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -20,6 +23,8 @@ MEMORY = 600_000
 #: Characters for which case, normal form and class are the same everywhere: printable ASCII and Latin-1 letters.
 _PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]*")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: By far the commonest chunks: a word, perhaps with one mark after it.
+_COMMON = re.compile(f"([{_LETTERS}]+)([!-/:-@]?)")
 #: Bytes of white space other than single spaces and line feeds (UTF-8, with some that only start like it).
 _OTHER_SPACE = (b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
@@ -33,14 +38,21 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memory(dict):
+    """Results by key. When half full, what it holds becomes the old generation; entries in use come back from there."""
+
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.old: dict = {}
 
     def __missing__(self, key):
-        if len(self) > MEMORY:
+        if len(self) >= MEMORY // 2:
+            self.old = dict(self)
             self.clear()
-        out = self[key] = self.make(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -57,6 +69,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.drops_space = spec.get("normalizer") is not None  # the kind with word ends: lower case, white space dropped
+        self.pack = "H" if self.width == 2 else "I"
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         mark = rf"[^\s{_LETTERS}0-9]+"
         parts = rf"[{_LETTERS}]+|[0-9]|{mark}" if self.drops_space else rf" ?[{_LETTERS}]+| ?[0-9]+| ?{mark}|\s+(?!\S)|\s+"
@@ -66,21 +79,32 @@ class Encoder:
         self.first = _Memory(self._word)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        out = array(self.pack, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return self._pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        if not piece.isascii() or piece[0] < "!":
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.model.tokenize(piece)])
 
     def whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, chunk: bytes) -> bytes:
         text = chunk.decode()
+        if self.drops_space and (common := _COMMON.fullmatch(text)):
+            word, mark = common.groups()
+            return self.pieces[word.lower()] + self.pieces[mark] if mark else self._piece(word.lower())
         if not _PLAIN.fullmatch(text):
             return self.whole(text)
         return b"".join([self.pieces[p] for p in self.split.findall(text.lower() if self.drops_space else text)])
 
     def _spaced(self, chunk: bytes) -> bytes:
+        if common := _COMMON.fullmatch(chunk.decode()):
+            word, mark = common.groups()
+            return self.pieces[" " + word] + self.pieces[mark] if mark else self._piece(" " + word)
         return self._word(b" " + chunk)
 
     def encode(self, text: bytes) -> bytes:
@@ -92,3 +116,9 @@ class Encoder:
             return self.whole(text.decode())
         head, *rest = text.split(b" ")
         return self.first[head] + b"".join(map(self.chunks.__getitem__, rest))
+
+
+@functools.lru_cache(maxsize=2)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process, so that what it remembers serves the next task too."""
+    return Encoder(path)
