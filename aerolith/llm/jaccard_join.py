@@ -14,6 +14,13 @@ first k + 1 of the other set too. So each set signs its first k + 1 non-empty pa
 it has fewer, it also signs the empty ones among its first k + 1 parts, which covers
 the pairs where both have few. Hence linked sets share a signature: no link is lost.
 
+Common shingles. Passages that many texts share would put all these texts into the same
+buckets. Leaving any set of shingles out of all sets brings no two sets further apart, so
+the parts are formed without shingles that are common in a sample (a sixteenth of the
+classes, ``MAX_COMMON`` shingles at most); a set that then has k non-empty parts or
+fewer signs these, and signs in full, under other names, for the pairs where both are so.
+Which shingles are left out changes the buckets, never the links.
+
 Verification. A signature's classes form a bucket. In a few star rounds each class is
 compared, set against set, with one leader out of its buckets; the links found merge
 classes, and buckets that are one component are done. In buckets left over all pairs
@@ -45,10 +52,14 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 STAR_ROUNDS = 3
 BROADCAST_IDS = 2_000_000
+SAMPLE = 16
+COMMON_IN_SAMPLE = 4
+MAX_COMMON = 1_000_000
 PART_BYTES = 48 << 20
 CACHE = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
+_ALL = (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,26 +107,45 @@ def parts_of(band: int) -> int:
     return max(4 * (1 << band) // 5, max(_bounds(s, band) for s in ((2 << band) - 1, top)) + 1)
 
 
-def signatures(found: np.ndarray) -> np.ndarray:
+def _parts(found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The non-empty parts of a set, in order, and a hash of the content of each."""
+    if not len(found):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    part = ((found >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return part[starts], np.add.reduceat(_mix(found ^ _Q), starts)
+
+
+def without(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A sorted set without the members of another."""
+    if not len(common):
+        return found
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    return found[common[at] != found]
+
+
+def signatures(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The signatures of a set, for its own band and for the one below if it may link to a smaller set there."""
     size = len(found)
     if not size:
         return np.zeros(0, np.uint64)
     own = size.bit_length() - 1
     bands = [own] + ([own - 1] if own and -(-size * NUMERATOR // DENOMINATOR) < 1 << own else [])
+    rare = without(found, common)
     out = []
     for band in bands:
         n, most = parts_of(band), _bounds(size, band)
-        part = ((found >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        content = np.add.reduceat(_mix(found ^ _Q), starts)
-        filled = part[starts]
+        name = (2 * band + 1) * int(_Q)
+        filled, content = _parts(rare, n)
+        out.append(_mix(content[: most + 1] + filled[: most + 1] * _P + np.uint64(name & _ALL)))
         if len(filled) <= most:
-            empty = np.setdiff1d(np.arange(most + 1, dtype=np.uint64), filled)
-            filled, content = np.concatenate([filled, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
-        else:
-            filled, content = filled[: most + 1], content[: most + 1]
-        out.append(_mix(content + filled * _P + np.uint64((band + 1) * int(_Q) & 0xFFFFFFFFFFFFFFFF)))
+            filled, content = _parts(found, n)
+            if len(filled) <= most:
+                empty = np.setdiff1d(np.arange(most + 1, dtype=np.uint64), filled)
+                filled, content = np.concatenate([filled, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
+            else:
+                filled, content = filled[: most + 1], content[: most + 1]
+            out.append(_mix(content + filled * _P + np.uint64((name + int(_Q)) & _ALL)))
     return np.concatenate(out)
 
 
@@ -141,25 +171,29 @@ def bitmap(found: np.ndarray) -> bytes:
 def _class_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for batch in batches:
-        sizes, keys = [], []
+        sizes, keys, sample, seen = [], [], [], set()
         for text in pc.cast(batch.column(1), pa.binary()).to_pylist():
             found = shingles(text, words)
             sizes.append(len(found))
             keys.append(class_key(found) if len(found) else None)
-        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n_shingles", "key"])
+            take = len(found) and keys[-1] % SAMPLE == 0 and keys[-1] not in seen
+            if take:
+                seen.add(keys[-1])
+            sample.append(found.astype(np.int64) if take else None)
+        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sample, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "sample"])
 
 
-def _signature_pass(parts: int):
+def _signature_pass(parts: int, shared):
     """Signatures and classes, packed together for each part of the signatures' range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words, common = _Words(), shared.value
         for batch in batches:
             done: dict[int, np.ndarray] = {}
             for text in pc.cast(batch.column(0), pa.binary()).to_pylist():
                 found = shingles(text, words)
                 if len(found) and (key := class_key(found)) not in done:
-                    done[key] = signatures(found)
+                    done[key] = signatures(found, common)
             if not done:
                 continue
             sigs = np.concatenate(list(done.values()))
@@ -219,8 +253,8 @@ def _set_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [[np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3)]
-        ok = np.array([linked(a, b) for a, b in zip(*sets, strict=True)], bool)
+        both = zip(batch.column(2), batch.column(3), strict=True)
+        ok = np.array([linked(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair)) for pair in both], bool)
         rows = batch.filter(pa.array(ok))
         yield pa.record_batch([rows.column(0), rows.column(1)], names=["a", "b"])
 
@@ -299,13 +333,17 @@ def link_components(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFram
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = common.spill(rows.mapInArrow(_class_pass, "doc_id long, n_shingles long, key long"), "classes")[0]
+    table = common.spill(rows.mapInArrow(_class_pass, "doc_id long, n_shingles long, key long, sample array<long>"), "classes")[0]
+    frequent = table.select(F.explode("sample").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    frequent = frequent.filter(F.col("n") >= COMMON_IN_SAMPLE).orderBy(F.desc("n"), "s").limit(MAX_COMMON).select("s").toArrow()
+    common_shingles = spark.sparkContext.broadcast(np.sort(frequent.column(0).to_numpy().astype(np.uint64)))
+    table = table.drop("sample")
     classes = table.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
     classes = common.spill(classes, "class-heads")[0]
 
     total = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     parts = max(common.shuffle_partitions(spark), -(-8 * int(total) // PART_BYTES))
-    dealt = rows.select("text").mapInArrow(_signature_pass(parts), "part int, sigs binary, keys binary").repartitionById(parts, F.col("part"))
+    dealt = rows.select("text").mapInArrow(_signature_pass(parts, common_shingles), "part int, sigs binary, keys binary").repartitionById(parts, F.col("part"))
     buckets, buckets_path = common.spill(dealt.mapInArrow(_bucket_pass, "sig long, key long"), "buckets")
 
     wanted = common.spill(buckets.select("key").distinct().join(classes, "key"), "wanted")[0]
