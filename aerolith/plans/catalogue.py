@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    return []
+    from aerolith.plans import flights
+
+    return [flights]
 
 
 def queries() -> dict:
