@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 #: Weights of the input quality score.
 QUALITY_WEIGHTS = {"blur": 0.28, "gps": 0.20, "texture": 0.15, "compression": 0.12, "exposure": 0.10, "shadow": 0.08, "illumination": 0.07}
-#: Terms of the uncertainty of a measurement, in percent.
-SCALE_TERM = {"HIGH": 1.0, "MODERATE": 2.5, "LOW": 5.0}
-GEOMETRY_TERM = {"HIGH": 0.5, "MODERATE": 1.5, "LOW": 3.0}
+#: Percent terms of the uncertainty of a measurement by confidence in depth and pose, and of the calibration.
+DEPTH_TERM = {"HIGH": 1.0, "MEDIUM": 1.5, "LOW": 2.5}
+POSE_TERM = {"HIGH": 0.5, "MEDIUM": 0.8, "LOW": 1.5}
+CALIBRATION_TERM = 0.3
 #: Ranks of roles.
-ROLE_RANK = {"VIEWER": 1, "ANALYST": 2, "OPERATOR": 3, "ADMIN": 4, "OWNER": 5}
+ROLE_RANK = {"VIEWER": 1, "ANALYST": 2, "OPERATOR": 3, "PROJECT_MANAGER": 4, "ORG_ADMIN": 5}
+#: Observation states.
+UNKNOWN, OBSERVED, PARTIAL, INFERRED, DYNAMIC, LOW_CONFIDENCE = range(6)
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
 
 
@@ -44,8 +47,8 @@ def quality_class(score: Column) -> Column:
 
 
 def observation_state(inferred: Column, confidence: Column, views: Column) -> Column:
-    """0 observed, 1 partial, 2 low confidence, 3 inferred; the first rule that holds, from the last."""
-    return F.when(inferred, 3).when(confidence < 0.30, 2).when(views < 2, 1).otherwise(0)
+    """The first rule that holds: inferred, low confidence, seen once, observed."""
+    return F.when(inferred, INFERRED).when(confidence < 0.30, LOW_CONFIDENCE).when(views < 2, PARTIAL).otherwise(OBSERVED)
 
 
 def positioning_mode(fixes: Column, frames: Column, rtk: Column, imu: Column) -> Column:
@@ -63,11 +66,11 @@ def pose_confidence(inliers: Column, residual: Column) -> Column:
     return F.least(F.lit(70.0), inliers / 1000 * 70) + F.greatest(F.lit(0.0), 30 - 3 * F.greatest(F.lit(0.0), residual - 5))
 
 
-def uncertainty(scale: Column, geometry: Column, surface: Column) -> Column:
-    """Root of the sum of squares of the scale, geometry and surface terms."""
-    look = lambda c, table: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), F.lit(max(table.values())))
-    a, b = look(scale, SCALE_TERM), look(geometry, GEOMETRY_TERM)
-    return F.sqrt(a * a + b * b + surface * surface)
+def uncertainty(depth: Column, pose: Column, inferred: Column) -> Column:
+    """Percent error of a length: root of the sum of squares of its terms, and more where over 15 % is inferred."""
+    look = lambda c, table: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), F.lit(table["HIGH"]))
+    a, b = look(depth, DEPTH_TERM), look(pose, POSE_TERM)
+    return F.sqrt(a * a + b * b + CALIBRATION_TERM**2) + F.greatest(F.lit(0.0), inferred - 15) * 0.05
 
 
 def iou(a: list[Column], b: list[Column]) -> Column:

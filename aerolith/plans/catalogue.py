@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from aerolith.plans import flights
+    from aerolith.plans import flights, scenes
 
-    return [flights]
+    return [flights, scenes]
 
 
 def queries() -> dict:

@@ -142,7 +142,7 @@ def project_detail(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS flight_id, c_custkey AS project_id, n_nationkey AS org_id FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 AND CASE o_orderstatus WHEN 'O' THEN 4 WHEN 'P' THEN 2 ELSE 1 END >= 2")
 def flight_access(spark: SparkSession, d: str) -> DataFrame:
-    flights = table(spark, d, "orders").select(F.col("o_orderkey").alias("flight_id"), F.col("o_custkey").alias("project_id"), F.when(F.col("o_orderstatus") == "O", "ADMIN").when(F.col("o_orderstatus") == "P", "ANALYST").otherwise("VIEWER").alias("role"))
+    flights = table(spark, d, "orders").select(F.col("o_orderkey").alias("flight_id"), F.col("o_custkey").alias("project_id"), F.when(F.col("o_orderstatus") == "O", "PROJECT_MANAGER").when(F.col("o_orderstatus") == "P", "ANALYST").otherwise("VIEWER").alias("role"))
     projects = table(spark, d, "customer").select(F.col("c_custkey").alias("project_id"), F.col("c_nationkey").alias("org_id"))
     orgs = table(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("org_id"))
     return relational.accessible(flights, projects, orgs, "ANALYST")
@@ -206,7 +206,7 @@ def positioning_mode(spark: SparkSession, d: str) -> DataFrame:
     return g.select("flight_id", rules.positioning_mode(F.col("n"), F.col("f"), F.col("rtk"), F.lit(False)).alias("mode"))
 
 
-@query("SELECT event_id, round_even(CASE WHEN event_type = 'purchase' THEN 0.02 ELSE 2 * coalesce(nullif(event_id % 5, 0), 2.0) END, 6) AS h, round_even(least(70, value / 1000 * 70) + greatest(0, 30 - 3 * greatest(0, event_id % 20 - 5)), 6) AS confidence, round_even(sqrt(1 + 0.25 + pow(event_id % 7 / 10, 2)), 6) AS uncertainty FROM events")
+@query("SELECT event_id, round_even(CASE WHEN event_type = 'purchase' THEN 0.02 ELSE 2 * coalesce(nullif(event_id % 5, 0), 2.0) END, 6) AS h, round_even(least(70, value / 1000 * 70) + greatest(0, 30 - 3 * greatest(0, event_id % 20 - 5)), 6) AS confidence, round_even(sqrt(1 + 0.25 + 0.09) + greatest(0, event_id % 30 - 15) * 0.05, 6) AS uncertainty FROM events")
 def pose_scores(spark: SparkSession, d: str) -> DataFrame:
     """Sigmas of fixes, pose confidence and measurement uncertainty."""
     i = F.col("event_id")
@@ -215,5 +215,5 @@ def pose_scores(spark: SparkSession, d: str) -> DataFrame:
         "event_id",
         F.bround(h, 6).alias("h"),
         F.bround(rules.pose_confidence(F.col("value"), (i % 20).cast("double")), 6).alias("confidence"),
-        F.bround(rules.uncertainty(F.lit("HIGH"), F.lit("HIGH"), (i % 7) / 10), 6).alias("uncertainty"),
+        F.bround(rules.uncertainty(F.lit("HIGH"), F.lit("HIGH"), (i % 30).cast("double")), 6).alias("uncertainty"),
     )
