@@ -33,10 +33,10 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
 def _small(spark: SparkSession, d: str) -> DataFrame:
     """Distinct places with an id, thinned out, for neighbour searches."""
     o = _observations(spark, d).filter("l_linenumber = 1 and frame % 5 = 0")
-    return o.groupBy("x", "y", "z").agg(F.min("l_orderkey").alias("id"))
+    return o.select("x", "y", "z", (F.col("x") * 1000000 + F.col("y") * 1000 + F.col("z")).cast("long").alias("id")).distinct()
 
 
-_SMALL = f"(SELECT x, y, z, min(l_orderkey) AS id FROM {OBS} WHERE l_linenumber = 1 AND frame % 5 = 0 GROUP BY x, y, z)"
+_SMALL = f"(SELECT DISTINCT x, y, z, CAST(x * 1000000 + y * 1000 + z AS BIGINT) AS id FROM {OBS} WHERE l_linenumber = 1 AND frame % 5 = 0)"
 
 
 @query(f"""
