@@ -1,0 +1,390 @@
+"""Each operator against a brute-force version, and the special cases of the pipeline's stages."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from aerolith.llm import exact_dedup, jaccard_join, language_id, licenses, line_crf, lm_scoring, mixer, mixing, packing, quality_grade, rans, token_files
+from aerolith.llm.tokenize import Encoder
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["a", "b", " ", "  ", "\n", " \n", "\n ", "'s", "'ll", "don't", "É", "é", "ß", "İ", "K", "1", "23", "!", "...", "\t", "日本", "é", "🙂", "<|endoftext|>", "\x00", "\x1c", " ", "½", "_"]
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, lang, src, len(t or "")) for i, t, lang, src in rows], COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    syllables = {"en": ["the", "an", "ing", "er", "on", "sh"], "fr": ["que", "é", "eau", "ou", "le"], "de": ["sch", "ung", "ä", "ein", "zu"]}
+    out = [(0, None, None, None), (1, "", "en", "s0"), (2, "  \n ", "en", "s0"), (3, "A", "en", None), (4, "a", "en", "s1"), (5, "12 34 ##", "en", "s1")]
+    for i in range(6, 90):
+        lang = ("en", "fr", "de")[i % 3]
+        words = ["".join(rng.choices(syllables[lang], k=rng.randint(1, 3))) for _ in range(rng.randint(3, 120))]
+        out.append((i, " ".join(words), lang, f"s{i % 4}"))
+    long = " ".join("".join(rng.choices(syllables["en"], k=3)) for _ in range(6000))
+    out += [(90, long, "en", "s2"), (91, long.upper(), "en", "s2"), (92, out[10][1], "fr", "s3"), (93, out[10][1] + " more", "fr", "s3")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return documents(spark, rows)
+
+
+def crc(value):
+    return zlib.crc32(("" if value is None else str(value)).encode())
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_library(name):
+    import public_tokenizers
+
+    encoder, rng = Encoder(public_tokenizers.path(name)), random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice(ODD) for _ in range(rng.randint(0, 12)))
+        assert encoder.encode(text.encode()) == encoder.whole(text), repr(text)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 64, 1000, 300_000])
+def test_rans_round_trip(n):
+    ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 49000).astype(np.int64)
+    table = rans.Table.unpack(rans.Table.from_counts(np.bincount(ids, minlength=49408)).pack())
+    blob = rans.encode_segment([3, None], [n - n // 2, n // 2], ids, table)
+    keys, lengths, back = rans.decode_segment(blob, table)
+    assert keys == [3, None] and lengths.sum() == n and (back == ids).all()
+    if n:
+        entry, body = rans.encode_block(ids[: rans.BLOCK], table)
+        marks = rans._BLOCK.unpack(entry)[3]
+        assert (rans.decode_block(entry, memoryview(body), table, range(marks + 1)) == ids[: rans.BLOCK]).all()
+
+
+def test_rans_notices_damage():
+    ids = np.arange(5000) % 50
+    table = rans.Table.from_counts(np.bincount(ids))
+    entry, body = rans.encode_block(ids, table)
+    damaged = bytearray(body)
+    damaged[-9] ^= 1
+    with pytest.raises(ValueError):
+        rans.decode_block(entry, memoryview(bytes(damaged)), table)
+
+
+def test_token_files(docs, rows):
+    import public_tokenizers
+
+    got = sorted(token_files.write_and_read(docs).collect(), key=lambda r: r["start"])
+    encoder, at = Encoder(public_tokenizers.path(token_files.VOCABULARY)), 0
+    for r, (doc_id, text, _, _) in zip(got, sorted(rows), strict=True):
+        ids = np.frombuffer(encoder.whole(text or ""), encoder.dtype).tolist() + [1]
+        assert tuple(r)[:4] == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_exact_dedup(spark, docs, rows):
+    groups = {}
+    for doc_id, text, _, _ in rows:
+        groups.setdefault((text or "").encode().lower(), []).append(doc_id)
+    for counters in (2, 256):
+        got = {r["doc_id"]: r for r in exact_dedup.mark_duplicates(docs, counters).collect()}
+        assert len(got) == len(rows)
+        for text, ids in groups.items():
+            for i in ids:
+                assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"], got[i]["text_sha256"]) == (max(ids), len(ids), i == max(ids), exact_dedup.digest_of(text).hex())
+        kept = exact_dedup.keep_winners(docs.withColumn("digest", F.lit(1)), counters)
+        assert kept.columns == [*docs.columns, "digest"] and sorted(r["doc_id"] for r in kept.collect()) == sorted(max(v) for v in groups.values())
+
+
+def test_misra_gries_bound():
+    rng, k = random.Random(5), 8
+    items = [rng.choice("abcdefghijklmnopqrstuvwxyz" + "a" * 12) for _ in range(4000)]
+    summary, lost = Counter(), 0
+    for at in range(0, len(items), 100):
+        lost += exact_dedup.merge_summary(summary, Counter(items[at : at + 100]), k)
+    truth = Counter(items)
+    assert len(summary) <= k and lost <= len(items) / (k + 1)
+    assert all(truth[x] - lost <= summary[x] <= truth[x] for x in truth)
+
+
+def _water(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, left, free = {}, 1.5 * sum(sizes.values()), set(order)
+    while True:
+        total = sum(weight[s] for s in free)
+        full = {s for s in free if left * weight[s] / total > 2 * sizes[s]} if total else set()
+        if not full:
+            return target | {s: left * weight[s] / total for s in free}
+        for s in full:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        free -= full
+
+
+def test_mixing(docs, rows):
+    sizes = Counter()
+    for _, text, _, source in rows:
+        sizes[source] += len((text or "").split())
+    want = _water(sizes)
+    report = {r["doc_id"]: r for r in mixing.mix_report(docs).collect()}
+    for doc_id, text, _, source in rows:
+        r = report[doc_id]
+        assert r["size"] == len((text or "").split()) and r["source_size"] == sizes[source]
+        assert r["target"] == pytest.approx(want[source]) and r["taken"] in (0, r["size"], 2 * r["size"])
+    assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    copies = Counter(r["doc_id"] for r in mixing.mix(docs, broadcast_rows=0).collect())
+    assert all(copies[i] * r["size"] == r["taken"] for i, r in report.items())
+
+
+def test_language_id(docs, rows):
+    got = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    for doc_id, text, lang, _ in rows:
+        r = got[doc_id]
+        assert r["held_out"] == (crc(doc_id) % 4 == 2) and 0 <= r["score"] <= 1
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif len(text) > 40:
+            assert r["lang_pred"] == lang
+    assert {r["doc_id"] for r in language_id.keep_identified(docs).collect()}.isdisjoint({0, 1, 2, 5})
+
+
+def test_ppm_code_lengths():
+    """Costs against a direct evaluation of escapes and exclusions; each context's probabilities add up to 1."""
+    text = b"abracadabra abrakadabra" * 3
+    padded = b"\n" * language_id.ORDER + text
+    grams = Counter(int.from_bytes(padded[i : i + 4], "big") for i in range(len(text)))
+    keys = np.array(sorted(grams))
+    model = language_id.Model(["x"], {"x": (keys, np.array([grams[k] for k in keys]))})
+
+    def bits(context, symbol):
+        excluded, cost = set(), 0.0
+        for order in range(language_id.ORDER, -1, -1):
+            ctx = context[len(context) - order :]
+            counts = Counter(padded[i + 3] for i in range(len(text)) if padded[i + 3 - order : i + 3] == ctx)
+            counts = {s: n for s, n in counts.items() if s not in excluded}
+            if not counts:
+                continue
+            total = sum(counts.values()) + len(counts)
+            if symbol in counts:
+                return cost - math.log2(counts[symbol] / total)
+            cost -= math.log2(len(counts) / total)
+            excluded |= set(counts)
+        return cost + math.log2(256 - len(excluded))
+
+    for context in (b"bra", b"aka", b"zzz", b"zab"):
+        got = [float(model.bits([(context, bytes([s]))])[0, 0]) for s in range(256)]
+        assert got == pytest.approx([bits(context, s) for s in range(256)], abs=1e-3)
+
+
+def test_lm_scoring(docs, rows):
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs).collect()}
+    words = {i: (t or "").encode().lower().split() for i, t, _, _ in rows}
+    train = [i for i in words if crc(i) % 5 != 1]
+    counts = Counter(w for i in train for w in words[i])
+    n, v = sum(counts.values()) + len(train), len(counts) + 1
+    assert len(got) == len(rows)
+    for i, t in words.items():
+        base = sum(math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in [*(counts[w] for w in t), len(train)])
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (crc(i) % 5 == 1, len(t) + 1, sum(w in counts for w in t) + 1, n)
+        assert r["base_score"] == pytest.approx(base) and r["score"] < 0
+    assert got[90]["score"] == pytest.approx(got[91]["score"])
+
+
+def test_mixer_does_not_depend_on_neighbours():
+    texts = [b"abc abd " * 20, b"", b"zz", bytes(range(256)) * 4]
+    keys, n = zip(*[mixer.triple_counts(s, c) for s, c, _ in mixer.pieces(texts)], strict=True)
+    trees = mixer.Trees(np.concatenate(keys).astype(np.int64), np.concatenate(n))
+    counts = [np.zeros(2 << b, np.uint32) for b in mixer.TABLE_BITS]
+    mixer.slot_counts(texts, trees, counts)
+    model = mixer.Mixer(trees, [mixer.log_odds(c[0::2].astype(float), c[1::2].astype(float)) for c in counts])
+    together = model.score(texts)
+    assert together == pytest.approx([model.score([t])[0] for t in texts]) and (together < 0).all()
+
+
+def test_packing(docs, rows):
+    import public_tokenizers
+
+    got = packing.pack(docs, capacity=64).collect()
+    encoder = Encoder(public_tokenizers.path(packing.VOCABULARY))
+    for doc_id, text, _, _ in rows:
+        ids = np.frombuffer(encoder.whole(text or ""), encoder.dtype).astype("<u4").tolist() + [0]
+        pieces = sorted((r for r in got if r["doc_id"] == doc_id), key=lambda r: r["piece"])
+        assert [r["piece"] for r in pieces] == list(range(len(pieces))) and sum(r["length"] for r in pieces) == len(ids)
+        assert all(r["length"] == 64 for r in pieces[1:])
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in pieces)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(sequences) <= 1.05 * sum(r["length"] for r in got) / 64 + 2
+
+
+def test_sum_of_squares_rule():
+    """Each choice against an evaluation of all sums."""
+    rng, bins = random.Random(2), packing.SumOfSquares(20)
+    for _ in range(400):
+        size, before = rng.randint(1, 20), bins.count.copy()
+        best = None
+        for gap in [g for g in range(size, 20) if before[g]] + [20]:
+            after = before.copy()
+            if gap < 20:
+                after[gap] -= 1
+            if gap - size:
+                after[gap - size] += 1
+            value = int((after[1:20].astype(object) ** 2).sum())
+            best = value if best is None else min(best, value)
+        bins.place(size)
+        assert int((bins.count[1:20].astype(object) ** 2).sum()) == best
+
+
+def test_base_rules():
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["ab ", "c", "é ", "#", "\n", "x y z ", "$ "]) for _ in range(rng.randint(0, 60)))
+        words = text.split()
+        windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if x.split()]
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
+        assert line_crf.base_rules(text.encode()) == want
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(1)
+    crf = line_crf.LineCrf()
+    crf.emit, crf.move, crf.start = rng.normal(size=crf.emit.shape), rng.normal(size=(2, 2)), rng.normal(size=2)
+    docs = [[sorted(rng.choice(line_crf.N_FEATURES, 4, replace=False).tolist()) for _ in range(n)] for n in (0, 1, 5, 3, 8)]
+    for rows, path in zip(docs, crf.viterbi(docs), strict=True):
+        def value(p, rows=rows):
+            return crf.start[p[0]] + sum(crf.emit[r, y].sum() for r, y in zip(rows, p, strict=True)) + sum(crf.move[a, b] for a, b in zip(p, p[1:], strict=False))
+
+        paths = [[k >> i & 1 for i in range(len(rows))] for k in range(1 << len(rows))]
+        if rows:
+            assert value(list(path)) == pytest.approx(max(map(value, paths)))
+
+
+def test_crf_gradient_learns():
+    docs = [[[0, 5], [0, 6], [0, 6]], [[0, 5], [0, 5]]] * 20
+    crf = line_crf.LineCrf().fit(docs, [[0, 1, 1], [0, 0]] * 20)
+    assert [p.tolist() for p in crf.viterbi(docs[:2])] == [[0, 1, 1], [0, 0]]
+
+
+def test_line_quality(spark):
+    rng = random.Random(6)
+    clean = lambda: ". ".join(" ".join(f"w{rng.randint(0, 500)}" for _ in range(12)) for _ in range(10)) + "."
+    junk = lambda: " ".join(f"W{rng.randint(0, 500)}!!" for _ in range(120))
+    made = [(i, (clean, junk)[i % 2](), i % 2) for i in range(100)]
+    docs = documents(spark, [(i, t, "en", "s") for i, t, _ in made] + [(900, None, None, None), (901, "", None, None)])
+    labels = spark.createDataFrame([(i, 1 - k, 0) for i, _, k in made if i < 80], "doc_id long, quality int, toxic int")
+    verdict = {r["doc_id"]: r for r in line_crf.judge(docs, labels).collect()}
+    assert all(verdict[i]["kept"] == (k == 0) for i, _, k in made) and not verdict[900]["kept"] and verdict[901]["base_failed"]
+
+
+def test_quality_grade_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string")) % 4 == 1
+    graded = quality_grade.grade(docs, labels.filter(~out))
+    share = graded.join(quality_grade.ratings(labels.filter(out)), "doc_id").groupBy("grade").agg(F.avg(F.col("selected").cast("int")).alias("kept"))
+    kept = {r["grade"]: r["kept"] for r in share.collect()}
+    assert kept[0] <= 0.02 and kept[1] <= 0.7 and kept[2] >= 0.93  # many toxic texts hold no word that sets them apart
+    none = quality_grade.grade(documents(spark, [(1, None, None, None), (2, "", None, None)]), labels.filter("false")).collect()
+    assert [r["expected_grade"] >= 0 for r in none] == [True, True]
+
+
+def test_licenses(spark):
+    cases = {
+        0: (None, 0, "", ""),
+        1: ("All rights reserved. all RIGHTS reserved", 2, "reserved", "reserved"),
+        2: ("under CC BY CC-BY 4.0 terms", 2, "cc-by", "cc-by"),
+        3: ("This is licensed under the GNU Lesser General Public License, version 2.1.", 1, "gpl", "gpl,lgpl"),
+        4: ("Licensed under the Apache License, Version 2.0 (the License)", 0, "", "apache"),
+        5: ("Permission is hereby granted, free of charge, to any person obtaining a copy", 0, "", "mit"),
+        6: ("a general publicity license", 0, "", ""),
+        7: ("éall rights reserved", 0, "", ""),
+    }
+    docs = documents(spark, [(i, c[0], None, None) for i, c in cases.items()]).withColumn("labels", F.lit("clash"))
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for i, (_, n, base, labels) in cases.items():
+        assert (got[i]["n_base"], got[i]["base_labels"], got[i]["labels"]) == (n, base, labels), i
+    assert (got[1]["first_word"], got[1]["last_word"], got[1]["n_words"]) == (0, 3, 6)
+    assert len(licenses.RULES) > 250
+
+
+def _brute_components(rows):
+    sets, parent = {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = list(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                lo, hi = sorted((find(a), find(b)))
+                parent[hi] = lo
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_jaccard_join(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(2000)]
+    passage = rng.choices(words, k=14)
+    rows = [(0, None), (1, ""), (2, "a"), (3, "A"), (4, "a b c d"), (5, "a b c d"), (6, "a b c e")]
+    for n in (5, 6, 7, 9, 12, 20, 40, 90, 200):
+        for _ in range(2):
+            base = passage + rng.choices(words, k=n) if n % 2 == 0 else rng.choices(words, k=n)
+            for _ in range(5):
+                t = list(base)
+                for _ in range(rng.randint(0, 1 + n // 30)):
+                    t[rng.randrange(len(t))] = rng.choice(words)
+                rows.append((len(rows), " ".join(t)))
+    for _ in range(60):  # many texts that share a passage and no more
+        rows.append((len(rows), " ".join(passage + rng.choices(words, k=25))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(0))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(docs).collect()}
+    want = _brute_components(rows)
+    assert got == want
+    kept = sorted(r["doc_id"] for r in jaccard_join.keep_one(docs).collect())
+    assert kept == sorted({c for _, c in want.values()})
+
+
+def test_linked_sets_share_a_signature():
+    rng, none = random.Random(9), np.zeros(0, np.uint64)
+    for _ in range(1500):
+        n = rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 30, 64, 100, 300])
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(rng.sample(sorted(a), n - rng.randint(0, n // 4))) | {rng.getrandbits(64) for _ in range(rng.randint(0, n // 6))}
+        a, b = (np.array(sorted(x), np.uint64) for x in (a, b))
+        if jaccard_join.linked(a, b):
+            for common in (none, a[: n // 3], np.unique(np.concatenate([a, b]))):
+                assert set(jaccard_join.signatures(a, common).tolist()) & set(jaccard_join.signatures(b, common).tolist())
+
+
+def test_empty_tables(spark):
+    empty, labels = documents(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for run in (exact_dedup.mark_duplicates, exact_dedup.keep_winners, mixing.mix_report, mixing.mix, language_id.identify, language_id.keep_identified, jaccard_join.link_components, jaccard_join.keep_one, packing.pack, token_files.write_and_read, licenses.scan, lm_scoring.score):
+        assert run(empty).count() == 0, run
+    assert line_crf.judge(empty, labels).count() == 0 and quality_grade.grade(empty, labels).count() == 0
+
+
+def test_pipeline(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"} and out.count() > 0
