@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from aerolith.plans import flights, scenes
+    from aerolith.plans import files, flights, scenes
 
-    return [flights, scenes]
+    return [flights, scenes, files]
 
 
 def queries() -> dict:
