@@ -68,7 +68,7 @@ def _scan(job: pd.DataFrame, fps: float, limits: tuple[float, float, float]) ->
     at = last + stride
     while at < n:
         moved = _haversine(spot, where[at]) if spot and at in where else None
-        if (at - last) / fps < seconds and (moved is None or moved < metres):
+        if at / fps - last / fps < seconds and (moved is None or moved < metres):
             at += stride
             continue
         recovered = bool(blur[at] < sharp and best_blur[at] > blur[at] and best[at] > last)
