@@ -16,15 +16,19 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return edges.join(lowest, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 
+def _pairs(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """u, v of several pairs of columns of each row, in one pass."""
+    return rows.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("p")).select("p.*")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _pairs(edges, ("u", "v"), ("v", "u"))
     return _lowest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    rows = _lowest(down)
-    return rows.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(rows.select("u", F.col("m").alias("v")))
+    return _pairs(_lowest(down), ("v", "m"), ("u", "m")).filter("u <> v")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,7 +44,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     for _ in range(MAX_STEPS):
         if not state[0]:
             break
-        after, new = common.spill(_small_star(_large_star(rows).distinct()).filter("u <> v").distinct(), "edges")
+        after, new = common.spill(_small_star(_large_star(rows).distinct()).distinct(), "edges")
         common.discard(spark, path)
         rows, path, before, state = after, new, state, _state(after)
         if state == before:

@@ -50,7 +50,7 @@ from aerolith.llm.components import components
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 BROADCAST_IDS = 2_000_000
 SAMPLE = 16
 COMMON_IN_SAMPLE = 4
@@ -275,9 +275,15 @@ def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _star(rows: DataFrame, turn: int) -> DataFrame:
-    """One pair for each class: with the leader that it meets in most of its buckets. Leaders change with the turn."""
-    order = F.xxhash64("key", F.lit(turn))
-    leaders = rows.groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("leader"), F.col("label").alias("other"))).alias("l")).select("sig", "l.leader", "l.other")
+    """One pair for each class: with the leader that it meets in most of its buckets.
+
+    A bucket is led by the class with most buckets, as a text that many others were made from shares more with them than
+    they share with one another; among equals, and in every second turn, a hash of the turn decides.
+    """
+    weight = rows.groupBy("key").agg(F.count(F.lit(1)).alias("w"))
+    central = F.lit(0) if turn % 2 else -F.col("w")
+    order = F.struct(central.alias("c"), F.xxhash64("key", F.lit(turn)).alias("h"))
+    leaders = rows.join(weight, "key").groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("leader"), F.col("label").alias("other"))).alias("l")).select("sig", "l.leader", "l.other")
     met = rows.join(leaders, "sig").filter("label <> other").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = met.groupBy("key").agg(F.max(F.struct("n", "leader")).alias("m"))
     return best.select(F.least("key", "m.leader").alias("a"), F.greatest("key", "m.leader").alias("b")).distinct()
