@@ -1,9 +1,12 @@
 """Every registered query against its SQL on the smallest tables, and what has none against fixtures."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from aerolith.plans import catalogue
@@ -19,10 +22,14 @@ def con():
     return con
 
 
+def text(v):
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
+        return ""
+    return str(float(v)) if isinstance(v, numbers.Number) and not isinstance(v, (bool, np.bool_)) else str(v)
+
+
 def canonical(frame):
-    frame = frame[sorted(frame.columns)]
-    rows = [tuple("" if v is None or v != v else str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row) for row in frame.itertuples(index=False)]
-    return sorted(rows)
+    return sorted(tuple(map(text, row)) for row in frame[sorted(frame.columns)].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
