@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import geodesy, rules
 from aerolith.operators import frames as fr
-from aerolith.operators import meshes, points, rasters, tracks
+from aerolith.operators import alignment, meshes, points, rasters, tracks
 from aerolith.plans.views import sql, table, view
 
 QUERIES: dict = {}
@@ -270,3 +270,22 @@ def accuracy(spark: SparkSession, d: str) -> DataFrame:
     o = _observations(spark, d).select(*[F.col(c).alias(f"e{c}") for c in ("x", "y", "z")], (F.col("x") + (F.col("l_orderkey") % 3) / 10).alias("rx"), (F.col("y") + (F.col("l_partkey") % 5) / 10).alias("ry"), (F.col("z") + (F.col("l_suppkey") % 7) / 10).alias("rz"))
     out = tracks.accuracy(o)
     return out.select(*[F.bround(c, 6).alias(c) for c in ("horizontal", "vertical", "spatial")], "on_target")
+
+
+@query("SELECT 2.0 AS scale, 0.0 AS r00, -1.0 AS r01, 1.0 AS r10, 10.0 AS tx, -5.0 AS ty, 3.0 AS tz")
+def similarity_fit(spark: SparkSession, d: str) -> DataFrame:
+    """A known transform (scale 2, a quarter turn, a shift) found again from pairs."""
+    o = _observations(spark, d)
+    pairs = o.select(*[F.col(c).alias(f"s{c}") for c in ("x", "y", "z")], (10 - 2 * F.col("y")).alias("tx"), (2 * F.col("x") - 5).alias("ty"), (2 * F.col("z") + 3).alias("tz"))
+    scale, r, t = alignment.umeyama(pairs)
+    return spark.createDataFrame([tuple(round(float(v), 6) + 0.0 for v in (scale, r[0, 0], r[0, 1], r[1, 0], *t))], "scale double, r00 double, r01 double, r10 double, tx double, ty double, tz double")
+
+
+@query("""
+WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 5 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n, lead(d) OVER (PARTITION BY a ORDER BY d, b) AS second FROM d)
+SELECT a, b, round_even(d, 5) AS d FROM n WHERE n = 1 AND d < 0.95 * second""")
+def descriptor_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest descriptors of the same label that are clearly nearer than the second; every fifth row asks."""
+    v = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return alignment.ratio_matches(v.filter("id % 5 = 0"), v, "label", 0.95).withColumn("d", F.bround("d", 5))

@@ -138,3 +138,13 @@ def test_event_normalisation(spark):
     raw = spark.createDataFrame([('{"job_id": "a", "stage": "POSE", "gpu_stats": {"utilization": 88.5}, "total_frames": 1000}',), ("not json",)], "raw string")
     got = [r["e"] for r in raw.select(progress.normalise(F.col("raw")).alias("e")).collect()]
     assert (got[0]["gpu_utilization"], got[0]["frames_total"], got[0]["raw"]) == (88.5, 1000, None) and got[1]["raw"] == "not json"
+
+
+def test_local_planes_and_identity(spark):
+    from aerolith.operators import alignment
+
+    flat = spark.createDataFrame([(1, float(i % 5), float(i // 5), 5.0) for i in range(25)], "id long, x double, y double, z double")
+    r = alignment.local_planes(flat, "id").first()
+    assert abs(r["nz"]) == pytest.approx(1) and r["curvature"] == pytest.approx(0)
+    few = spark.createDataFrame([(0.0,) * 6], ", ".join(f"{s}{c} double" for s in "st" for c in "xyz"))
+    assert alignment.umeyama(few)[0] == 1.0
