@@ -56,7 +56,9 @@ SAMPLE = 16
 COMMON_IN_SAMPLE = 4
 MAX_COMMON = 1_000_000
 PART_BYTES = 48 << 20
-CACHE = 400_000
+CACHE = 200_000
+#: Rows of an Arrow batch: of texts, and of pairs of sets.
+TEXT_ROWS, PAIR_ROWS = 2_000, 500
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _ALL = (1 << 64) - 1
@@ -263,7 +265,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, as a written table."""
     side = lambda c: sets.select(F.col("key").alias(c), F.col("found").alias(f"found_{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "found_a", "found_b")
-    return common.spill(rows.mapInArrow(_verify_pass, "a long, b long"), "links")[0]
+    with common.batch_rows(pairs.sparkSession, PAIR_ROWS):
+        return common.spill(rows.mapInArrow(_verify_pass, "a long, b long"), "links")[0]
 
 
 def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -337,6 +340,11 @@ def _rest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link_components(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
+    with common.batch_rows(docs.sparkSession, TEXT_ROWS):
+        return _link_components(docs, star_rounds)
+
+
+def _link_components(docs: DataFrame, star_rounds: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = common.spill(rows.mapInArrow(_class_pass, "doc_id long, n_shingles long, key long, sample array<long>"), "classes")[0]
