@@ -95,6 +95,52 @@ def statistical_inliers(points: DataFrame, key: str, k: int, size: float, ratio:
     return points.join(d.crossJoin(F.broadcast(limit)).filter(F.col("mean_d") <= F.col("limit")).drop("limit"), key)
 
 
+def _places(points: DataFrame) -> DataFrame:
+    """The distinct places of points and the number of points at each, which stand for one another in neighbour searches."""
+    return points.groupBy(*AXES).agg(F.count(F.lit(1)).alias("m"))
+
+
+def _near_places(open_places: DataFrame, places: DataFrame, radius: float) -> DataFrame:
+    """x, y, z, d, m for the places within radius of each open place; a point isn't among the m points at its own place."""
+    a = _around(open_places.select(*AXES), radius)
+    b = places.select("m", *[F.col(c).alias(f"o{c}") for c in AXES], *[cell(c, radius).alias(f"c{c}") for c in AXES])
+    d2 = sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in AXES[1:]), F.pow(F.col("x") - F.col("ox"), 2))
+    near = a.join(b, [f"c{c}" for c in AXES]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+    return near.select(*AXES, F.sqrt("d2").alias("d"), (F.col("m") - (F.col("d2") == 0).cast("long")).alias("m")).filter("m > 0")
+
+
+def dense_radius_inliers(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """Points with ``least`` other points within radius, where many may share a place; the pairs are those of places, not of points."""
+    places = _places(points)
+    counts = _near_places(places, places, radius).groupBy(*AXES).agg(F.sum("m").alias("neighbours")).filter(F.col("neighbours") >= least)
+    return points.join(counts, list(AXES))
+
+
+def dense_neighbour_distance(points: DataFrame, k: int, size: float, rings: int = 12) -> DataFrame:
+    """x, y, z and the mean distance of a point there to its k nearest others; as ``mean_neighbour_distance``, by places."""
+    places, done, radius = _places(points), None, size
+    open_places = places
+    w = Window.partitionBy(*AXES).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    for _ in range(rings):
+        taken = F.greatest(F.lit(0), F.least(F.col("m"), k - (F.sum("m").over(w) - F.col("m"))))
+        near = _near_places(open_places, places, radius).withColumn("taken", taken)
+        found = near.groupBy(*AXES).agg((F.sum(F.col("taken") * F.col("d")) / k).alias("mean_d"), F.sum("taken").alias("n")).filter(F.col("n") == k).drop("n")
+        found = found.checkpoint() if found.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else found.persist()
+        done = found if done is None else done.unionByName(found)
+        open_places = open_places.join(found, list(AXES), "left_anti")
+        if open_places.isEmpty():
+            return done
+        radius *= 2
+    return done.unionByName(open_places.select(*AXES, F.lit(None).cast("double").alias("mean_d")))
+
+
+def dense_statistical_inliers(points: DataFrame, k: int, size: float, ratio: float) -> DataFrame:
+    """As ``statistical_inliers`` over all points, where many may share a place."""
+    rows = points.join(dense_neighbour_distance(points, k, size), list(AXES))
+    limit = rows.agg((F.avg("mean_d") + ratio * F.stddev_pop("mean_d")).alias("limit"))
+    return rows.crossJoin(F.broadcast(limit)).filter(F.col("mean_d") <= F.col("limit")).drop("limit")
+
+
 def outside_boxes(points: DataFrame, boxes: list[tuple[float, ...]], classes: list[int]) -> DataFrame:
     """Points in none of the boxes (x0, y0, z0, x1, y1, z1), closed, and of none of the classes."""
     inside = F.lit(False)

@@ -82,6 +82,18 @@ def statistical_outliers(spark: SparkSession, d: str) -> DataFrame:
     return points.statistical_inliers(_small(spark, d), "id", 5, 4.0, 2.0).select("id", F.bround("mean_d", 6).alias("mean_d"))
 
 
+@query()
+def radius_outliers_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every observation with two others within 3; compared with brute force in the tests."""
+    return points.dense_radius_inliers(_observations(spark, d), 3.0, 2).select(*KEY, "neighbours")
+
+
+@query()
+def statistical_outliers_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every observation near its five nearest others; compared with brute force in the tests."""
+    return points.dense_statistical_inliers(_observations(spark, d), 5, 1.0, 2.0).select(*KEY, F.bround("mean_d", 6).alias("mean_d"))
+
+
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {OBS} WHERE NOT (x BETWEEN 10 AND 20 AND y BETWEEN 0 AND 5 AND z BETWEEN 0 AND 50) AND cls NOT IN (5, 6)")
 def box_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return points.outside_boxes(_observations(spark, d), [(10, 0, 0, 20, 5, 50)], [5, 6]).select(*KEY)
@@ -128,6 +140,27 @@ def raster_metadata(spark: SparkSession, d: str) -> DataFrame:
     return rasters.metadata(_sparse(spark, d), "z").withColumn("mean", F.bround("mean", 6))
 
 
+_GRID = f"(SELECT CAST(l_orderkey % 97 AS BIGINT) AS row, CAST(l_partkey % 89 AS BIGINT) AS col, min(z) AS z FROM {OBS} GROUP BY 1, 2)"
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of all observations."""
+    return _observations(spark, d).groupBy((F.col("l_orderkey") % 97).alias("row"), (F.col("l_partkey") % 89).alias("col")).agg(F.min("z").alias("z"))
+
+
+@query(f"""
+WITH c AS (SELECT * FROM {_GRID}), s AS (SELECT row + i AS row, col + j AS col, z FROM c, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE i <> 0 OR j <> 0)
+SELECT row, col, round_even(z, 6) AS z, false AS filled FROM c UNION ALL
+SELECT s.row, s.col, round_even(avg(s.z), 6), true FROM s ANTI JOIN c ON c.row = s.row AND c.col = s.col WHERE s.row BETWEEN (SELECT min(row) FROM c) AND (SELECT max(row) FROM c) AND s.col BETWEEN (SELECT min(col) FROM c) AND (SELECT max(col) FROM c) GROUP BY s.row, s.col""")
+def void_fill_whole(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.fill_voids(_grid(spark, d), "z").withColumn("z", F.bround("z", 6))
+
+
+@query(f"SELECT min(z) AS low, max(z) AS high, round_even(avg(z), 6) AS mean, count(z) AS valid, (max(row) + 1) * (max(col) + 1) - count(z) AS nodata FROM {_GRID}")
+def raster_metadata_whole(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.metadata(_grid(spark, d), "z").withColumn("mean", F.bround("mean", 6))
+
+
 _MASK = f"(SELECT DISTINCT CAST(frame % 4 AS INT) AS frame, CAST(l_orderkey % 61 AS BIGINT) AS v, CAST(l_partkey % 67 AS BIGINT) AS u FROM {OBS} WHERE cls = 7)"
 
 
@@ -259,6 +292,18 @@ def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return tracks.overlapping(boxes, "frame", "id", 0.3).select("a", "b", F.bround("iou", 6).alias("iou"))
 
 
+_ALL_BOXES = f"(SELECT row(l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS id, l_orderkey, l_linenumber, l_partkey % 50 AS x0, l_suppkey % 50 AS y0, l_partkey % 50 + 5 + l_linenumber AS x1, l_suppkey % 50 + 9 AS y1, frame, l_partkey FROM {OBS})"
+
+
+@query(f"WITH b AS (SELECT * FROM {_ALL_BOXES}), p AS (SELECT frame, a.l_orderkey AS a_orderkey, a.l_linenumber AS a_linenumber, a.l_partkey AS a_partkey, b.l_orderkey AS b_orderkey, b.l_linenumber AS b_linenumber, b.l_partkey AS b_partkey, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb FROM b a JOIN b USING (frame) WHERE a.id < b.id) SELECT * EXCLUDE (i, sa, sb), round_even(i / (sa + sb - i), 6) AS iou FROM p WHERE i / (sa + sb - i) >= 0.3")
+def box_overlaps_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps among the boxes of all lines; rows with equal keys are boxes of their own."""
+    o = _observations(spark, d).withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("x", "y", "z", "conf_pct")))
+    boxes = o.select(F.struct(*KEY, "copy").alias("id"), "frame", F.array(F.col("l_partkey") % 50, F.col("l_suppkey") % 50, F.col("l_partkey") % 50 + 5 + F.col("l_linenumber"), F.col("l_suppkey") % 50 + 9).alias("box"))
+    sides = [F.col(f"{side}.l_{c}").alias(f"{side}_{c}") for side in "ab" for c in ("orderkey", "linenumber", "partkey")]
+    return tracks.overlapping(boxes, "frame", "id", 0.3).select("frame", *sides, F.bround("iou", 6).alias("iou"))
+
+
 @query(f"SELECT count(*) AS pixels, count(DISTINCT frame) AS frames, round_even(avg(f), 6) AS mean_fraction, round_even(max(f), 6) AS max_fraction FROM (SELECT frame, avg(CASE WHEN cls >= 5 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY frame) AS f FROM {_PIX})")
 def contamination(spark: SparkSession, d: str) -> DataFrame:
     f = F.avg((F.col("cls") >= 5).cast("double")).over(Window.partitionBy("frame"))
@@ -289,3 +334,13 @@ def descriptor_matches(spark: SparkSession, d: str) -> DataFrame:
     """Nearest descriptors of the same label that are clearly nearer than the second; every fifth row asks."""
     v = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return alignment.ratio_matches(v.filter("id % 5 = 0"), v, "label", 0.95).withColumn("d", F.bround("d", 5))
+
+
+@query("""
+WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n, lead(d) OVER (PARTITION BY a ORDER BY d, b) AS second FROM d)
+SELECT a, b, round_even(d, 5) AS d FROM n WHERE n = 1 AND d < 0.95 * second""")
+def descriptor_matches_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As descriptor_matches, and every row asks."""
+    v = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return alignment.ratio_matches(v, v, "label", 0.95).withColumn("d", F.bround("d", 5))
