@@ -4,7 +4,8 @@ Both supported kinds split a text before merging, and never merge across a split
 that a text's ids are those of its chunks one after the other. A chunk's ids are kept
 in a bounded memory; a new chunk of plain letters, digits and marks goes piece by
 piece to the library's model, any other to the library's whole encoder. A text whose
-white space could make chunks depend on each other is encoded whole.
+white space could make chunks depend on each other is encoded whole, as is one that
+holds the string of an added token (such as ``<|endoftext|>``), which is one id there.
 
 ``encode`` returns the ids as little-endian unsigned integers of ``width`` bytes.
 """
@@ -61,13 +62,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.width = 2 if self.size <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or []]  # found in the text as it is, before the split
         self.drops_space = spec.get("normalizer") is not None  # the kind with word ends: lower case, white space dropped
         self.pack = "H" if self.width == 2 else "I"
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
@@ -108,6 +109,8 @@ class Encoder:
         return self._word(b" " + chunk)
 
     def encode(self, text: bytes) -> bytes:
+        if any(token in text for token in self.added):
+            return self.whole(text.decode())
         if self.drops_space:
             return b"".join(map(self.chunks.__getitem__, text.split()))
         if not text:
