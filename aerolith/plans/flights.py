@@ -60,13 +60,13 @@ SELECT flight_id, fixes, round_even(overall, 6) AS overall, CASE WHEN overall >=
 FROM o""")
 def flight_quality_report(spark: SparkSession, d: str) -> DataFrame:
     visual = {k: F.lit(float(v)) for k, v in {"blur": 70, "texture": 65, "compression": 45, "exposure": 80, "shadow": 75, "illumination": 90}.items()}
-    found = telemetry.trajectory_quality(view(spark, d, "telemetry")).filter("fixes >= 2")
+    found = telemetry.trajectory_quality(view(spark, d, "telemetry"))
     return rounded(telemetry.quality_report(found, visual).withColumn("warnings", F.array_join("warnings", ",")), "overall", "gps")
 
 
 @query(f"WITH {_TRAJECTORY} SELECT flight_id, fixes, round_even(max_gap, 6) AS max_gap, round_even(max_speed, 6) AS max_speed, round_even(avg_speed, 6) AS avg_speed, round_even(baseline, 6) AS baseline, round_even(height, 6) AS height, round_even(overlap, 6) AS overlap, round_even(continuity, 6) AS continuity, round_even(smoothness, 6) AS smoothness, round_even(overlap_score, 6) AS overlap_score FROM scores")
 def trajectory_metrics(spark: SparkSession, d: str) -> DataFrame:
-    found = telemetry.trajectory_quality(view(spark, d, "telemetry")).filter("fixes >= 2").drop("warnings")
+    found = telemetry.trajectory_quality(view(spark, d, "telemetry")).drop("warnings")
     return rounded(found, *[c for c in found.columns if c not in ("flight_id", "fixes")])
 
 
