@@ -11,12 +11,13 @@ score is that language's posterior probability under equal priors.
 
 As statistics are frozen, the code length of a byte depends on it and the ORDER bytes
 before it only. All of them are worked out once, into a table of costs for (context,
-byte, language) that is broadcast; a text is then a sum of look-ups.
+byte, language) that is broadcast, a block of languages at a time; a text is then a sum of look-ups.
 
 Bounds: the trees are fitted on about ``train_rows`` rows of each language, chosen by
-a hash of doc_id, and keep the ``max_grams`` commonest (ORDER + 1)-grams of each
-language; every row is scored on its whole text. Languages are held to
-``max_languages``, the most frequent first. Defined cases: null text, text without a
+a hash of doc_id, with all of their (ORDER + 1)-grams; every row is scored on its whole
+text. Every lang value is learned. Languages are dealt in order to blocks with cost tables
+of about ``BLOCK_CELLS`` cells; a text's shortest code and the sum over languages are carried
+from block to block, so that only one block is in memory. Defined cases: null text, text without a
 letter, or a table without any labelled row give ``und`` with score 0; ties go to the
 language that sorts first; a null doc_id counts as the text ''.
 """
@@ -36,8 +37,7 @@ from aerolith.llm import common
 UNDETERMINED = "und"
 ORDER = 3
 TRAIN_ROWS = 2_000
-MAX_GRAMS = 400_000
-MAX_LANGUAGES = 64
+BLOCK_CELLS = 1 << 26
 CHUNK_BYTES = 1 << 20
 _PAD = b"\n" * ORDER
 
@@ -151,23 +151,35 @@ class Model:
         return sums[starts + lengths] - sums[starts]
 
 
-def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, max_grams: int = MAX_GRAMS, max_languages: int = MAX_LANGUAGES) -> Model | None:
-    """Fit on docs (lang, text): about train_rows rows of each language, chosen by a hash of doc_id."""
+def _blocks(sizes: list[tuple[str, int]], block_cells: int) -> Iterator[list[str]]:
+    """Languages in ascending order, as many in a block as keep its table (contexts x bytes x languages) within block_cells; one at least."""
+    block, grams = [], 0
+    for lang, n in sorted(sizes):
+        if block and (grams + n) * 256 * (len(block) + 1) > block_cells:
+            yield block
+            block, grams = [], 0
+        block.append(lang)
+        grams += n
+    if block:
+        yield block
+
+
+def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, block_cells: int = BLOCK_CELLS) -> Iterator[Model]:
+    """A model for each block of languages, fitted on docs (lang, text): about train_rows rows of each language, chosen by a hash of doc_id."""
     labelled = docs.filter("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = [(r["lang"], min(1.0, train_rows / r["count"])) for r in labelled.groupBy("lang").count().collect()]
     if not counts:
-        return None
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, train_rows / r["count"]))]), F.col("lang"))
+        return
+    share = F.broadcast(docs.sparkSession.createDataFrame(counts, "lang string, share double"))  # a row for each language
     draw = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("double")
-    chosen = labelled.filter(F.col("lang").isin([r["lang"] for r in counts])).filter(draw < share).select("lang", "text")
+    chosen = labelled.join(share, "lang").filter(draw < F.col("share")).select("lang", "text")
     grams = chosen.mapInArrow(_gram_pass, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = common.spill(grams, "grams")[0]
-    found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for r in counts:  # a language at a time: max_grams rows at once on the driver
-        top = grams.filter(F.col("lang") == r["lang"]).select("gram", "n").orderBy(F.desc("n"), "gram").limit(max_grams).toPandas()
-        if len(top):
-            found[r["lang"]] = (top["gram"].to_numpy(), top["n"].to_numpy())
-    return Model(sorted(found), found) if found else None
+    # distinct contexts bound the rows of a language's table
+    contexts = grams.select("lang", F.shiftright("gram", 8).alias("c")).distinct().groupBy("lang").count()
+    for block in _blocks([tuple(r) for r in contexts.collect()], block_cells):
+        rows = grams.filter(F.col("lang").isin(block)).toPandas()
+        yield Model(block, {lang: (part["gram"].to_numpy(), part["n"].to_numpy()) for lang, part in rows.groupby("lang")})
 
 
 def _pieces(texts: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes, bytes]]]:
@@ -186,54 +198,75 @@ def _pieces(texts: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes, b
         yield out
 
 
-def classify(texts: list[bytes | None], letters: list[bool | None], model: Model | None) -> tuple[list[str], list[float]]:
-    """The language and score of each text."""
-    langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    if model is None:
-        return langs, scores
+def classify(texts: list[bytes | None], letters: list[bool | None], model: Model) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """Of each text the language with the shortest code, that code's length in bits, and the sum over languages of their likelihoods relative to its."""
+    langs: list[str | None] = [None] * len(texts)
     todo = [(i, t.lower()) for i, (t, ok) in enumerate(zip(texts, letters, strict=True)) if t is not None and ok]
     bits = np.zeros((len(texts), len(model.languages)))
     for part in _pieces(todo):
         np.add.at(bits, [row for row, _, _ in part], model.bits([piece for _, *piece in part]))
     best = bits.argmin(1)
-    posterior = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
+    least = bits.min(1)
+    mass = np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
     for i, _ in todo:
-        langs[i], scores[i] = model.languages[best[i]], float(posterior[i])
-    return langs, scores
+        langs[i] = model.languages[best[i]]
+    return langs, least, mass
+
 
+_STATE = ("__lang_pred", "__lang_bits", "__lang_mass")
 
-def _classify_column(column: pa.Array, model: Model | None) -> tuple[pa.Array, pa.Array]:
-    text = pc.cast(column, pa.string())
-    langs, scores = classify(pc.cast(text, pa.binary()).to_pylist(), pc.match_substring_regex(text, r"\p{L}").to_pylist(), model)
-    return pa.array(langs, pa.string()), pa.array(scores, pa.float64())
 
+def _block_pass(shared, first: bool):
+    """Batches with the state after one more block of languages; on a tie the earlier language stays."""
 
-def _appended(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = _classify_column(batch.column(batch.schema.get_field_index("text")), shared.value)
-            yield batch.append_column("__lang_pred", langs).append_column("__lang_score", scores)
+            text = pc.cast(batch.column(batch.schema.get_field_index("text")), pa.string())
+            langs, bits, mass = classify(pc.cast(text, pa.binary()).to_pylist(), pc.match_substring_regex(text, r"\p{L}").to_pylist(), shared.value)
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            if not first:
+                old_langs, old_bits, old_mass = (c.to_pylist() for c in columns[-3:])
+                old_bits, old_mass = np.array(old_bits), np.array(old_mass)
+                langs = [new if n < o else old for new, old, n, o in zip(langs, old_langs, bits, old_bits, strict=True)]
+                least = np.minimum(bits, old_bits)
+                mass = mass * np.exp2(np.maximum(least - bits, -1000)) + old_mass * np.exp2(np.maximum(least - old_bits, -1000))
+                bits, columns = least, columns[:-3]
+            names = [*batch.schema.names[: len(columns)], *_STATE]
+            yield pa.record_batch([*columns, pa.array(langs, pa.string()), pa.array(bits, pa.float64()), pa.array(mass, pa.float64())], names=names)
 
     return run
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with __lang_pred and __lang_score; only text is read for them."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_appended(shared), common.extended(docs.schema, __lang_pred="string", __lang_score="double"))
+def predict(docs: DataFrame, models: Iterator[Model]) -> DataFrame:
+    """docs with __lang_pred and __lang_score; only text is read for them. With several blocks the rows are written between them."""
+    spark, fields, rows, path = docs.sparkSession, docs.schema, docs, None
+    shared = None
+    for model in models:
+        if shared is not None:
+            rows, done = common.spill(rows, "languages")
+            shared.destroy()
+            if path:
+                common.discard(spark, path)
+            path = done
+        first, shared = shared is None, spark.sparkContext.broadcast(model)
+        rows = rows.mapInArrow(_block_pass(shared, first), common.extended(fields, __lang_pred="string", __lang_bits="double", __lang_mass="double"))
+    if shared is None:
+        return docs.select("*", F.lit(UNDETERMINED).alias("__lang_pred"), F.lit(0.0).alias("__lang_score"))
+    score = F.when(F.col("__lang_pred").isNull(), F.lit(0.0)).otherwise(1 / F.col("__lang_mass"))
+    return rows.select(*docs.columns, F.coalesce("__lang_pred", F.lit(UNDETERMINED)).alias("__lang_pred"), score.alias("__lang_score"))
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, **limits: int) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; rows of the held-out fold are never learned from."""
     out = fold(F.col("doc_id"), folds) == held_out
-    model = train(docs.filter(~out).select("doc_id", "text", "lang"), **limits)
-    rows = predict(docs.select("doc_id", "text"), model)
+    models = train(docs.filter(~out).select("doc_id", "text", "lang"), **limits)
+    rows = predict(docs.select("doc_id", "text"), models)
     return rows.select("doc_id", out.alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, languages: list[str] | None = None, min_score: float = 0.5, folds: int = 4, held_out: int = 2) -> DataFrame:
     """The rows of docs whose language was found with min_score at least, one of ``languages`` if these are given."""
     out = fold(F.col("doc_id"), folds) == held_out
-    model = train(docs.filter(~out).select("doc_id", "text", "lang"))
-    rows = predict(docs, model).filter((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= min_score))
+    models = train(docs.filter(~out).select("doc_id", "text", "lang"))
+    rows = predict(docs, models).filter((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= min_score))
     return (rows.filter(F.col("__lang_pred").isin(languages)) if languages else rows).select(*docs.columns)
