@@ -13,7 +13,8 @@ separators, repeated words, equality to an earlier line, legal and navigation wo
 It is fitted by gradient ascent on the conditional log-likelihood over the documents
 of the labels table: lines of low-quality documents that look unlike prose and lines
 repeated in a document are boilerplate, all others content. Bounds: about
-``train_rows`` labelled rows, chosen by a hash of doc_id; every row is scored on its
+``train_rows`` labelled rows, chosen by a hash of doc_id, and fewer of them if their texts
+hold over ``TRAIN_BYTES``; each is learned from whole, and every row is scored on its
 whole text. Defined cases: a null or empty text fails the rules; with no labelled row
 the weights are 0, and every line counts as content.
 """
@@ -36,7 +37,7 @@ MAX_REPEAT_PERCENT = 50
 
 MIN_CONTENT = 0.5
 TRAIN_ROWS = 3_000
-MAX_TRAIN_LINES = 400
+TRAIN_BYTES = 64 << 20
 EPOCHS = 150
 _BUCKETS = 6
 _RATIOS = ("upper", "digit", "marked", "separator", "run", "distinct")
@@ -214,17 +215,23 @@ class LineCrf:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> LineCrf:
-    """Fit on the first MAX_TRAIN_LINES lines of about train_rows labelled documents, chosen by a hash of doc_id."""
+    """Fit on all lines of about train_rows labelled documents, chosen by a hash of doc_id; on fewer of them if they hold over TRAIN_BYTES."""
     rated = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = rated.count()
     if not total:
         return LineCrf()
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lines")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rated.filter(draw < min(1.0, train_rows / total)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", F.col("text").cast("binary").alias("text")).toPandas()
-    rows = rows.sort_values("doc_id")
-    lines = [line_features(bytes(t or b""))[0][:MAX_TRAIN_LINES] for t in rows["text"]]
-    return LineCrf().fit(lines, [weak_labels(x, q) for x, q in zip(lines, rows["quality"], strict=True)])
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", F.col("text").cast("binary").alias("text"))
+    found, size = [], 0
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
+        size += len(r["text"] or b"")
+        if found and size > TRAIN_BYTES:
+            break
+        found.append((r["doc_id"], r["quality"], line_features(bytes(r["text"] or b""))[0]))
+    found.sort(key=lambda x: x[0])
+    lines = [x for _, _, x in found]
+    return LineCrf().fit(lines, [weak_labels(x, q) for _, q, x in found])
 
 
 def _judge_pass(shared, min_content: float):
