@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +35,35 @@ def spill(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
+    if _SPILLS:
+        _SPILLS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Paths written inside each open workspace, innermost last.
+_SPILLS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the tables written inside at its end. It gives a function that writes a result, which stays: a lazy one may read what is deleted."""
+    _SPILLS.append([])
+    kept: list[str] = []
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        table, path = spill(df, name)
+        kept.append(path)
+        return table
+
+    try:
+        yield result
+    finally:
+        written = _SPILLS.pop()
+        if _SPILLS:
+            _SPILLS[-1].extend(kept)
+        discard(spark, *(p for p in written if p not in kept))
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that no later result reads."""
     jvm = spark.sparkContext._jvm
@@ -54,6 +80,14 @@ def extended(schema: T.StructType, **columns: str) -> T.StructType:
     return out
 
 
+def unused(names: list[str], stem: str) -> str:
+    """A column name like stem that isn't among names, in any case of letters."""
+    taken = {n.lower() for n in names}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of this many rows at most for what is executed inside; the session's setting comes back afterwards."""

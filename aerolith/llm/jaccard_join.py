@@ -21,17 +21,30 @@ classes, ``MAX_COMMON`` shingles at most); a set that then has k non-empty parts
 fewer signs these, and signs in full, under other names, for the pairs where both are so.
 Which shingles are left out changes the buckets, never the links.
 
-Verification. A signature's classes form a bucket. In a few star rounds each class is
-compared, set against set, with one leader out of its buckets; the links found merge
-classes, and buckets that are one component are done. In buckets left over all pairs
-of classes of different components that a bitmap of their sets can't rule out are
-compared likewise. Each pair that shares a bucket is thus compared, ruled out exactly, or
-already connected, and components are exact without forming all pairs of a group.
-
-Shingles, classes and signatures are 64-bit hashes. Sets travel only for classes that
-share a bucket. Defined cases: null text is empty; documents without words have no
-shingles and are components of their own, as are rows without doc_id; repeated rows fall
-into one class; an empty table gives no rows; extra columns aren't read.
+Verification. A signature's classes form a bucket, and equal buckets are one. A bucket is
+led by the class that is in most buckets, as a text that many others were made from shares
+more with them than they share with one another; the classes of all buckets with one
+leader form a star. Each pair that shares a bucket is in one star at least. A star goes to
+one cell, where its classes are compared; a star that is too large for a cell is cut into
+tiles, and a cell compares two tiles:
+
+1. Large stars only: each class is compared with the leader. Classes linked to it are
+   connected already, so that only pairs with a class that isn't remain to be compared.
+2. Bitmaps of the sets rule out classes that can link to none in their star, exactly: two
+   bitmaps never differ in more bits than their sets do in shingles.
+3. The sets of the classes that remain are compared. A cell returns the links that span
+   its components, fewer than it has classes, and never pairs of candidates.
+
+Each pair that shares a bucket is thus compared, ruled out exactly, or connected through a
+leader, so that components are exact.
+
+Shingles, classes, signatures and buckets are 64-bit hashes. Sets travel only for classes
+that bitmaps can't rule out. Defined cases: null text is empty; a document without words
+has no shingles and is a component of its own; a row without doc_id links like any other,
+and gets the smallest doc_id of its component, null if there is none; repeated rows fall
+into one class; rows with one doc_id and different texts are each compared; a text of any
+length is one set; an empty table gives no rows; extra columns aren't read by
+``link_components`` and are carried by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,15 +63,17 @@ from aerolith.llm.components import components
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
-STAR_ROUNDS = 4
 BROADCAST_IDS = 2_000_000
 SAMPLE = 16
 COMMON_IN_SAMPLE = 4
 MAX_COMMON = 1_000_000
 PART_BYTES = 48 << 20
 CACHE = 200_000
-#: Rows of an Arrow batch: of texts, and of pairs of sets.
-TEXT_ROWS, PAIR_ROWS = 2_000, 500
+#: Rows of an Arrow batch: of texts, and of sets.
+TEXT_ROWS, SET_ROWS = 2_000, 250
+#: A tile's classes, and their shingles in all, at most (on average).
+TILE_ROWS, TILE_SHINGLES = 256, 1 << 18
+COLUMNS = 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _ALL = (1 << 64) - 1
@@ -217,8 +232,14 @@ def _signature_pass(parts: int, shared):
     return run
 
 
+def _in_company(s: np.ndarray) -> np.ndarray:
+    """Which members of a sorted array occur more than once."""
+    edge = s[1:] == s[:-1]
+    return np.concatenate([[False], edge]) | np.concatenate([edge, [False]]) if len(s) else np.zeros(0, bool)
+
+
 def _bucket_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sig, key of the signatures that more than one class has."""
+    """bucket, key of the signatures that more than one class has; a bucket is named by its classes."""
     sigs, keys = [], []
     for batch in batches:
         sigs += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
@@ -230,121 +251,222 @@ def _bucket_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys.clear()
     order = np.argsort(s, kind="stable")
     s, k = s[order], k[order]
-    edge = s[1:] == s[:-1]
-    shared = np.concatenate([[False], edge]) | np.concatenate([edge, [False]])
+    shared = _in_company(s)
     s, k = s[shared], k[shared]
     order = np.lexsort((k, s))
     s, k = s[order], k[order]
-    new = np.concatenate([[True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])]) if len(s) else np.zeros(0, bool)
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
     s, k = s[new], k[new]
-    edge = s[1:] == s[:-1]
-    shared = np.concatenate([[False], edge]) | np.concatenate([edge, [False]]) if len(s) else np.zeros(0, bool)
+    shared = _in_company(s)
     s, k = s[shared], k[shared]
-    for at in range(0, len(s), 1 << 16):
-        yield pa.record_batch([pa.array(s[at : at + (1 << 16)]), pa.array(k[at : at + (1 << 16)])], names=["sig", "key"])
+    if not len(s):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    count = np.diff(np.append(starts, len(s)))
+    names = _mix(np.add.reduceat(_mix(k.view(np.uint64)), starts) + count.astype(np.uint64) * _Q)
+    first = np.zeros(len(starts), bool)
+    first[np.unique(names, return_index=True)[1]] = True
+    rows = np.repeat(first, count)
+    bucket, k = np.repeat(names.view(np.int64), count)[rows], k[rows]
+    for at in range(0, len(k), 1 << 16):
+        yield pa.record_batch([pa.array(bucket[at : at + (1 << 16)]), pa.array(k[at : at + (1 << 16)])], names=["bucket", "key"])
 
 
-def _set_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
-    for batch in batches:
-        sets = [shingles(t, words) for t in pc.cast(batch.column(1), pa.binary()).to_pylist()]
-        own = [class_key(s) == k for s, k in zip(sets, batch.column(0).to_pylist(), strict=True)]  # not another text under the same doc_id
-        sets, keys = [s for s, ok in zip(sets, own, strict=True) if ok], batch.column(0).filter(pa.array(own, pa.bool_()))
-        yield pa.record_batch([keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["key", "n", "found", "bits"])
+def _set_pass(sketch: bool):
+    """key, n and the bitmap or the set of each text whose class is the one that it was sent for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), pc.cast(batch.column(1), pa.binary()).to_pylist(), strict=True):
+                found = shingles(text, words)
+                if len(found) and key in (None, own := class_key(found)):  # else another text under the same doc_id
+                    rows.append((own, len(found), bitmap(found) if sketch else found.tobytes()))
+            keys, n, data = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["key", "n", "data"])
+
+    return run
 
 
-def _verify_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one cell at a time; they come sorted by cell."""
+    carried: list[pa.RecordBatch] = []
     for batch in batches:
-        both = zip(batch.column(2), batch.column(3), strict=True)
-        ok = np.array([linked(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair)) for pair in both], bool)
-        rows = batch.filter(pa.array(ok))
-        yield pa.record_batch([rows.column(0), rows.column(1)], names=["a", "b"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, as a written table."""
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("found").alias(f"found_{c}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "found_a", "found_b")
-    with common.batch_rows(pairs.sparkSession, PAIR_ROWS):
-        return common.spill(rows.mapInArrow(_verify_pass, "a long, b long"), "links")[0]
-
-
-def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """sig, key, label of the buckets whose classes aren't one component yet."""
-    rows = buckets.join(roots.withColumnsRenamed({"node": "key", "root": "label"}), "key", "left").select("sig", "key", F.coalesce("label", "key").alias("label"))
-    rows = common.spill(rows, "labelled")[0]
-    mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    return common.spill(rows.join(mixed, "sig", "left_semi"), "mixed")[0]
-
-
-def _star(rows: DataFrame, turn: int) -> DataFrame:
-    """One pair for each class: with the leader that it meets in most of its buckets.
-
-    A bucket is led by the class with most buckets, as a text that many others were made from shares more with them than
-    they share with one another; among equals, and in every second turn, a hash of the turn decides.
-    """
-    weight = rows.groupBy("key").agg(F.count(F.lit(1)).alias("w"))
-    central = F.lit(0) if turn % 2 else -F.col("w")
-    order = F.struct(central.alias("c"), F.xxhash64("key", F.lit(turn)).alias("h"))
-    leaders = rows.join(weight, "key").groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("leader"), F.col("label").alias("other"))).alias("l")).select("sig", "l.leader", "l.other")
-    met = rows.join(leaders, "sig").filter("label <> other").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("key").agg(F.max(F.struct("n", "leader")).alias("m"))
-    return best.select(F.least("key", "m.leader").alias("a"), F.greatest("key", "m.leader").alias("b")).distinct()
-
-
-def _near(n: np.ndarray, bits: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions i < j (by size) of pairs with different labels that sizes and bitmaps don't rule out."""
-    words = [np.frombuffer(b, np.uint64) for b in bits]
-    width = min(len(w) for w in words)
-    folded = np.stack([np.bitwise_or.reduce(w.reshape(-1, width), axis=0) for w in words])
-    left, right = [], []
-    for i in range(len(n)):
-        top = int(np.searchsorted(n, n[i] * DENOMINATOR // NUMERATOR, side="right"))
-        j = np.arange(i + 1, top)
-        j = j[labels[j] != labels[i]]
-        if len(j):
+        if not batch.num_rows:
+            continue
+        cell = batch.column("cell").to_numpy()
+        edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if carried and carried[-1].column("cell")[0] != batch.column("cell")[lo]:
+                yield pa.Table.from_batches(carried)
+                carried = []
+            carried.append(batch.slice(lo, hi - lo))
+    if carried:
+        yield pa.Table.from_batches(carried)
+
+
+def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the classes to be compared, and of those to compare them with; a star that fits into one cell is both."""
+    side, opened = cell.column("side").to_numpy(), cell.column("open").to_numpy()
+    return np.flatnonzero((side == 0) | ((side == 2) & opened)), np.flatnonzero(side > 0)
+
+
+def _sketch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """leader, key, n, open of the classes that bitmaps can't rule out."""
+    for cell in _cells(batches):
+        keys, n = cell.column("key").to_numpy(), cell.column("n").to_numpy()
+        words = [np.frombuffer(b, np.uint64) for b in cell.column("data").to_pylist()]
+        width = min(len(w) for w in words)
+        folded = np.stack([np.bitwise_or.reduce(w.reshape(-1, width), axis=0) for w in words])
+        left, right = _sides(cell)
+        keep = np.zeros(len(n), bool)
+        for i in left:
+            j = right[(keys[right] != keys[i]) & (np.minimum(n[right], n[i]) * DENOMINATOR >= np.maximum(n[right], n[i]) * NUMERATOR)]
             apart = np.bitwise_count(folded[j] ^ folded[i]).sum(1, dtype=np.int64)
             j = j[apart * (DENOMINATOR + NUMERATOR) <= (n[j] + n[i]) * (DENOMINATOR - NUMERATOR)]
-            left.append(np.full(len(j), i))
-            right.append(j)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+            keep[j] = True
+            keep[i] |= len(j) > 0
+        if keep.any():
+            rows = cell.select(["leader", "key", "n", "open"]).filter(pa.array(keep)).combine_chunks()
+            yield from rows.to_batches()
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each set on the left with each on the right."""
+    members = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, column, times = np.unique(members, return_inverse=True, return_counts=True)
+    often = times > 1
+    seen = often[column]
+    row, column = row[seen], (np.cumsum(often) - 1)[column[seen]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for at in range(0, int(often.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        block = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        block[row[lo:hi], column[lo:hi] - at] = 1
+        out += block[: len(left)] @ block[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _links(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of a set on the left and one on the right that link."""
+    if len(left) * len(right) <= 4:
+        same = np.array([[intersection(x, y) for y in right] for x in left])
+    else:
+        same = _shared_counts(left, right)
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(y) for y in right])
+    return np.nonzero(DENOMINATOR * same >= NUMERATOR * (sizes - same))
+
+
+def _span(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lowest node of each node's component."""
+    low = np.arange(n)
+    while True:
+        least = np.minimum(low[a], low[b])
+        after = low.copy()
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == low).all():
+            return low
+        low = after
+
+
+def _link_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """leader, a, b: links that span the components of each cell."""
+    for cell in _cells(batches):
+        sets = [np.frombuffer(x, np.uint64) for x in cell.column("data").to_pylist()]
+        left, right = _sides(cell)
+        if not len(left) or not len(right):
+            continue
+        i, j = _links([sets[x] for x in left], [sets[x] for x in right])
+        keys, node = np.unique(cell.column("key").to_numpy(), return_inverse=True)
+        low = _span(len(keys), node[left[i]], node[right[j]])
+        b = np.flatnonzero(low != np.arange(len(keys)))
+        if len(b):
+            yield pa.record_batch([pa.array([cell.column("leader")[0].as_py()] * len(b), pa.int64()), pa.array(keys[low[b]]), pa.array(keys[b])], names=["leader", "a", "b"])
 
 
-def _rest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the buckets that no star settled; rows come sorted by bucket and size."""
-    carried: list[pa.RecordBatch] = []
+def _stars(buckets: DataFrame) -> DataFrame:
+    """leader, key: the classes of all buckets that a class leads, itself among them."""
+    weight = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("w"))
+    leaders = buckets.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("w", "key")).alias("l")).select("bucket", F.col("l.key").alias("leader"))
+    return buckets.join(leaders, "bucket").select("leader", "key").distinct()
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        keys, n, labels = (table.column(c).to_numpy() for c in ("key", "n", "label"))
-        i, j = _near(n, table.column("bits").to_pylist(), labels)
-        a, b = keys[i], keys[j]
-        return pa.record_batch([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
-    def runs(table: pa.Table) -> Iterator[pa.Table]:
-        sig = table.column("sig").to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            yield table.slice(lo, hi - lo)
+def _tiles(rows: DataFrame) -> DataFrame:
+    """For each leader in how many tiles its star is cut, and in how many the open part of it."""
+    def tiles(only):
+        n, shingles_ = F.count_if(only), F.coalesce(F.sum(F.when(only, F.col("n"))), F.lit(0))
+        return F.least(n, F.greatest(F.ceil(n / TILE_ROWS), F.ceil(shingles_ / TILE_SHINGLES))).cast("int")
+
+    return rows.groupBy("leader").agg(tiles(F.lit(True)).alias("of_all"), tiles(F.col("open")).alias("of_open"))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        whole = pa.Table.from_batches([*carried, batch])
-        found = list(runs(whole))
-        for table in found[:-1]:
-            yield pairs(table)
-        carried = found[-1].combine_chunks().to_batches()
-    if carried:
-        yield pairs(pa.Table.from_batches(carried))
 
+def _compared(rows: DataFrame, data: DataFrame, run, schema: str, parts: int) -> DataFrame:
+    """The classes of each star (leader, key, n, open) dealt to cells with their data, and what ``run`` makes of the cells."""
+    rows = rows.join(_tiles(rows).filter("of_open > 0"), "leader")
+    def place(side, i, j):
+        return F.struct(F.lit(side).cast("byte").alias("side"), i.cast("int").alias("i"), j.cast("int").alias("j"))
 
-def link_components(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    def upto(n):
+        return F.sequence(F.lit(0), n - 1)
+
+    own = lambda n: F.pmod(F.xxhash64("key"), n)
+    as_any = F.transform(upto(F.col("of_open")), lambda i: place(1, i, own(F.col("of_all"))))
+    as_open = F.transform(upto(F.col("of_all")), lambda j: place(0, own(F.col("of_open")), j))
+    places = F.when(F.col("of_all") == 1, F.array(place(2, F.lit(0), F.lit(0)))).when(F.col("open"), F.concat(as_any, as_open)).otherwise(as_any)
+    rows = rows.select("leader", "key", "n", "open", F.explode(places).alias("p")).select("leader", "key", "n", "open", "p.side", F.xxhash64("leader", "p.i", "p.j").alias("cell"))
+    dealt = rows.join(data.select("key", "data"), "key").repartition(parts, "cell").sortWithinPartitions("cell")
+    with common.batch_rows(rows.sparkSession, SET_ROWS):
+        return common.spill(dealt.mapInArrow(run, schema), "compared")[0]
+
+
+def _head_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, text of one row of each class of wanted (key, first); rows without doc_id come with a null key for their own."""
+    few = wanted.count() <= BROADCAST_IDS  # 16 bytes each
+    heads = wanted.filter("first is not null").select("key", F.col("first").alias("doc_id"))
+    return rows.join(F.broadcast(heads) if few else heads, "doc_id").select("key", "text").unionByName(rows.filter("doc_id is null").select(F.lit(None).cast("long").alias("key"), "text"))
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, sketch: bool) -> DataFrame:
+    """key, n and data (bitmap or set) of the wanted classes, written."""
+    found = _head_texts(rows, wanted).mapInArrow(_set_pass(sketch), "key long, n long, data binary")
+    found = common.spill(found, "sets")[0]
+    if found.count() == wanted.count():
+        return found
+    found = found.join(wanted.select("key"), "key", "left_semi")  # rows without doc_id, or that repeat one
+    return common.spill(found.dropDuplicates(["key"]), "sets")[0]
+
+
+def _all_links(rows: DataFrame, classes: DataFrame, buckets: DataFrame, parts: int) -> DataFrame:
+    """a, b: pairs of classes that connect all classes that links connect."""
+    with_heads = lambda keys: common.spill(keys.select("key").distinct().join(classes, "key"), "wanted")[0]
+    links, stars_of = "leader long, a long, b long", "leader long, key long, n long, open boolean"
+    sketches = _sets(rows, with_heads(buckets), sketch=True)
+    stars = common.spill(_stars(buckets).join(sketches.select("key", "n"), "key"), "stars")[0]
+    large = _tiles(stars.withColumn("open", F.lit(True))).filter("of_all > 1").select("leader", F.lit(True).alias("large"))
+    large = common.spill(large, "large")[0]
+    around = common.spill(stars.join(large, "leader").select("leader", "key", "n", (F.col("key") == F.col("leader")).alias("open")), "around")[0]
+    led = _compared(around, _sets(rows, with_heads(around), sketch=False), _link_pass, links, parts)
+    settled = led.select("leader", F.explode(F.array("a", "b")).alias("key")).union(around.filter("open").select("leader", "key")).distinct()
+    stars = stars.join(settled.withColumn("settled", F.lit(True)), ["leader", "key"], "left").select("leader", "key", "n", F.col("settled").isNull().alias("open"))
+    left = _compared(stars, sketches, _sketch_pass, stars_of, parts).distinct()
+    left = common.spill(left, "left")[0]
+    return led.union(_compared(left, _sets(rows, with_heads(left), sketch=False), _link_pass, links, parts)).select("a", "b")
+
+
+def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    with common.batch_rows(docs.sparkSession, TEXT_ROWS):
-        return _link_components(docs, star_rounds)
+    with common.batch_rows(docs.sparkSession, TEXT_ROWS), common.workspace(docs.sparkSession) as result:
+        return result(_link_components(docs), "components")
 
 
-def _link_components(docs: DataFrame, star_rounds: int) -> DataFrame:
+def _link_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = common.spill(rows.mapInArrow(_class_pass, "doc_id long, n_shingles long, key long, sample array<long>"), "classes")[0]
@@ -358,34 +480,9 @@ def _link_components(docs: DataFrame, star_rounds: int) -> DataFrame:
     total = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     parts = max(common.shuffle_partitions(spark), -(-8 * int(total) // PART_BYTES))
     dealt = rows.select("text").mapInArrow(_signature_pass(parts, common_shingles), "part int, sigs binary, keys binary").repartitionById(parts, F.col("part"))
-    buckets, buckets_path = common.spill(dealt.mapInArrow(_bucket_pass, "sig long, key long"), "buckets")
-
-    wanted = common.spill(buckets.select("key").distinct().join(classes, "key"), "wanted")[0]
-    few = wanted.count() <= BROADCAST_IDS  # 16 bytes each
-    heads = wanted.withColumnRenamed("first", "doc_id")
-    texts = rows.join(F.broadcast(heads) if few else heads, "doc_id").select("key", "text")
-    sets, sets_path = common.spill(texts.mapInArrow(_set_pass, "key long, n long, found binary, bits binary"), "sets")
-    if sets.count() != wanted.count():  # rows that repeat a doc_id
-        sets = common.spill(sets.dropDuplicates(["key"]), "sets")[0]
-
-    links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
-    open_buckets = _labelled(buckets, roots)
-    for turn in range(star_rounds):
-        pairs = common.spill(_star(open_buckets, turn), "pairs")[0]
-        if pairs.isEmpty():
-            break
-        found = _verified(pairs, sets)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        roots = components(links, "a", "b")
-        open_buckets = _labelled(open_buckets.select("sig", "key"), roots)
-    rest = open_buckets.join(sets.select("key", "n", "bits"), "key").select("sig", "key", "label", "n", "bits")
-    rest = rest.repartition("sig").sortWithinPartitions("sig", "n", "key")
-    pairs = common.spill(rest.mapInArrow(_rest_pass, "a long, b long").distinct(), "rest")[0]
-    roots = components(links.union(_verified(pairs, sets)), "a", "b")
-    common.discard(spark, sets_path, buckets_path)
+    buckets = dealt.mapInArrow(_bucket_pass, "bucket long, key long").dropDuplicates(["bucket", "key"])
+    buckets = common.spill(buckets, "buckets")[0]
+    roots = components(_all_links(rows, classes, buckets, parts), "a", "b")
 
     members = roots.withColumnRenamed("node", "key").join(classes, "key")
     lowest = members.groupBy("root").agg(F.min("first").alias("component"))
@@ -394,10 +491,9 @@ def _link_components(docs: DataFrame, star_rounds: int) -> DataFrame:
     return table.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component, all columns; every row without doc_id."""
-    found = common.spill(link_components(docs, star_rounds), "components")[0]
-    drop = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct()
-    few = drop.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(drop) if few else drop, F.col("doc_id") == F.col("__drop"), "left_anti")
-    return kept.select(*docs.columns)
+    drop = common.unused(docs.columns, "drop")
+    rows = link_components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias(drop)).distinct()
+    few = rows.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(rows) if few else rows, docs["doc_id"].cast("long") == rows[drop], "left_anti")
