@@ -71,26 +71,29 @@ def trim_long(rows: DataFrame, factor: float = 3.5) -> DataFrame:
 
 
 def select_views(faces: DataFrame, vertices: DataFrame, views: list[tuple[int, float, float, float, float]]) -> DataFrame:
-    """fid, view, score, angle: the view (frame, x, y, z, sharpness) that sees a face best, null if none does.
+    """fid, view, score, angle: the view (frame, x, y, z, sharpness) that sees a face best, null if none does; the earlier one wins a tie.
 
-    The views of a job are a literal array in each row, so that there is no join; the earlier view wins a tie.
+    The views of a job, some hundreds, are a literal array: each face is rated once for each, and the best of them is taken
+    before the shuffle by fid.
     """
     p = [F.col(f"p{k}") for k in range(3)]
+    table = F.array(*[F.struct(F.lit(-i).alias("at"), F.lit(v[0]).alias("frame"), *[F.lit(float(x)).alias(c) for x, c in zip(v[1:], "xyzs", strict=True)]) for i, v in enumerate(views)])
     rows = with_corners(faces, vertices)
-    n = normal(*p)
-    rows = rows.withColumn("n", F.array(*n)).withColumn("size", _length(n)).filter("size > 0")
-    centre = F.array(*[(p[0][c] + p[1][c] + p[2][c]) / 3 for c in ("x", "y", "z")])
-    table = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(v[0]).alias("frame"), *[F.lit(float(x)).alias(c) for x, c in zip(v[1:], ("x", "y", "z", "s"), strict=True)]) for i, v in enumerate(views)])
-
-    def rate(v: Column) -> Column:
-        d = [v[c] - F.col("c")[i] for i, c in enumerate(("x", "y", "z"))]
-        dist = _length(d)
-        cos = sum((F.col("n")[i] * d[i] for i in (1, 2)), F.col("n")[0] * d[0]) / (F.col("size") * dist)
-        return F.struct(F.when((dist >= 1e-4) & (cos > 0), cos / (1 + 0.05 * dist) * v["s"]).alias("score"), (-v["at"]).alias("at"), v["frame"].alias("frame"), cos.alias("cos"))
-
-    best = F.array_max(F.filter(F.transform(table, rate), lambda r: r["score"].isNotNull()))
-    rows = rows.withColumn("c", centre).withColumn("best", best)
-    return rows.select("fid", F.col("best.frame").alias("view"), F.col("best.score").alias("score"), F.when(F.col("best").isNotNull(), F.degrees(F.acos(F.least(F.lit(1.0), F.col("best.cos"))))).alias("angle"))
+    rows = rows.select("fid", *[c.alias(f"n{a}") for a, c in zip("xyz", normal(*p), strict=True)], *[((p[0][a] + p[1][a] + p[2][a]) / 3).alias(f"m{a}") for a in "xyz"])
+    rows = rows.withColumn("size", _length([F.col("nx"), F.col("ny"), F.col("nz")])).filter("size > 0").withColumn("v", F.explode(table))
+    rows = rows.select("fid", "nx", "ny", "nz", "size", "v", *[(F.col("v")[a] - F.col(f"m{a}")).alias(f"d{a}") for a in "xyz"])
+    rows = rows.withColumn("dist", _length([F.col("dx"), F.col("dy"), F.col("dz")])).withColumn("cos", F.expr("(nx * dx + ny * dy + nz * dz) / (size * dist)"))
+    rated = F.struct((F.col("cos") / (1 + 0.05 * F.col("dist")) * F.col("v.s")).alias("score"), "v.at", "v.frame", "cos")
+    best = rows.groupBy("fid").agg(F.max(F.when((F.col("dist") >= 1e-4) & (F.col("cos") > 0), rated)).alias("best"))
+    return best.select("fid", F.col("best.frame").alias("view"), F.col("best.score").alias("score"), F.degrees(F.acos(F.least(F.lit(1.0), F.col("best.cos")))).alias("angle"))
+
+
+def view_utilisation(chosen: DataFrame, views: DataFrame, good: float = 60.0) -> DataFrame:
+    """view, faces, pct of all faces, mean_angle, good_pct (up to ``good`` degrees) for every view, from the rows of ``select_views``."""
+    used = chosen.filter("view is not null").groupBy("view").agg(F.count(F.lit(1)).alias("n"), F.avg("angle").alias("mean_angle"), F.avg(F.when(F.col("angle") <= good, 100.0).otherwise(0.0)).alias("good_pct"))
+    total = chosen.agg(F.count(F.lit(1)).alias("total"))
+    n = F.coalesce("n", F.lit(0))
+    return views.join(used, "view", "left").crossJoin(F.broadcast(total)).select("view", n.alias("faces"), (100.0 * n / F.col("total")).alias("pct"), "mean_angle", "good_pct")
 
 
 def quadrants(faces: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -20,19 +20,16 @@ def fuse(points: DataFrame, voxel: float, min_single: int = 60) -> DataFrame:
     """One point for each voxel: weighted means, best confidence, weightiest class (lowest on a tie), number of frames.
 
     Weights are whole percents of confidence, 1 at least, so that sums don't depend on their order. A voxel seen by a
-    single frame needs ``min_single`` percent. Two levels of aggregation, (voxel, class) and voxel, both with partial sums.
+    single frame needs ``min_single`` percent. Levels of aggregation by (voxel, class, frame), (voxel, class) and voxel, all
+    with partial sums, so that no list of frames is gathered.
     """
     keys = [cell(c, voxel).alias(f"v{c}") for c in AXES]
     w = F.greatest(F.lit(1), F.col("conf_pct")).cast("long")
-    by_class = points.select("*", *keys, w.alias("w")).groupBy("vx", "vy", "vz", "cls").agg(
-        F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in AXES], F.max("conf_pct").alias("conf_pct"), F.collect_set("frame").alias("frames")
-    )
-    fused = by_class.groupBy("vx", "vy", "vz").agg(
-        *[(F.sum(f"s{c}") / F.sum("w")).alias(c) for c in AXES],
-        F.max("conf_pct").alias("conf_pct"),
-        F.max(F.struct("w", -F.col("cls"))).alias("top"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("frames")))).alias("views"),
-    )
+    by_class = points.select("*", *keys, w.alias("w")).groupBy("vx", "vy", "vz", "cls", "frame").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in AXES], F.max("conf_pct").alias("conf_pct"))
+    by_frame = by_class.groupBy("vx", "vy", "vz", "frame").agg(F.lit(1).alias("one")).groupBy("vx", "vy", "vz").agg(F.count(F.lit(1)).alias("views"))
+    by_class = by_class.groupBy("vx", "vy", "vz", "cls").agg(F.sum("w").alias("w"), *[F.sum(f"s{c}").alias(f"s{c}") for c in AXES], F.max("conf_pct").alias("conf_pct"))
+    fused = by_class.groupBy("vx", "vy", "vz").agg(*[(F.sum(f"s{c}") / F.sum("w")).alias(c) for c in AXES], F.max("conf_pct").alias("conf_pct"), F.max(F.struct("w", -F.col("cls"))).alias("top"))
+    fused = fused.join(by_frame, ["vx", "vy", "vz"])
     return fused.select("vx", "vy", "vz", *AXES, "conf_pct", (-F.col("top.col2")).alias("cls"), "views").filter((F.col("views") > 1) | (F.col("conf_pct") >= min_single))
 
 
@@ -59,42 +56,6 @@ def pairs_within(points: DataFrame, key: str, radius: float) -> DataFrame:
     return a.join(b, [f"c{c}" for c in AXES]).filter(F.col(key) != F.col("other")).select(key, "other", d2.alias("d2")).filter(F.col("d2") <= radius * radius)
 
 
-def radius_inliers(points: DataFrame, key: str, radius: float, least: int) -> DataFrame:
-    """Points with ``least`` neighbours within radius."""
-    counts = pairs_within(points, key, radius).groupBy(key).agg(F.count(F.lit(1)).alias("neighbours")).filter(F.col("neighbours") >= least)
-    return points.join(counts, key)
-
-
-def mean_neighbour_distance(points: DataFrame, key: str, k: int, size: float, rings: int = 12) -> DataFrame:
-    """key and the mean distance to its k nearest others.
-
-    The search doubles its radius for the points that have fewer than k neighbours within it; a point with k within the
-    radius is settled, as everything outside is farther. Points left after ``rings`` doublings give a null.
-    """
-    open_points, done, radius = points.select(key, *AXES), None, size
-    for _ in range(rings):
-        a = _around(open_points, radius)
-        b = points.select(F.col(key).alias("other"), *[F.col(c).alias(f"o{c}") for c in AXES], *[cell(c, radius).alias(f"c{c}") for c in AXES])
-        d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in AXES[1:]), F.pow(F.col("x") - F.col("ox"), 2)))
-        near = a.join(b, [f"c{c}" for c in AXES]).filter(F.col(key) != F.col("other")).select(key, "other", d.alias("d")).filter(F.col("d") <= radius)
-        top = near.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("d", "other"))).filter(F.col("n") <= k)
-        found = top.groupBy(key).agg(F.avg("d").alias("mean_d"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).drop("n")
-        found = found.checkpoint() if found.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else found.persist()
-        done = found if done is None else done.unionByName(found)
-        open_points = open_points.join(found, key, "left_anti")
-        if open_points.isEmpty():
-            return done
-        radius *= 2
-    return done.unionByName(open_points.select(key, F.lit(None).cast("double").alias("mean_d")))
-
-
-def statistical_inliers(points: DataFrame, key: str, k: int, size: float, ratio: float) -> DataFrame:
-    """Points whose mean neighbour distance is at most mean + ratio * deviation over all points (one row, broadcast)."""
-    d = mean_neighbour_distance(points, key, k, size)
-    limit = d.agg((F.avg("mean_d") + ratio * F.stddev_pop("mean_d")).alias("limit"))
-    return points.join(d.crossJoin(F.broadcast(limit)).filter(F.col("mean_d") <= F.col("limit")).drop("limit"), key)
-
-
 def _places(points: DataFrame) -> DataFrame:
     """The distinct places of points and the number of points at each, which stand for one another in neighbour searches."""
     return points.groupBy(*AXES).agg(F.count(F.lit(1)).alias("m"))
@@ -109,34 +70,50 @@ def _near_places(open_places: DataFrame, places: DataFrame, radius: float) -> Da
     return near.select(*AXES, F.sqrt("d2").alias("d"), (F.col("m") - (F.col("d2") == 0).cast("long")).alias("m")).filter("m > 0")
 
 
-def dense_radius_inliers(points: DataFrame, radius: float, least: int) -> DataFrame:
-    """Points with ``least`` other points within radius, where many may share a place; the pairs are those of places, not of points."""
+def radius_inliers(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """Points with ``least`` other points within radius, and their number; the pairs are those of places, not of points."""
     places = _places(points)
     counts = _near_places(places, places, radius).groupBy(*AXES).agg(F.sum("m").alias("neighbours")).filter(F.col("neighbours") >= least)
     return points.join(counts, list(AXES))
 
 
-def dense_neighbour_distance(points: DataFrame, k: int, size: float, rings: int = 12) -> DataFrame:
-    """x, y, z and the mean distance of a point there to its k nearest others; as ``mean_neighbour_distance``, by places."""
+def _written(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut, in the folder that the session names for checkpoints."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints/aerolith"))
+    return df.checkpoint()
+
+
+def neighbour_distance(points: DataFrame, k: int, size: float) -> DataFrame:
+    """x, y, z and the mean distance of a point there to its k nearest others.
+
+    The search doubles its radius for the places that have fewer than k others within it; a place with k within the radius
+    is settled, as everything outside is farther. It ends when none is open, or when the radius spans all points: what is
+    open then has fewer than k others at all, and gets a null.
+    """
     places, done, radius = _places(points), None, size
+    span = F.sqrt(sum((F.pow(F.max(c) - F.min(c), 2) for c in AXES[1:]), F.pow(F.max("x") - F.min("x"), 2)))
+    widest = places.agg(span).first()[0] or 0.0
     open_places = places
     w = Window.partitionBy(*AXES).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(rings):
+    while True:
         taken = F.greatest(F.lit(0), F.least(F.col("m"), k - (F.sum("m").over(w) - F.col("m"))))
         near = _near_places(open_places, places, radius).withColumn("taken", taken)
         found = near.groupBy(*AXES).agg((F.sum(F.col("taken") * F.col("d")) / k).alias("mean_d"), F.sum("taken").alias("n")).filter(F.col("n") == k).drop("n")
-        found = found.checkpoint() if found.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else found.persist()
+        found = _written(found)
         done = found if done is None else done.unionByName(found)
         open_places = open_places.join(found, list(AXES), "left_anti")
         if open_places.isEmpty():
             return done
+        if radius > widest:
+            return done.unionByName(open_places.select(*AXES, F.lit(None).cast("double").alias("mean_d")))
         radius *= 2
-    return done.unionByName(open_places.select(*AXES, F.lit(None).cast("double").alias("mean_d")))
 
 
-def dense_statistical_inliers(points: DataFrame, k: int, size: float, ratio: float) -> DataFrame:
-    """As ``statistical_inliers`` over all points, where many may share a place."""
-    rows = points.join(dense_neighbour_distance(points, k, size), list(AXES))
+def statistical_inliers(points: DataFrame, k: int, size: float, ratio: float) -> DataFrame:
+    """Points whose mean neighbour distance is at most mean + ratio * deviation over all points (one row, broadcast)."""
+    rows = points.join(neighbour_distance(points, k, size), list(AXES))
     limit = rows.agg((F.avg("mean_d") + ratio * F.stddev_pop("mean_d")).alias("limit"))
     return rows.crossJoin(F.broadcast(limit)).filter(F.col("mean_d") <= F.col("limit")).drop("limit")
 

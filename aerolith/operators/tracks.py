@@ -19,12 +19,21 @@ def smoothed_motion(rows: DataFrame, key: str, order: list[str], value: str, lim
     return rows.withColumn("moving", F.avg(value).over(w) >= limit)
 
 
-def overlapping(boxes: DataFrame, by: str, key: str, least: float) -> DataFrame:
-    """a < b and iou of the boxes (arrays x0, y0, x1, y1) of a frame that overlap by ``least``."""
-    a = boxes.select(by, F.col(key).alias("a"), F.col("box").alias("p"))
-    b = boxes.select(by, F.col(key).alias("b"), F.col("box").alias("q"))
+def overlapping(boxes: DataFrame, by: str, key: str, least: float, size: int = 32) -> DataFrame:
+    """a < b and iou of the boxes (arrays x0, y0, x1, y1) of a frame that overlap by ``least`` (more than 0).
+
+    Boxes meet in the cells of a grid of this size that both touch; the cell with the corner of their overlap counts.
+    """
+    def cells(lo: int, hi: int) -> Column:
+        return F.sequence(F.floor(F.col("box")[lo] / size), F.floor(F.col("box")[hi] / size))
+
+    dealt = boxes.select(by, key, "box", F.explode(cells(0, 2)).alias("cx")).select("*", F.explode(cells(1, 3)).alias("cy"))
+    a = dealt.select(by, "cx", "cy", F.col(key).alias("a"), F.col("box").alias("p"))
+    b = dealt.select(by, "cx", "cy", F.col(key).alias("b"), F.col("box").alias("q"))
     value = rules.iou([F.col("p")[i] for i in range(4)], [F.col("q")[i] for i in range(4)])
-    return a.join(b, by).filter("a < b").select(by, "a", "b", value.alias("iou")).filter(F.col("iou") >= least)
+    corner = [F.floor(F.greatest(F.col("p")[i], F.col("q")[i]) / size) for i in range(2)]
+    met = a.join(b, [by, "cx", "cy"]).filter((F.col("a") < F.col("b")) & (F.col("cx") == corner[0]) & (F.col("cy") == corner[1]))
+    return met.select(by, "a", "b", value.alias("iou")).filter(F.col("iou") >= least)
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:

@@ -30,15 +30,6 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "observations")
 
 
-def _small(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct places with an id, thinned out, for neighbour searches."""
-    o = _observations(spark, d).filter("l_linenumber = 1 and frame % 5 = 0")
-    return o.select("x", "y", "z", (F.col("x") * 1000000 + F.col("y") * 1000 + F.col("z")).cast("long").alias("id")).distinct()
-
-
-_SMALL = f"(SELECT DISTINCT x, y, z, CAST(x * 1000000 + y * 1000 + z AS BIGINT) AS id FROM {OBS} WHERE l_linenumber = 1 AND frame % 5 = 0)"
-
-
 @query(f"""
 WITH o AS (SELECT *, greatest(1, conf_pct) AS w, floor(x * 0.1) AS vx, floor(y * 0.1) AS vy, floor(z * 0.1) AS vz FROM {OBS}),
 c AS (SELECT vx, vy, vz, cls, sum(w) AS w FROM o GROUP BY ALL), m AS (SELECT vx, vy, vz, arg_max(cls, w * 1000 - cls) AS cls FROM c GROUP BY ALL)
@@ -69,29 +60,21 @@ def unproject(spark: SparkSession, d: str) -> DataFrame:
     return o.select(*KEY, F.bround(cx, 6).alias("cx"), F.bround(cy, 6).alias("cy"))
 
 
-@query(f"SELECT a.id, count(*) AS neighbours FROM {_SMALL} a JOIN {_SMALL} b ON a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 9 GROUP BY a.id HAVING count(*) >= 2")
-def radius_outliers(spark: SparkSession, d: str) -> DataFrame:
-    return points.radius_inliers(_small(spark, d), "id", 3.0, 2).select("id", "neighbours")
-
-
 @query(f"""
-WITH p AS (SELECT * FROM {_SMALL}), d AS (SELECT a.id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d, b.id AS other FROM p a JOIN p b ON a.id <> b.id),
-k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS n FROM d), m AS (SELECT id, avg(d) AS mean_d FROM k WHERE n <= 5 GROUP BY id)
-SELECT id, round_even(mean_d, 6) AS mean_d FROM m WHERE mean_d <= (SELECT avg(mean_d) + 2 * stddev_pop(mean_d) FROM m)""")
-def statistical_outliers(spark: SparkSession, d: str) -> DataFrame:
-    return points.statistical_inliers(_small(spark, d), "id", 5, 4.0, 2.0).select("id", F.bround("mean_d", 6).alias("mean_d"))
-
-
-@query()
-def radius_outliers_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every observation with two others within 3; compared with brute force in the tests."""
-    return points.dense_radius_inliers(_observations(spark, d), 3.0, 2).select(*KEY, "neighbours")
+WITH o AS (SELECT * FROM {OBS}), c AS (SELECT x, y, z, count(*) AS n FROM o GROUP BY ALL), s AS (SELECT CAST(range - 3 AS DOUBLE) AS i FROM range(7)),
+ball AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM s a, s b, s c WHERE a.i * a.i + b.i * b.i + c.i * c.i <= 9),
+g AS (SELECT x, y, z, x + dx AS gx, y + dy AS gy, z + dz AS gz FROM c CROSS JOIN ball),
+near AS (SELECT g.x, g.y, g.z, sum(c.n) - 1 AS n FROM g JOIN c ON c.x = gx AND c.y = gy AND c.z = gz GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(n AS BIGINT) AS neighbours FROM o JOIN near USING (x, y, z) WHERE n >= 2""")
+def radius_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Every observation with two others within 3."""
+    return points.radius_inliers(_observations(spark, d), 3.0, 2).select(*KEY, "neighbours")
 
 
 @query()
-def statistical_outliers_whole(spark: SparkSession, d: str) -> DataFrame:
+def statistical_outliers(spark: SparkSession, d: str) -> DataFrame:
     """Every observation near its five nearest others; compared with brute force in the tests."""
-    return points.dense_statistical_inliers(_observations(spark, d), 5, 1.0, 2.0).select(*KEY, F.bround("mean_d", 6).alias("mean_d"))
+    return points.statistical_inliers(_observations(spark, d), 5, 1.0, 2.0).select(*KEY, F.bround("mean_d", 6).alias("mean_d"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {OBS} WHERE NOT (x BETWEEN 10 AND 20 AND y BETWEEN 0 AND 5 AND z BETWEEN 0 AND 50) AND cls NOT IN (5, 6)")
@@ -119,27 +102,6 @@ def elevation(spark: SparkSession, d: str) -> DataFrame:
     return cells.groupBy("row", "col").agg(F.min("z").alias("dem"), F.max("z").alias("dsm"))
 
 
-_SPARSE = f"(SELECT row, col, min(z) AS z FROM (SELECT CAST(l_orderkey % 97 AS BIGINT) AS row, CAST(l_partkey % 89 AS BIGINT) AS col, z FROM {OBS} WHERE frame % 10 = 0) GROUP BY 1, 2)"
-
-
-def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    o = _observations(spark, d).filter("frame % 10 = 0")
-    return o.groupBy((F.col("l_orderkey") % 97).alias("row"), (F.col("l_partkey") % 89).alias("col")).agg(F.min("z").alias("z"))
-
-
-@query(f"""
-WITH c AS (SELECT * FROM {_SPARSE}), s AS (SELECT row + i AS row, col + j AS col, z FROM c, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE i <> 0 OR j <> 0)
-SELECT row, col, round_even(z, 6) AS z, false AS filled FROM c UNION ALL
-SELECT s.row, s.col, round_even(avg(s.z), 6), true FROM s ANTI JOIN c ON c.row = s.row AND c.col = s.col WHERE s.row BETWEEN (SELECT min(row) FROM c) AND (SELECT max(row) FROM c) AND s.col BETWEEN (SELECT min(col) FROM c) AND (SELECT max(col) FROM c) GROUP BY s.row, s.col""")
-def void_fill(spark: SparkSession, d: str) -> DataFrame:
-    return rasters.fill_voids(_sparse(spark, d), "z").withColumn("z", F.bround("z", 6))
-
-
-@query(f"SELECT min(z) AS low, max(z) AS high, round_even(avg(z), 6) AS mean, count(z) AS valid, (max(row) + 1) * (max(col) + 1) - count(z) AS nodata FROM {_SPARSE}")
-def raster_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return rasters.metadata(_sparse(spark, d), "z").withColumn("mean", F.bround("mean", 6))
-
-
 _GRID = f"(SELECT CAST(l_orderkey % 97 AS BIGINT) AS row, CAST(l_partkey % 89 AS BIGINT) AS col, min(z) AS z FROM {OBS} GROUP BY 1, 2)"
 
 
@@ -152,12 +114,12 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 WITH c AS (SELECT * FROM {_GRID}), s AS (SELECT row + i AS row, col + j AS col, z FROM c, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE i <> 0 OR j <> 0)
 SELECT row, col, round_even(z, 6) AS z, false AS filled FROM c UNION ALL
 SELECT s.row, s.col, round_even(avg(s.z), 6), true FROM s ANTI JOIN c ON c.row = s.row AND c.col = s.col WHERE s.row BETWEEN (SELECT min(row) FROM c) AND (SELECT max(row) FROM c) AND s.col BETWEEN (SELECT min(col) FROM c) AND (SELECT max(col) FROM c) GROUP BY s.row, s.col""")
-def void_fill_whole(spark: SparkSession, d: str) -> DataFrame:
+def void_fill(spark: SparkSession, d: str) -> DataFrame:
     return rasters.fill_voids(_grid(spark, d), "z").withColumn("z", F.bround("z", 6))
 
 
 @query(f"SELECT min(z) AS low, max(z) AS high, round_even(avg(z), 6) AS mean, count(z) AS valid, (max(row) + 1) * (max(col) + 1) - count(z) AS nodata FROM {_GRID}")
-def raster_metadata_whole(spark: SparkSession, d: str) -> DataFrame:
+def raster_metadata(spark: SparkSession, d: str) -> DataFrame:
     return rasters.metadata(_grid(spark, d), "z").withColumn("mean", F.bround("mean", 6))
 
 
@@ -264,11 +226,34 @@ def tile_quadrants(spark: SparkSession, d: str) -> DataFrame:
     return meshes.quadrants(view(spark, d, "faces"), view(spark, d, "vertices")).select("fid", F.col("tile").alias("x"))
 
 
-@query()
+_VIEWS = [(k, float(3 * k), float(20 - 2 * k), 30.0, 1.0 + k / 10) for k in range(6)]
+_SEEN = f"""
+v(view, x, y, z, s) AS (VALUES {", ".join(f"({k}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE, {q}::DOUBLE)" for k, x, y, z, q in _VIEWS)}),
+n AS (SELECT fid, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS nz,
+  (ax + bx + cx) / 3 AS mx, (ay + by_ + cy) / 3 AS my, (az + bz + cz) / 3 AS mz FROM {_CORNERS}),
+l AS (SELECT n.*, v.*, sqrt(nx * nx + ny * ny + nz * nz) AS size, sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)) AS dist FROM n, v),
+r AS (SELECT *, (nx * (x - mx) + ny * (y - my) + nz * (z - mz)) / (size * dist) AS cos FROM l WHERE size > 0),
+best AS (SELECT fid, arg_max(view, row(sc, -view)) FILTER (sc IS NOT NULL) AS view, max(sc) AS score, degrees(acos(least(1.0, arg_max(cos, row(sc, -view)) FILTER (sc IS NOT NULL)))) AS angle
+  FROM (SELECT *, CASE WHEN dist >= 1e-4 AND cos > 0 THEN cos / (1 + 0.05 * dist) * s END AS sc FROM r) GROUP BY fid)"""
+
+
+def _best_views(spark: SparkSession, d: str) -> DataFrame:
+    return meshes.select_views(view(spark, d, "faces"), view(spark, d, "vertices"), _VIEWS)
+
+
+@query(f"WITH {_SEEN} SELECT fid, view, round_even(score, 6) AS score, round_even(angle, 6) AS angle FROM best")
 def view_selection(spark: SparkSession, d: str) -> DataFrame:
-    """The best view of each face; compared with a plain loop in the tests."""
-    views = [(k, float(3 * k), float(20 - 2 * k), 30.0, 1.0 + k / 10) for k in range(6)]
-    return meshes.select_views(view(spark, d, "faces"), view(spark, d, "vertices"), views)
+    """The best view of each face."""
+    return _best_views(spark, d).withColumns({c: F.bround(c, 6) for c in ("score", "angle")})
+
+
+@query(f"""
+WITH {_SEEN}, f AS (SELECT fid FROM best), u AS (SELECT view, count(*) AS n, avg(angle) AS mean_angle, avg(CASE WHEN angle <= 60 THEN 100.0 ELSE 0.0 END) AS good FROM best WHERE view IS NOT NULL GROUP BY view)
+SELECT v.view, coalesce(u.n, 0) AS faces, round_even(100.0 * coalesce(u.n, 0) / (SELECT count(*) FROM f), 6) AS pct, round_even(mean_angle, 6) AS mean_angle, round_even(good, 6) AS good_pct FROM v LEFT JOIN u USING (view)""")
+def view_utilisation(spark: SparkSession, d: str) -> DataFrame:
+    """How many faces each view serves, views without a face included, the mean angle and the share up to 60 degrees."""
+    frames = spark.createDataFrame([(v[0],) for v in _VIEWS], "view int")
+    return meshes.view_utilisation(_best_views(spark, d), frames).withColumns({c: F.bround(c, 6) for c in ("pct", "mean_angle", "good_pct")})
 
 
 @query(f"SELECT CAST(cls AS INT) AS cls, bool_or(conf_pct < 40) AS ever, count(DISTINCT frame) AS frames FROM {OBS} GROUP BY cls")
@@ -282,21 +267,11 @@ def motion_smoothing(spark: SparkSession, d: str) -> DataFrame:
     return tracks.smoothed_motion(_observations(spark, d), "frame", KEY, "conf_pct", 60.0).select(*KEY, "moving")
 
 
-_BOXES = f"(SELECT l_orderkey AS id, l_partkey % 50 AS x0, l_suppkey % 50 AS y0, l_partkey % 50 + 5 + l_linenumber AS x1, l_suppkey % 50 + 9 AS y1, frame FROM {OBS} WHERE l_linenumber = 1)"
-
-
-@query(f"WITH b AS (SELECT * FROM {_BOXES}), p AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb FROM b a JOIN b ON a.frame = b.frame AND a.id < b.id) SELECT a, b, round_even(i / (sa + sb - i), 6) AS iou FROM p WHERE i / (sa + sb - i) >= 0.3")
-def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    o = _observations(spark, d).filter("l_linenumber = 1")
-    boxes = o.select(F.col("l_orderkey").alias("id"), "frame", F.array(F.col("l_partkey") % 50, F.col("l_suppkey") % 50, F.col("l_partkey") % 50 + 5 + F.col("l_linenumber"), F.col("l_suppkey") % 50 + 9).alias("box"))
-    return tracks.overlapping(boxes, "frame", "id", 0.3).select("a", "b", F.bround("iou", 6).alias("iou"))
-
-
 _ALL_BOXES = f"(SELECT row(l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS id, l_orderkey, l_linenumber, l_partkey % 50 AS x0, l_suppkey % 50 AS y0, l_partkey % 50 + 5 + l_linenumber AS x1, l_suppkey % 50 + 9 AS y1, frame, l_partkey FROM {OBS})"
 
 
 @query(f"WITH b AS (SELECT * FROM {_ALL_BOXES}), p AS (SELECT frame, a.l_orderkey AS a_orderkey, a.l_linenumber AS a_linenumber, a.l_partkey AS a_partkey, b.l_orderkey AS b_orderkey, b.l_linenumber AS b_linenumber, b.l_partkey AS b_partkey, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb FROM b a JOIN b USING (frame) WHERE a.id < b.id) SELECT * EXCLUDE (i, sa, sb), round_even(i / (sa + sb - i), 6) AS iou FROM p WHERE i / (sa + sb - i) >= 0.3")
-def box_overlaps_whole(spark: SparkSession, d: str) -> DataFrame:
+def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps among the boxes of all lines; rows with equal keys are boxes of their own."""
     o = _observations(spark, d).withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("x", "y", "z", "conf_pct")))
     boxes = o.select(F.struct(*KEY, "copy").alias("id"), "frame", F.array(F.col("l_partkey") % 50, F.col("l_suppkey") % 50, F.col("l_partkey") % 50 + 5 + F.col("l_linenumber"), F.col("l_suppkey") % 50 + 9).alias("box"))
@@ -326,21 +301,11 @@ def similarity_fit(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(round(float(v), 6) + 0.0 for v in (scale, r[0, 0], r[0, 1], r[1, 0], *t))], "scale double, r00 double, r01 double, r10 double, tx double, ty double, tz double")
 
 
-@query("""
-WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 5 = 0),
-n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n, lead(d) OVER (PARTITION BY a ORDER BY d, b) AS second FROM d)
-SELECT a, b, round_even(d, 5) AS d FROM n WHERE n = 1 AND d < 0.95 * second""")
-def descriptor_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest descriptors of the same label that are clearly nearer than the second; every fifth row asks."""
-    v = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return alignment.ratio_matches(v.filter("id % 5 = 0"), v, "label", 0.95).withColumn("d", F.bround("d", 5))
-
-
 @query("""
 WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n, lead(d) OVER (PARTITION BY a ORDER BY d, b) AS second FROM d)
 SELECT a, b, round_even(d, 5) AS d FROM n WHERE n = 1 AND d < 0.95 * second""")
-def descriptor_matches_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As descriptor_matches, and every row asks."""
+def descriptor_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest descriptors of the same label that are clearly nearer than the second."""
     v = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return alignment.ratio_matches(v, v, "label", 0.95).withColumn("d", F.bround("d", 5))

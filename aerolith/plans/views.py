@@ -15,10 +15,11 @@ SQL = {
           CAST(floor(l_extendedprice / 1000) AS DOUBLE) AS z, CAST(l_suppkey AS INT) AS frame, CAST(l_linenumber AS INT) AS cls, CAST(100 - round(l_tax * 1000) AS INT) AS conf_pct
         FROM lineitem""",
     "frames": """
-        SELECT o_custkey % 10 AS job_id, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) - 1 AS frame_index, o_orderkey,
+        SELECT o_custkey % 500 AS job_id, row_number() OVER (PARTITION BY o_custkey % 500 ORDER BY o_orderkey) - 1 AS frame_index, o_orderkey,
           CAST(o_totalprice AS DOUBLE) - 100 * floor(o_totalprice / 100) AS blur FROM orders""",
     "faces": """
-        SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS fid, l_partkey % 300 AS i0, l_suppkey % 300 AS i1, (l_orderkey + l_linenumber) % 300 AS i2 FROM lineitem""",
+        SELECT (((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey) * 4 + copy AS fid, l_partkey % 300 AS i0, l_suppkey % 300 AS i1, (l_orderkey + l_linenumber) % 300 AS i2
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY l_extendedprice) - 1 AS copy FROM lineitem)""",
     "vertices": """
         SELECT DISTINCT CAST(p_partkey % 300 AS BIGINT) AS vid, CAST((p_partkey % 300) % 17 AS DOUBLE) AS x, CAST((p_partkey % 300) % 13 AS DOUBLE) AS y, CAST((p_partkey % 300) % 5 AS DOUBLE) AS z FROM part""",
 }

@@ -62,8 +62,8 @@ def test_voxel_mean_and_single_views(spark):
 def test_outliers_of_a_plane(spark):
     rows = [(i, float(i % 10) / 10, float(i // 10) / 10, 0.0) for i in range(100)] + [(100, 50.0, 50.0, 50.0), (101, -40.0, 0.0, 9.0)]
     cloud = spark.createDataFrame(rows, "id long, x double, y double, z double")
-    assert points.radius_inliers(cloud, "id", 0.5, 3).count() == 100
-    assert {r["id"] for r in points.statistical_inliers(cloud, "id", 10, 0.3, 2.0).collect()} >= set(range(100))
+    assert points.radius_inliers(cloud, 0.5, 3).count() == 100
+    assert {r["id"] for r in points.statistical_inliers(cloud, 10, 0.3, 2.0).collect()} >= set(range(100))
 
 
 @pytest.mark.parametrize(("preset", "low", "high"), [("LOW", 32, 48), ("BALANCED", 60, 85), ("HIGH", 105, 140)])
