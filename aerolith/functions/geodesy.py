@@ -74,3 +74,10 @@ def similarity(x: Column, y: Column, z: Column, scale: float, rotation: list[lis
 def unproject(u: Column, v: Column, depth: Column, fx: float, fy: float, cx: float, cy: float) -> tuple[Column, Column, Column]:
     """Camera coordinates of a pixel with depth, by the pinhole model."""
     return (u - cx) * depth / fx, (v - cy) * depth / fy, depth
+
+
+def region(low: list[Column], high: list[Column], lat0: Column, lon0: Column, alt0: Column) -> list[Column]:
+    """West, south, east, north in radians and the least and greatest height of a box of east, north, up."""
+    a, b = from_enu(*low, lat0, lon0, alt0), from_enu(*high, lat0, lon0, alt0)
+    lat, lon, alt = (list(pair) for pair in zip(a, b, strict=True))
+    return [F.radians(F.least(*lon)), F.radians(F.least(*lat)), F.radians(F.greatest(*lon)), F.radians(F.greatest(*lat)), F.least(*alt), F.greatest(*alt)]

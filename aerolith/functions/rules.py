@@ -100,3 +100,7 @@ def upload_parts(size: Column) -> Column:
 def majority(a: Column, b: Column, c: Column) -> Column:
     """The value that two of three share, else the first."""
     return F.when(b == c, b).otherwise(a)
+
+
+def texture_confidence(inferred: Column) -> Column:
+    return F.when(inferred, 80).otherwise(240)

@@ -102,3 +102,29 @@ def quadrants(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     mid = vertices.agg(((F.min("x") + F.max("x")) / 2).alias("mx"), ((F.min("y") + F.max("y")) / 2).alias("my"))
     cx, cy = [(F.col("p0")[c] + F.col("p1")[c] + F.col("p2")[c]) / 3 for c in ("x", "y")]
     return rows.crossJoin(F.broadcast(mid)).select("fid", ((cx >= F.col("mx")).cast("int") + 2 * (cy >= F.col("my")).cast("int")).alias("tile"))
+
+
+def planar_uv(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """fid, corner, u, v: the place of each corner in the bounding rectangle of all vertices (one row, broadcast)."""
+    box = vertices.agg(*[F.min(c).alias(f"{c}0") for c in "xy"], *[F.greatest(F.lit(1e-4), F.max(c) - F.min(c)).alias(f"d{c}") for c in "xy"])
+    uv = vertices.crossJoin(F.broadcast(box)).select("vid", ((F.col("x") - F.col("x0")) / F.col("dx")).alias("u"), ((F.col("y") - F.col("y0")) / F.col("dy")).alias("v"))
+    corners = F.posexplode(F.array(*_CORNERS)).alias("corner", "vid")
+    return faces.select("fid", corners).join(uv, "vid").select("fid", "corner", "u", "v")
+
+
+def reindexed(faces: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """The vertices used by the faces of each part (by, vid, index from 0 in order of vid), and the faces with these indices."""
+    used = faces.select(by, F.explode(F.array(*_CORNERS)).alias("vid")).distinct()
+    used = used.withColumn("index", F.row_number().over(Window.partitionBy(by).orderBy("vid")) - 1)
+    out = faces
+    for c in _CORNERS:
+        out = out.join(used.select(by, F.col("vid").alias(c), F.col("index").alias(f"n{c}")), [by, c])
+    return used, out.select(by, "fid", *[F.col(f"n{c}").alias(c) for c in _CORNERS])
+
+
+def edge_lengths(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """a, b, length of every edge once."""
+    rows = edges(faces).select("a", "b").distinct()
+    for c in "ab":
+        rows = rows.join(vertices.select(F.col("vid").alias(c), F.struct("x", "y", "z").alias(f"p{c}")), c)
+    return rows.select("a", "b", _length(_minus(F.col("pa"), F.col("pb"))).alias("length"))

@@ -127,3 +127,30 @@ def outside_boxes(points: DataFrame, boxes: list[tuple[float, ...]], classes: li
             hit = hit & F.col(c).between(b[i], b[i + 3])
         inside = inside | hit
     return points.filter(~inside & ~F.col("cls").isin(classes))
+
+
+def nearest_other(points: DataFrame, others: DataFrame, size: float) -> DataFrame:
+    """x, y, z of the distinct places of points, with the id and the distance of the nearest of ``others`` (id, x, y, z; the lowest id on a tie).
+
+    As in ``neighbour_distance``, the radius doubles for the places that have none within it; without others there is no row.
+    """
+    open_places, done, radius = points.select(*AXES).distinct(), None, size
+    if others.isEmpty():
+        return open_places.limit(0).select("*", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("d"))
+    while True:
+        b = others.select("id", *[F.col(c).alias(f"o{c}") for c in AXES], *[cell(c, radius).alias(f"c{c}") for c in AXES])
+        d2 = sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in AXES[1:]), F.pow(F.col("x") - F.col("ox"), 2))
+        near = _around(open_places, radius).join(b, [f"c{c}" for c in AXES]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+        found = _written(near.groupBy(*AXES).agg(F.min(F.struct("d2", "id")).alias("m")).select(*AXES, F.col("m.id").alias("id"), F.sqrt("m.d2").alias("d")))
+        done = found if done is None else done.unionByName(found)
+        open_places = open_places.join(found, list(AXES), "left_anti")
+        if open_places.isEmpty():
+            return done
+        radius *= 2
+
+
+def filter_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: points before and after filters, removed, and the share retained in percent (0 of none)."""
+    counts = before.agg(F.count(F.lit(1)).alias("input")).crossJoin(F.broadcast(after.agg(F.count(F.lit(1)).alias("output"))))
+    share = F.when(F.col("input") > 0, 100.0 * F.col("output") / F.col("input")).otherwise(0.0)
+    return counts.select("input", "output", (F.col("input") - F.col("output")).alias("removed"), share.alias("retained"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from aerolith.plans import files, flights, scenes
+    from aerolith.plans import depths, files, flights, maskviews, registry, reports, scenes
 
-    return [flights, scenes, files]
+    return [flights, scenes, depths, maskviews, reports, registry, files]
 
 
 def queries() -> dict:

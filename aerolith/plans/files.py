@@ -83,19 +83,34 @@ def extent_wkt(spark: SparkSession, d: str) -> DataFrame:
     return g.select("flight_id", exports.box_wkt(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("wkt"))
 
 
-@query(f"SELECT flight_id, count(*) AS fixes, round_even(max(lat), 6) AS top, arg_max(seq, row(t, seq)) % 991 AS last FROM {TEL} GROUP BY flight_id")
+@query(f"""
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY t, seq) AS k FROM {TEL})
+SELECT flight_id, 0 AS k, 'LineString' AS kind, round_even(min(lon), 7) AS a, round_even(max(lat), 7) AS b, count(*)::DOUBLE AS c FROM o GROUP BY flight_id
+UNION ALL SELECT flight_id, k, 'Point', round_even(lon, 7), round_even(lat, 7), round_even(alt, 4) FROM o""")
 def geojson_export(spark: SparkSession, d: str) -> DataFrame:
-    """Documents parsed again: length of the line, its box and its last position."""
-    doc = exports.geojson(view(spark, d, "telemetry"))
-    p = F.from_json("document", "struct<bbox:array<double>,features:array<struct<geometry:struct<coordinates:array<array<double>>>>>>")
-    line = F.col("p.features")[0]["geometry"]["coordinates"]
-    return doc.withColumn("p", p).select("flight_id", F.size(line).cast("long").alias("fixes"), F.bround(F.col("p.bbox")[3], 6).alias("top"), F.rint((F.element_at(line, -1)[0] + 122) / 1e-7).cast("long").alias("last"))
-
-
-@query(f"SELECT flight_id, 4 * count(*) AS numbers FROM {TEL} GROUP BY flight_id")
+    """Documents parsed again: of the line its western and northern end by the box and its length, of each point its place."""
+    schema = "struct<bbox:array<double>,features:array<struct<geometry:struct<type:string,coordinates:string>>>>"
+    p = exports.geojson(view(spark, d, "telemetry")).select("flight_id", F.from_json("document", schema).alias("p"))
+    p = p.select("flight_id", "p.bbox", F.posexplode("p.features").alias("k", "f")).withColumn("kind", F.col("f.geometry.type"))
+    place, line = F.from_json("f.geometry.coordinates", "array<double>"), F.from_json("f.geometry.coordinates", "array<array<double>>")
+    is_line = F.col("kind") == "LineString"
+    value = lambda of_line, i: F.when(is_line, of_line).otherwise(F.get(place, i))
+    a, b, c = value(F.col("bbox")[0], 0), value(F.col("bbox")[3], 1), value(F.size(line).cast("double"), 2)
+    return p.select("flight_id", "k", "kind", F.bround(a, 7).alias("a"), F.bround(b, 7).alias("b"), F.bround(c, 4).alias("c"))
+
+
+@query(f"""
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY t, seq) + 1 AS k FROM {TEL})
+SELECT flight_id, 0 AS k, 'document' AS id, NULL::DOUBLE AS lon, NULL::DOUBLE AS alt, 0 AS numbers FROM o GROUP BY flight_id
+UNION ALL SELECT flight_id, 1, flight_id || '_path', NULL, NULL, 3 * count(*) FROM o GROUP BY flight_id
+UNION ALL SELECT flight_id, k, flight_id || '_cam_' || lpad(seq::VARCHAR, 5, '0'), round_even(lon, 7), round_even(alt, 4), 3 FROM o""")
 def czml_export(spark: SparkSession, d: str) -> DataFrame:
-    p = F.from_json("document", "array<struct<id:string,position:struct<cartographicDegrees:array<double>>>>")
-    return exports.czml(view(spark, d, "telemetry")).withColumn("p", p).select("flight_id", F.size(F.col("p")[1]["position"]["cartographicDegrees"]).cast("long").alias("numbers"))
+    """Documents parsed again: header, path and a packet for each fix."""
+    degrees = "struct<cartographicDegrees:array<double>>"
+    p = exports.czml(view(spark, d, "telemetry")).select("flight_id", F.from_json("document", f"array<struct<id:string,polyline:struct<positions:{degrees}>,position:{degrees}>>").alias("p"))
+    p = p.select("flight_id", F.posexplode("p").alias("k", "x")).withColumn("at", F.col("x.position.cartographicDegrees"))
+    numbers = F.when(F.col("at").isNotNull(), F.size("at")).when(F.col("x.polyline").isNotNull(), F.size("x.polyline.positions.cartographicDegrees")).otherwise(0)
+    return p.select("flight_id", "k", "x.id", F.bround(F.get("at", 0), 7).alias("lon"), F.bround(F.get("at", 2), 4).alias("alt"), numbers.alias("numbers"))
 
 
 @query(f"SELECT 'v ' || printf('%.6f %.6f %.6f', x, y, z) AS line FROM {sql('vertices')} UNION ALL SELECT 'f ' || (i0 + 1) || ' ' || (i1 + 1) || ' ' || (i2 + 1) FROM {sql('faces')}")

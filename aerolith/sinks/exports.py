@@ -30,20 +30,38 @@ def box_wkt(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.concat(F.lit("SRID=4326;POLYGON(("), F.concat_ws(", ", *[F.concat_ws(" ", x.cast("string"), y.cast("string")) for x, y in corners]), F.lit("))"))
 
 
+def _fixes(order: str = "t") -> Column:
+    """Aggregate: the fixes of a flight in order."""
+    return F.array_sort(F.collect_list(F.struct(order, "seq", "lon", "lat", "alt")))
+
+
 def geojson(fixes: DataFrame) -> DataFrame:
-    """flight_id and a FeatureCollection with the track as a line; a document holds a flight."""
-    line = F.transform(F.array_sort(F.collect_list(F.struct("t", "seq", "lon", "lat", "alt"))), lambda p: F.array(p["lon"], p["lat"], p["alt"]))
+    """flight_id and a FeatureCollection: the track as a line, and a point for each fix; a document holds a flight."""
     box = F.array(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat"))
-    rows = fixes.groupBy("flight_id").agg(line.alias("line"), box.alias("bbox"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.col("line").alias("coordinates")).alias("geometry"), F.struct(F.col("flight_id").alias("flight")).alias("properties"))
-    return rows.select("flight_id", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.col("bbox"), F.array(feature).alias("features"))).alias("document"))
+    rows = fixes.groupBy("flight_id").agg(_fixes().alias("fixes"), box.alias("bbox"))
+
+    def feature(kind: str, coordinates: Column, *properties: Column) -> Column:
+        return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"), F.struct(*properties).alias("properties")))
+
+    place = lambda p: F.array(p["lon"], p["lat"], p["alt"])
+    line = feature("LineString", F.transform("fixes", place), F.col("flight_id").alias("flight"), F.size("fixes").alias("waypoints"))
+    points = F.transform("fixes", lambda p: feature("Point", place(p), p["seq"].alias("seq"), p["t"].alias("t")))
+    document = F.concat(F.lit('{"type":"FeatureCollection","bbox":'), F.to_json("bbox"), F.lit(',"features":['), F.array_join(F.concat(F.array(line), points), ","), F.lit("]}"))
+    return rows.select("flight_id", document.alias("document"))
 
 
 def czml(fixes: DataFrame) -> DataFrame:
-    """flight_id and a CZML document: a header packet and one of positions (t, lon, lat, alt, ...)."""
-    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("t", "seq", "lon", "lat", "alt"))), lambda p: F.array(p["t"], p["lon"], p["lat"], p["alt"])))
-    rows = fixes.groupBy("flight_id").agg(flat.alias("flat"))
-    body = F.to_json(F.struct(F.lit("trajectory").alias("id"), F.struct(F.struct(F.col("flat").alias("cartographicDegrees")).alias("x")).getField("x").alias("position")))
+    """flight_id and a CZML document: a header, the path as a polyline (lon, lat, alt, ...), and a packet for each fix."""
+    rows = fixes.groupBy("flight_id").agg(_fixes().alias("fixes"))
+    flat = F.flatten(F.transform("fixes", lambda p: F.array(p["lon"], p["lat"], p["alt"])))
+    path = F.struct(F.concat(F.col("flight_id"), F.lit("_path")).alias("id"), F.struct(F.struct(flat.alias("cartographicDegrees")).alias("positions"), F.lit(False).alias("clampToGround")).alias("polyline"))
+
+    def packet(p: Column) -> Column:
+        name = F.concat(F.col("flight_id"), F.lit("_cam_"), F.lpad(p["seq"].cast("string"), 5, "0"))
+        degrees = F.struct(F.array(p["lon"], p["lat"], p["alt"]).alias("cartographicDegrees"))
+        return F.to_json(F.struct(name.alias("id"), degrees.alias("position"), F.struct(p["seq"].alias("frame_index"), p["t"].alias("timestamp_sec")).alias("properties")))
+
+    body = F.array_join(F.concat(F.array(F.to_json(path)), F.transform("fixes", packet)), ",")
     return rows.select("flight_id", F.concat(F.lit('[{"id":"document","version":"1.0"},'), body, F.lit("]")).alias("document"))
 
 
