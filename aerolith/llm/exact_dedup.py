@@ -13,9 +13,10 @@ counts as empty. The text is identified by the SHA-256 of its lower-cased UTF-8.
 
 Defined cases: rows with one doc_id are the same document, so that each row that
 carries the winning doc_id is marked as kept, and ``keep_winners`` returns one of
-them; a null doc_id loses to any other; empty and null texts form one group; an
-empty table gives an empty result. Columns other than doc_id and text are carried
-by ``keep_winners`` and never read.
+them; a null doc_id loses to any other; empty and null texts form one group; a text of any
+length is digested whole, one batch of rows in memory at a time; an empty table gives an
+empty result. Columns other than doc_id and text are carried by ``keep_winners``, whatever
+their names, and never read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from aerolith.llm import common
 
 COUNTERS = 256
+BROADCAST_ROWS = 500_000
 
 
 def digest_of(text: bytes | None) -> bytes:
@@ -106,19 +108,31 @@ def mark_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     )
 
 
-def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        yield batch.append_column("__digest", pa.array(_digests(batch.column(at)), pa.binary()))
+def _exceptions(table: DataFrame, heavy: DataFrame) -> DataFrame:
+    """digest, id, go of the light documents that go (a larger doc_id has their text), or that several rows repeat (go is false)."""
+    light = table.filter("weight is null").join(F.broadcast(heavy.select("digest")), "digest", "left_anti").groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    keep = light.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("rows")).filter("rows > 1").select("digest", "keep_id")
+    light = light.join(keep, "digest").withColumn("go", ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return light.filter("go or n > 1").select("digest", F.col("doc_id").alias("id"), "go")
 
 
-def keep_winners(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs that stay, all columns, one for each distinct text."""
-    heavy = F.broadcast(common.spill(heavy_winners(digest_table(docs, counters), counters).withColumnsRenamed({"digest": "__digest", "keep_id": "__keep_id"}).drop("group_size"), "heavy")[0])
-    rows = docs.mapInArrow(_with_digest, common.extended(docs.schema, __digest="binary"))
-    order = Window.partitionBy("__digest").orderBy(F.col("doc_id").desc_nulls_last())
-    light = rows.join(heavy.select("__digest"), "__digest", "left_anti").withColumn("__n", F.row_number().over(order)).filter("__n = 1")
-    hot = rows.join(heavy, "__digest").filter(F.col("doc_id").eqNullSafe(F.col("__keep_id")))
-    kept = F.struct(*[F.col(c) for c in docs.columns])
-    hot = hot.groupBy("__digest").agg(F.first(kept).alias("__row")).select("__row.*")
-    return light.select(*docs.columns).unionByName(hot.select(*docs.columns))
+def keep_winners(docs: DataFrame, counters: int = COUNTERS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs that stay, all columns, one for each distinct text.
+
+    What goes is decided from digests and ids; the rows themselves never leave the JVM. Texts are only shuffled if more than broadcast_rows light documents go or
+    repeat; rows that repeat a document, and the winners of heavy digests, are merged to one.
+    """
+    digest, heavy_digest, keep_id, odd_digest, odd_id, go = (common.unused(docs.columns, c) for c in ("digest_", "heavy_", "keep_", "odd_", "odd_id_", "go_"))
+    table = digest_table(docs, counters)
+    heavy = common.spill(heavy_winners(table, counters).drop("group_size"), "heavy")[0]
+    odd = common.spill(_exceptions(table, heavy), "exceptions")[0]
+    few = odd.count() <= broadcast_rows
+    odd = odd.toDF(odd_digest, odd_id, go)
+    rows = docs.withColumn(digest, F.unhex(F.sha2(common.lower_ascii(F.coalesce("text", F.lit(""))), 256)))
+    rows = rows.join(F.broadcast(heavy.toDF(heavy_digest, keep_id)), F.col(digest) == F.col(heavy_digest), "left")
+    rows = rows.filter(F.col(heavy_digest).isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)))
+    same = (F.col(digest) == F.col(odd_digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(odd_id))
+    rows = rows.join(F.broadcast(odd) if few else odd.hint("shuffle_hash"), same, "left").filter(F.coalesce(~F.col(go), F.lit(True)))
+    alone = F.col(heavy_digest).isNull() & F.col(go).isNull()
+    merged = rows.filter(~alone).groupBy(digest).agg(F.first(F.struct(*docs.columns)).alias(go)).select(f"{go}.*")
+    return rows.filter(alone).select(*docs.columns).unionByName(merged)

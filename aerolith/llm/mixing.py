@@ -15,7 +15,9 @@ doc_id, so that reruns and retries agree.
 The source table has one row for each source; its size is counted before it is
 broadcast, and beyond ``broadcast_rows`` sources it is joined by shuffle with the
 source key salted. Defined cases: null text has size 0; a source of size 0 has
-target 0 and rate 0; null doc_ids share one draw; an empty table gives no rows.
+target 0 and rate 0; null doc_ids share one draw, and so do repeated rows, each of which
+counts; a text of any length is counted in one pass; an empty table gives no rows; extra
+columns are carried by ``mix``, whatever their names, and never read.
 """
 
 from __future__ import annotations
@@ -68,29 +70,31 @@ def copies(doc_id: Column, target: Column, source_size: Column, seed: str = SEED
     return (whole + F.when(uniform(doc_id, seed) < rate - whole, 1).otherwise(0)).cast("long")
 
 
-def _with_targets(rows: DataFrame, plan: DataFrame, broadcast_rows: int) -> DataFrame:
-    plan = plan.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+def _with_targets(rows: DataFrame, plan: DataFrame, broadcast_rows: int) -> tuple[DataFrame, str, str]:
+    """rows with the size and the target of their source, and the names of these two columns."""
+    source, size, target, salt, own = names = [common.unused(rows.columns, c) for c in ("of_source_", "source_size_", "target_", "salt_", "own_salt_")]
+    plan = plan.select(F.col("source").alias(source), F.col("source_size").alias(size), F.col("target").alias(target))
+    on = F.col("source").eqNullSafe(F.col(source))
     if plan.count() <= broadcast_rows:
-        return rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__source")), "left")
-    salted = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("__row_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    on = F.col("source").eqNullSafe(F.col("__source")) & (F.col("__row_salt") == F.col("__salt"))
-    return rows.join(salted, on, "left").drop("__salt", "__row_salt")
+        return rows.join(F.broadcast(plan), on, "left"), *names[1:3]
+    salted = plan.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn(own, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, on & (F.col(own) == F.col(salt)), "left"), *names[1:3]
 
 
 def mix_report(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING, seed: str = SEED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs."""
     sizes = common.spill(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")[0]
     plan = common.spill(targets(sizes, share, ceiling), "targets")[0]
-    rows = _with_targets(sizes, plan, broadcast_rows)
-    n = copies(F.col("doc_id"), F.col("__target"), F.col("__source_size"), seed)
-    return rows.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (n * F.col("size")).alias("taken"))
+    rows, source_size, target = _with_targets(sizes, plan, broadcast_rows)
+    n = copies(F.col("doc_id"), F.col(target), F.col(source_size), seed)
+    return rows.select("doc_id", "size", F.col(source_size).alias("source_size"), F.col(target).alias("target"), (n * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING, seed: str = SEED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with each row as often as the mix takes it; the same columns."""
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
     plan = common.spill(targets(sizes, share, ceiling), "targets")[0]
-    rows = _with_targets(docs, plan, broadcast_rows)
-    n = copies(F.col("doc_id"), F.col("__target"), F.col("__source_size"), seed)
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
+    rows, source_size, target = _with_targets(docs, plan, broadcast_rows)
+    n = copies(F.col("doc_id"), F.col(target), F.col(source_size), seed)
+    return rows.withColumn(common.unused(rows.columns, "copy_"), F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
