@@ -70,7 +70,7 @@ MAX_COMMON = 1_000_000
 PART_BYTES = 48 << 20
 CACHE = 200_000
 #: Rows of an Arrow batch: of texts, and of sets.
-TEXT_ROWS, SET_ROWS = 2_000, 250
+TEXT_ROWS, SET_ROWS = 1_000, 250
 #: A tile's classes, and their shingles in all, at most (on average).
 TILE_ROWS, TILE_SHINGLES = 256, 1 << 18
 COLUMNS = 4096

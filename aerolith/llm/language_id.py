@@ -19,7 +19,10 @@ text. Every lang value is learned. Languages are dealt in order to blocks with c
 of about ``BLOCK_CELLS`` cells; a text's shortest code and the sum over languages are carried
 from block to block, so that only one block is in memory. Defined cases: null text, text without a
 letter, or a table without any labelled row give ``und`` with score 0; ties go to the
-language that sorts first; a null doc_id counts as the text ''.
+language that sorts first; a null doc_id counts as the text ''; repeated rows each give
+their row, and each counts in the training fold; a text of any length is scored in pieces of
+``CHUNK_BYTES`` that keep their context; an empty table gives no rows; extra columns are
+carried by ``keep_identified``, whatever their names, and never read.
 """
 
 from __future__ import annotations
@@ -38,7 +41,9 @@ UNDETERMINED = "und"
 ORDER = 3
 TRAIN_ROWS = 2_000
 BLOCK_CELLS = 1 << 26
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 1_000
 _PAD = b"\n" * ORDER
 
 
@@ -73,7 +78,7 @@ def _gram_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang in list(waiting):
         settle(lang)
     for lang, (keys, n) in counts.items():
-        yield pa.record_batch([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 class Model:
@@ -213,10 +218,7 @@ def classify(texts: list[bytes | None], letters: list[bool | None], model: Model
     return langs, least, mass
 
 
-_STATE = ("__lang_pred", "__lang_bits", "__lang_mass")
-
-
-def _block_pass(shared, first: bool):
+def _block_pass(shared, first: bool, state: list[str]):
     """Batches with the state after one more block of languages; on a tie the earlier language stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +233,16 @@ def _block_pass(shared, first: bool):
                 least = np.minimum(bits, old_bits)
                 mass = mass * np.exp2(np.maximum(least - bits, -1000)) + old_mass * np.exp2(np.maximum(least - old_bits, -1000))
                 bits, columns = least, columns[:-3]
-            names = [*batch.schema.names[: len(columns)], *_STATE]
+            names = [*batch.schema.names[: len(columns)], *state]
             yield pa.record_batch([*columns, pa.array(langs, pa.string()), pa.array(bits, pa.float64()), pa.array(mass, pa.float64())], names=names)
 
     return run
 
 
-def predict(docs: DataFrame, models: Iterator[Model]) -> DataFrame:
-    """docs with __lang_pred and __lang_score; only text is read for them. With several blocks the rows are written between them."""
+def predict(docs: DataFrame, models: Iterator[Model]) -> tuple[DataFrame, str, str]:
+    """docs with the language and its score, and the names of these two columns; only text is read for them. With several blocks the rows are written between them."""
     spark, fields, rows, path = docs.sparkSession, docs.schema, docs, None
+    lang, bits, mass, out = state = [common.unused(docs.columns, c) for c in ("lang_pred", "lang_bits", "lang_mass", "lang_score")]
     shared = None
     for model in models:
         if shared is not None:
@@ -249,24 +252,27 @@ def predict(docs: DataFrame, models: Iterator[Model]) -> DataFrame:
                 common.discard(spark, path)
             path = done
         first, shared = shared is None, spark.sparkContext.broadcast(model)
-        rows = rows.mapInArrow(_block_pass(shared, first), common.extended(fields, __lang_pred="string", __lang_bits="double", __lang_mass="double"))
+        rows = rows.mapInArrow(_block_pass(shared, first, state[:3]), common.extended(fields, **{lang: "string", bits: "double", mass: "double"}))
     if shared is None:
-        return docs.select("*", F.lit(UNDETERMINED).alias("__lang_pred"), F.lit(0.0).alias("__lang_score"))
-    score = F.when(F.col("__lang_pred").isNull(), F.lit(0.0)).otherwise(1 / F.col("__lang_mass"))
-    return rows.select(*docs.columns, F.coalesce("__lang_pred", F.lit(UNDETERMINED)).alias("__lang_pred"), score.alias("__lang_score"))
+        return docs.select("*", F.lit(UNDETERMINED).alias(lang), F.lit(0.0).alias(out)), lang, out
+    score = F.when(F.col(lang).isNull(), F.lit(0.0)).otherwise(1 / F.col(mass))
+    return rows.select(*docs.columns, F.coalesce(lang, F.lit(UNDETERMINED)).alias(lang), score.alias(out)), lang, out
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, **limits: int) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row; rows of the held-out fold are never learned from."""
+    """doc_id, held_out, lang_pred, score for every row, written; rows of the held-out fold are never learned from."""
     out = fold(F.col("doc_id"), folds) == held_out
-    models = train(docs.filter(~out).select("doc_id", "text", "lang"), **limits)
-    rows = predict(docs.select("doc_id", "text"), models)
-    return rows.select("doc_id", out.alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
+    with common.batch_rows(docs.sparkSession, TEXT_ROWS), common.workspace(docs.sparkSession) as result:
+        models = train(docs.filter(~out).select("doc_id", "text", "lang"), **limits)
+        rows, lang, score = predict(docs.select("doc_id", "text"), models)
+        return result(rows.select("doc_id", out.alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score")), "languages")
 
 
 def keep_identified(docs: DataFrame, languages: list[str] | None = None, min_score: float = 0.5, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """The rows of docs whose language was found with min_score at least, one of ``languages`` if these are given."""
+    """The rows of docs, written, whose language was found with min_score at least, one of ``languages`` if these are given."""
     out = fold(F.col("doc_id"), folds) == held_out
-    models = train(docs.filter(~out).select("doc_id", "text", "lang"))
-    rows = predict(docs, models).filter((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= min_score))
-    return (rows.filter(F.col("__lang_pred").isin(languages)) if languages else rows).select(*docs.columns)
+    with common.batch_rows(docs.sparkSession, TEXT_ROWS), common.workspace(docs.sparkSession) as result:
+        models = train(docs.filter(~out).select("doc_id", "text", "lang"))
+        rows, lang, score = predict(docs, models)
+        rows = rows.filter((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score))
+        return result((rows.filter(F.col(lang).isin(languages)) if languages else rows).select(*docs.columns), "identified")

@@ -33,6 +33,8 @@ from aerolith.llm.tokenize import shared_encoder
 
 CAPACITY = 2048
 END = 0
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 1_000
 PER_TASK = 50_000
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -105,7 +107,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = common.spill(rows.mapInArrow(_piece_pass(public_tokenizers.path(vocabulary), capacity, end), schema), "pieces")[0]
+    with common.batch_rows(docs.sparkSession, TEXT_ROWS):
+        pieces = common.spill(rows.mapInArrow(_piece_pass(public_tokenizers.path(vocabulary), capacity, end), schema), "pieces")[0]
     tasks = max(1, -(-pieces.count() // per_task))
     dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
     return dealt.mapInArrow(_pack_pass(capacity), schema + ", sequence_id long, offset long")
