@@ -11,12 +11,14 @@ The CRF has weights for (feature, label), (label, label) and the first label. It
 features are buckets of a line's shape: length, capitals, digits, marks at word ends,
 separators, repeated words, equality to an earlier line, legal and navigation words.
 It is fitted by gradient ascent on the conditional log-likelihood over the documents
-of the labels table: lines of low-quality documents that look unlike prose and lines
-repeated in a document are boilerplate, all others content. Bounds: about
+of the labels table: lines of low-quality documents and lines repeated in a document are
+boilerplate, all others content. Bounds: about
 ``train_rows`` labelled rows, chosen by a hash of doc_id, and fewer of them if their texts
 hold over ``TRAIN_BYTES``; each is learned from whole, and every row is scored on its
 whole text. Defined cases: a null or empty text fails the rules; with no labelled row
-the weights are 0, and every line counts as content.
+the weights are 0, and every line counts as content; a line that both labels explain equally
+well is content; repeated rows and rows without doc_id each give their row; a text of any
+length is labelled whole; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -121,11 +123,9 @@ def line_features(text: bytes) -> tuple[list[list[int]], list[int]]:
     return rows, sizes
 
 
-def weak_labels(rows: list[list[int]], quality: int) -> list[int]:
-    """Labels to learn from: in a low-quality document, lines with marks, separators, runs or capitals; and repeated lines anywhere."""
-    offset = {name: len(_FLAGS) + _BUCKETS * i for i, name in enumerate(_RATIOS)}
-    odd = {offset[name] + k for name in ("upper", "digit", "marked", "separator", "run") for k in range(1, _BUCKETS)} | {offset["distinct"] + k for k in range(3)}
-    return [int(1 in row or (quality == 0 and not odd.isdisjoint(row))) for row in rows]
+def row_labels(rows: list[list[int]], quality: int) -> list[int]:
+    """Labels to learn from: all lines of a document of low quality are boilerplate, and in others those that repeat an earlier one."""
+    return [int(quality == 0 or 1 in row) for row in rows]
 
 
 class LineCrf:
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> L
         found.append((r["doc_id"], r["quality"], line_features(bytes(r["text"] or b""))[0]))
     found.sort(key=lambda x: x[0])
     lines = [x for _, _, x in found]
-    return LineCrf().fit(lines, [weak_labels(x, q) for _, q, x in found])
+    return LineCrf().fit(lines, [row_labels(x, q) for _, q, x in found])
 
 
 def _judge_pass(shared, min_content: float):
