@@ -104,10 +104,25 @@ def quadrants(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(mid)).select("fid", ((cx >= F.col("mx")).cast("int") + 2 * (cy >= F.col("my")).cast("int")).alias("tile"))
 
 
-def planar_uv(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """fid, corner, u, v: the place of each corner in the bounding rectangle of all vertices (one row, broadcast)."""
+def vertex_normals(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """vid, nx, ny, nz: the mean of the normals of a vertex's faces, by area; up where there is none."""
+    rows = with_corners(faces, vertices)
+    n = [c.alias(f"n{a}") for a, c in zip("xyz", normal(*[F.col(f"p{k}") for k in range(3)]), strict=True)]
+    sums = rows.select(F.explode(F.array(*_CORNERS)).alias("vid"), *n).groupBy("vid").agg(*[F.sum(f"n{a}").alias(f"n{a}") for a in "xyz"])
+    size = _length([F.col("nx"), F.col("ny"), F.col("nz")])
+    some = F.coalesce(size > 0, F.lit(False))
+    return vertices.select("vid").join(sums, "vid", "left").withColumn("size", size).select("vid", *[F.when(some, F.col(f"n{a}") / F.col("size")).otherwise(1.0 if a == "z" else 0.0).alias(f"n{a}") for a in "xyz"])
+
+
+def vertex_uv(vertices: DataFrame) -> DataFrame:
+    """vid, u, v: the place of each vertex in the bounding rectangle of all (one row, broadcast)."""
     box = vertices.agg(*[F.min(c).alias(f"{c}0") for c in "xy"], *[F.greatest(F.lit(1e-4), F.max(c) - F.min(c)).alias(f"d{c}") for c in "xy"])
-    uv = vertices.crossJoin(F.broadcast(box)).select("vid", ((F.col("x") - F.col("x0")) / F.col("dx")).alias("u"), ((F.col("y") - F.col("y0")) / F.col("dy")).alias("v"))
+    return vertices.crossJoin(F.broadcast(box)).select("vid", ((F.col("x") - F.col("x0")) / F.col("dx")).alias("u"), ((F.col("y") - F.col("y0")) / F.col("dy")).alias("v"))
+
+
+def planar_uv(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """fid, corner, u, v of each corner, by ``vertex_uv``."""
+    uv = vertex_uv(vertices)
     corners = F.posexplode(F.array(*_CORNERS)).alias("corner", "vid")
     return faces.select("fid", corners).join(uv, "vid").select("fid", "corner", "u", "v")
 

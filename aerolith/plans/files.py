@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import rules
 from aerolith.plans.views import sql, table, view
+from aerolith.operators import meshes
 from aerolith.sinks import exports
 from aerolith.sources import telemetry_files as tf
 from aerolith.streaming import progress
@@ -113,9 +114,22 @@ def czml_export(spark: SparkSession, d: str) -> DataFrame:
     return p.select("flight_id", "k", "x.id", F.bround(F.get("at", 0), 7).alias("lon"), F.bround(F.get("at", 2), 4).alias("alt"), numbers.alias("numbers"))
 
 
-@query(f"SELECT 'v ' || printf('%.6f %.6f %.6f', x, y, z) AS line FROM {sql('vertices')} UNION ALL SELECT 'f ' || (i0 + 1) || ' ' || (i1 + 1) || ' ' || (i2 + 1) FROM {sql('faces')}")
+_F, _V = sql("faces"), sql("vertices")
+
+
+@query(f"""
+WITH c AS (SELECT f.*, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM {_F} f JOIN {_V} a ON a.vid = i0 JOIN {_V} b ON b.vid = i1 JOIN {_V} c ON c.vid = i2),
+n AS (SELECT *, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS nz FROM c),
+s AS (SELECT vid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM (SELECT i0 AS vid, nx, ny, nz FROM n UNION ALL SELECT i1, nx, ny, nz FROM n UNION ALL SELECT i2, nx, ny, nz FROM n) GROUP BY vid),
+l AS (SELECT v.vid, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS size FROM {_V} v LEFT JOIN s USING (vid)),
+b AS (SELECT min(x) AS x0, min(y) AS y0, greatest(1e-4, max(x) - min(x)) AS dx, greatest(1e-4, max(y) - min(y)) AS dy FROM {_V})
+SELECT 0 AS part, unnest(['mtllib model.mtl', 'usemtl DefaultMaterial']) AS line UNION ALL SELECT 1, printf('v %.6f %.6f %.6f', x, y, z) FROM {_V}
+UNION ALL SELECT 2, CASE WHEN size > 0 THEN printf('vn %.6f %.6f %.6f', nx / size + 0.0, ny / size + 0.0, nz / size + 0.0) ELSE 'vn 0.000000 0.000000 1.000000' END FROM l
+UNION ALL SELECT 3, printf('vt %.6f %.6f', (x - x0) / dx, (y - y0) / dy) FROM {_V}, b
+UNION ALL SELECT 4, printf('f %d/%d/%d %d/%d/%d %d/%d/%d', i0 + 1, i0 + 1, i0 + 1, i1 + 1, i1 + 1, i1 + 1, i2 + 1, i2 + 1, i2 + 1) FROM {_F}""")
 def obj_export(spark: SparkSession, d: str) -> DataFrame:
-    return exports.obj_lines(view(spark, d, "vertices"), view(spark, d, "faces")).select("line")
+    f, v = view(spark, d, "faces"), view(spark, d, "vertices")
+    return exports.obj_lines(v, f, meshes.vertex_normals(f, v), meshes.vertex_uv(v)).select("place.part", "line")
 
 
 @query(f"SELECT l_orderkey, CAST(round_even((x - 1) / 0.001, 0) AS INT) AS x, CAST(round_even(conf_pct / 100 * 65535, 0) AS INT) AS intensity, [1, 6, 11, 2, 5, 13, 14, 17, 9, 1, 1][cls + 1] AS code, (l_orderkey % 256)::INT << 8 AS r, CAST(least(65535, round_even(z * 1000, 0)) AS INT) AS depth FROM {sql('observations')}")

@@ -65,11 +65,22 @@ def czml(fixes: DataFrame) -> DataFrame:
     return rows.select("flight_id", F.concat(F.lit('[{"id":"document","version":"1.0"},'), body, F.lit("]")).alias("document"))
 
 
-def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """place, line of an OBJ file: vertices in order of vid, then faces, which count from 1."""
-    v = vertices.select(F.struct(F.lit(0), F.col("vid").cast("long")).alias("place"), F.format_string("v %.6f %.6f %.6f", F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double")).alias("line"))
-    f = faces.select(F.struct(F.lit(1), F.col("fid").cast("long")).alias("place"), F.format_string("f %d %d %d", (F.col("i0") + 1).cast("long"), (F.col("i1") + 1).cast("long"), (F.col("i2") + 1).cast("long")).alias("line"))
-    return v.union(f)
+def obj_lines(vertices: DataFrame, faces: DataFrame, normals: DataFrame, uv: DataFrame, material: str = "model") -> DataFrame:
+    """place, line of an OBJ file: header, vertices, normals and texture places (vid, ...) in order of vid, then faces; all count from 1."""
+    spark = vertices.sparkSession
+    head = [f"mtllib {material}.mtl", "usemtl DefaultMaterial"]
+    out = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)], "part int, n long, line string").select(F.struct("part", "n").alias("place"), "line")
+    for part, tag, rows, columns in ((1, "v", vertices, "xyz"), (2, "vn", normals, ("nx", "ny", "nz")), (3, "vt", uv, "uv")):
+        text = F.format_string(" ".join([tag, *["%.6f"] * len(columns)]), *[F.col(c).cast("double") + 0.0 for c in columns])
+        out = out.union(rows.select(F.struct(F.lit(part).alias("part"), F.col("vid").cast("long").alias("n")).alias("place"), text.alias("line")))
+    corners = [(F.col(c) + 1).cast("long") for c in ("i0", "i1", "i2")]
+    text = F.format_string("f %d/%d/%d %d/%d/%d %d/%d/%d", *[c for c in corners for _ in range(3)])
+    return out.union(faces.select(F.struct(F.lit(4).alias("part"), F.col("fid").cast("long").alias("n")).alias("place"), text.alias("line")))
+
+
+def mtl_lines(material: str = "model") -> list[str]:
+    """The material of an OBJ file: white, matt, with a texture."""
+    return ["newmtl DefaultMaterial", "Ka 1.000 1.000 1.000", "Kd 1.000 1.000 1.000", "Ks 0.000 0.000 0.000", "d 1.0", "illum 2", f"map_Kd {material}_diffuse.png"]
 
 
 def quantised(depth: Column, scale: float = 1000.0) -> Column:
