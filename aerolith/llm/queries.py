@@ -105,7 +105,7 @@ def _op9_sql() -> str:
         )
     return f"""
 WITH rules(id, label, pattern, keywords, priority, confidence) AS (VALUES {rules}),
-n AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' ') AS norm FROM documents),
+n AS (SELECT doc_id, trim(regexp_replace({LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' ') AS norm FROM documents),
 t AS (SELECT doc_id, ' ' || replace(norm, ' ', '  ') || ' ' AS spaced, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS n_words FROM n),
 b AS ({' UNION ALL '.join(base)}),
 bases AS (SELECT doc_id, sum(n) AS n_base, min(s) AS first_word, max(e) AS last_word, list(label) AS labels FROM b GROUP BY doc_id),
