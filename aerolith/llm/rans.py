@@ -108,40 +108,46 @@ def encode_block(ids: np.ndarray, table: Table) -> tuple[bytes, bytes]:
     return _BLOCK.pack(n, lanes, len(stream), len(marks), zlib.crc32(ids.astype("<u4").tobytes())), b"".join(body)
 
 
-def _run(x: np.ndarray, words: np.ndarray, at: int, steps: int, table: Table) -> np.ndarray:
+def _run(states: list[np.ndarray], words: np.ndarray, at: list[int], steps: list[int], table: Table) -> np.ndarray:
+    """The ids of several parts of a block, one after another; all advance together, each from its own states and words. Longer parts come first."""
     bits, mask = np.uint64(table.bits), np.uint64((1 << table.bits) - 1)
-    out = np.empty((steps, len(x)), np.uint32)
-    for t in range(steps):
-        slot = x & mask
-        s = out[t] = table.slots[slot]
-        x = table.freq[s] * (x >> bits) + slot - table.start[s]
-        low = x < _LOW
-        k = int(np.count_nonzero(low))
-        if k:
-            x[low] = x[low] << _WORD | words[at : at + k]
-            at += k
-    return out.ravel()
+    x, place = np.stack(states), np.array(at, np.int64)
+    out = np.empty((len(states), steps[0], x.shape[1]), np.uint32)
+    for t in range(steps[0]):
+        live = sum(n > t for n in steps[-2:]) + len(steps[:-2])  # the last part may be shorter
+        y = x[:live]
+        slot = y & mask
+        s = out[:live, t] = table.slots[slot]
+        y = table.freq[s] * (y >> bits) + slot - table.start[s]
+        low = y < _LOW
+        taken = np.cumsum(low, axis=1)
+        if taken[:, -1].any():
+            y[low] = y[low] << _WORD | words[(place[:live, None] + taken - 1)[low]]
+            place[:live] += taken[:, -1]
+        x[:live] = y
+    return np.concatenate([o[:n].ravel() for o, n in zip(out, steps, strict=True)])
 
 
 def decode_block(entry: bytes, body: memoryview, table: Table, parts: Iterable[int] | None = None) -> np.ndarray:
-    """The ids of a block; ``parts`` decodes only these checkpoint parts (0 is the block's start), without the checksum."""
+    """The ids of a block, all checkpoint parts side by side; ``parts`` decodes only these (0 is the block's start), without the checksum."""
     n, lanes, n_words, n_marks, crc = _BLOCK.unpack(entry)
     steps = -(-n // lanes) if n else 0
-    states = np.frombuffer(body, "<u8", lanes).astype(np.uint64)
-    starts = [(0, 0, states)]
+    starts = [(0, 0, np.frombuffer(body, "<u8", lanes).astype(np.uint64))]
     at = 8 * lanes
     for _ in range(n_marks):
         t, word = struct.unpack_from("<II", body, at)
         starts.append((t, word, np.frombuffer(body, "<u8", lanes, at + 8).astype(np.uint64)))
         at += 8 + 8 * lanes
     words = np.frombuffer(body, "<u4", n_words, at).astype(np.uint64)
-    if parts is None:
-        ids = _run(states, words, 0, steps, table)[:n]
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-            raise ValueError("a block's checksum doesn't match")
-        return ids
     ends = [s[0] for s in starts[1:]] + [steps]
-    return np.concatenate([_run(starts[k][2].copy(), words, starts[k][1], ends[k] - starts[k][0], table)[: max(0, n - starts[k][0] * lanes)] for k in parts])
+    chosen = range(len(starts)) if parts is None else sorted(parts)
+    lengths = [ends[k] - starts[k][0] for k in chosen]
+    ids = _run([starts[k][2] for k in chosen], words, [starts[k][1] for k in chosen], lengths, table)
+    if chosen and chosen[-1] == len(starts) - 1:
+        ids = ids[: len(ids) - (steps * lanes - n)]
+    if parts is None and zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        raise ValueError("a block's checksum doesn't match")
+    return ids
 
 
 def body_size(entry: bytes) -> int:

@@ -11,10 +11,13 @@
 
 Parquet is only the container, so that Spark's committer makes each part appear whole
 or not at all on any file system; blobs don't depend on it. ``read`` decodes every
-segment by itself and gives each document its place among all ids. Texts are encoded
+segment by itself, the checkpoint parts of a block side by side, and gives each document
+its place among all ids. Texts are encoded
 once, into a table of ids that is deleted after the segments are written. Defined
 cases: null text is empty and has the end id alone; repeated rows are stored each for
-itself; an empty table gives files with no segment.
+itself, in one part if their doc_id is the same, as are all rows without doc_id; a text of any
+length lies in one segment, over as many blocks as it needs; an empty table gives files
+with no segment; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 SEGMENT = 1 << 20
 PART_IDS = 8 << 20
+PARTS_A_BLOCK = 4096
+BROADCAST_PARTS = 1_000_000
 _COUNTS = pa.list_(pa.struct([("token", pa.int32()), ("n", pa.int64())]))
 
 
@@ -126,10 +131,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/table").first()["data"]))
     segments = spark.read.schema("part int, seq int, start long, ids long, blob binary").parquet(f"{path}/segments")
     rows = segments.select("part", "start", "blob").mapInArrow(_decode_pass(shared), "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    # a row for each part, as many as there are files
-    sizes = segments.groupBy("part").agg(F.sum("ids").alias("n"))
-    bases = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    sizes = segments.groupBy("part").agg(F.sum("ids").alias("n")).withColumn("block", F.floor(F.col("part") / PARTS_A_BLOCK))  # a row for each file
+    earlier = lambda w: F.sum("n").over(w) - F.col("n")
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("n")).select("block", earlier(Window.orderBy("block")).alias("before"))  # a row for PARTS_A_BLOCK files
+    bases = sizes.select("block", "part", earlier(Window.partitionBy("block").orderBy("part")).alias("inside")).join(blocks, "block")
+    bases = bases.select("part", (F.col("before") + F.col("inside")).alias("base"))
+    few = sizes.count() <= BROADCAST_PARTS
+    return rows.join(F.broadcast(bases) if few else bases, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
