@@ -7,12 +7,13 @@ new sequence, it goes where the sum over gaps g of N(g)**2 becomes smallest, N(g
 the number of open sequences with g ids of room. Sequences that are full count no more.
 Among equal choices the tightest gap wins.
 
-Pieces are dealt to tasks by a hash of (doc_id, piece), some ``per_task`` pieces to a
-task, and each task packs its own sequences, longest pieces first and then by (doc_id,
-piece), so that a retry gives the same result; no task sees more than its share, and
+Pieces are written with a row number and dealt to tasks by a hash of it, some ``per_task``
+pieces to a task, and each task packs its own sequences, longest pieces first and then by
+(doc_id, piece, row), so that a retry gives the same result; no task sees more than its share, and
 each leaves only a few sequences unfilled. Texts and ids never move: a piece travels as its length and
 checksum. Defined cases: null text is empty and gives one piece, the end id alone;
-repeated rows are packed each for itself; an empty table gives no rows.
+repeated rows and rows without doc_id are packed each for itself; a text of any length is
+encoded whole and then cut; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ def _piece_pass(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(path)
         tail = np.array([end], "<u4").tobytes()
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), pc.cast(batch.column(1), pa.binary()).to_pylist(), strict=True):
@@ -58,7 +60,9 @@ def _piece_pass(path: str, capacity: int, end: int):
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     for column, value in zip(out, (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), strict=True):
                         column.append(value)
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            rows = pa.array(range(row, row + len(out[0])), pa.int64())
+            row += len(out[0])
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:]), rows], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     return run
 
@@ -108,7 +112,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     with common.batch_rows(docs.sparkSession, TEXT_ROWS):
-        pieces = common.spill(rows.mapInArrow(_piece_pass(public_tokenizers.path(vocabulary), capacity, end), schema), "pieces")[0]
+        pieces = common.spill(rows.mapInArrow(_piece_pass(public_tokenizers.path(vocabulary), capacity, end), schema + ", row long"), "pieces")[0]
     tasks = max(1, -(-pieces.count() // per_task))
-    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
+    dealt = pieces.repartition(tasks, F.xxhash64("row")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "row").drop("row")
     return dealt.mapInArrow(_pack_pass(capacity), schema + ", sequence_id long, offset long")
