@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm import common
@@ -92,18 +92,19 @@ def heavy_winners(table: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def mark_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    table = digest_table(docs, counters)
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs, written."""
+    with common.workspace(docs.sparkSession) as result:
+        return result(_marked(digest_table(docs, counters), counters), "marked")
+
+
+def _marked(table: DataFrame, counters: int) -> DataFrame:
     heavy = F.broadcast(common.spill(heavy_winners(table, counters), "heavy")[0])
     rows = table.filter("weight is null").drop("weight")
-    same_text = Window.partitionBy("digest")
-    light = (
-        rows.join(heavy.select("digest"), "digest", "left_anti")
-        .withColumn("keep_id", F.max("doc_id").over(same_text))
-        .withColumn("group_size", F.count(F.lit(1)).over(same_text))
-    )
+    light = rows.join(heavy.select("digest"), "digest", "left_anti")
+    groups = light.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return (
-        light.unionByName(rows.join(heavy, "digest"))
+        light.join(groups, "digest")
+        .unionByName(rows.join(heavy, "digest"))
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     )
 
