@@ -12,20 +12,22 @@ Corpus statistics cover all training texts and are gathered without collecting t
 * Words. Each group of documents (``GROUP_BYTES`` of text) keeps its tokens as numbers of
   its own distinct words, and sends the words' hashes and training counts, packed by
   range of the hash. Each range sums the counts and sends them back to the groups.
-* Trees. Counts of three symbols in a row: at most 257**3, in practice some 10**5.
+* Trees. Counts of all runs of four symbols, summed by Spark. Only the rows of the contexts
+  that get a tree of their own (``mixer.OWN_TREES``, 257 symbols each at most) and of single
+  symbols come to the driver; all other contexts are coded with a shorter one.
 * Tables. Each task counts its bits in tables of fixed size and sends the cells that it
   touched, packed by range; the sums become log-odds of one byte a slot. The tables have
   a fixed size (20 MB) whatever the corpus, so that they may be broadcast.
 
 Words are told apart by 64-bit hashes. Defined cases: null text is empty and has the end
-only; a null doc_id counts as the text ''; repeated rows each give their row; an empty
-table gives no rows; without training texts the model is the start of the mixer.
+only; a null doc_id counts as the text ''; repeated rows each give their row; a text of any
+length is scored whole, in pieces that hand on the model's state; an empty table gives no
+rows; without training texts the model is the start of the mixer; extra columns aren't read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,14 +46,13 @@ GROUP_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 CELLS = 1 << 16
 FOLDS, HELD_OUT = 5, 1
-MAX_TRIPLES = 4_000_000
-_TRIPLES = pa.list_(pa.struct([("k", pa.int32()), ("n", pa.int64())]))
+GRAMS = 1 << 18
 _TOKEN_TYPE = (
     "g long, part int, doc_ids array<long>, held array<boolean>, text_hash array<long>, lengths array<long>, tokens binary, "
-    "hashes binary, places binary, counts binary, triples array<struct<k:int,n:long>>"
+    "hashes binary, places binary, counts binary, grams array<long>, times array<long>"
 )
 _TOKEN_FIELDS = [("g", pa.int64()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("text_hash", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))]
-_TOKEN_FIELDS += [("tokens", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("triples", _TRIPLES)]
+_TOKEN_FIELDS += [("tokens", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("grams", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 
 
 def text_hash(text: bytes) -> int:
@@ -98,12 +99,16 @@ def _token_pass(parts: int):
         g = TaskContext.get().partitionId() << 32
         docs: list[tuple] = []
         size = 0
-        triples: Counter = Counter()
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
         for batch in batches:
             held, texts = batch.column(1).to_pylist(), [t or b"" for t in pc.cast(batch.column(2), pa.binary()).to_pylist()]
             for s, coded, _ in mixer.pieces([t for t, h in zip(texts, held, strict=True) if not h]):
-                keys, n = mixer.triple_counts(s, coded)
-                triples.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+                grams.append(mixer.gram_counts(s, coded))
+                waiting += len(grams[-1][0])
+                if waiting > 4 * GRAMS and waiting > 2 * len(grams[0][0]):
+                    grams = [mixer.added_up(grams)]
+                    waiting = len(grams[0][0])
             for row in zip(batch.column(0).to_pylist(), held, texts, strict=True):
                 docs.append(row)
                 size += len(row[2])
@@ -112,8 +117,10 @@ def _token_pass(parts: int):
                     g, docs, size = g + 1, [], 0
         if docs:
             yield pa.RecordBatch.from_pylist(_token_rows(g, docs, parts), schema)
-        if triples:
-            yield pa.RecordBatch.from_pylist([{"triples": [{"k": k, "n": n} for k, n in triples.items()]}], schema)
+        if grams:
+            keys, times = mixer.added_up(grams)
+            for at in range(0, len(keys), GRAMS):
+                yield pa.RecordBatch.from_pylist([{"grams": keys[at : at + GRAMS], "times": times[at : at + GRAMS]}], schema)
 
     return run
 
@@ -212,6 +219,23 @@ def _score_pass(trees, tables):
     return run
 
 
+def _trees(table: DataFrame) -> mixer.Trees:
+    """The trees, from the counts of runs of four symbols in all training texts."""
+    zipped = F.explode(F.arrays_zip("grams", "times")).alias("g")
+    grams = common.spill(table.filter("grams is not null").select(zipped).groupBy(F.col("g.grams").alias("k")).agg(F.sum("g.times").alias("n")), "grams")[0]
+
+    def rows(length: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+        counts = grams.groupBy((F.col("k") % mixer.SYMBOLS ** (length + 1)).alias("k")).agg(F.sum("n").alias("n"))
+        if most is not None:
+            context = F.floor(F.col("k") / mixer.SYMBOLS).alias("c")
+            own = counts.groupBy(context).agg(F.sum("n").alias("all")).filter(F.col("all") >= mixer.MIN_TREE).orderBy(F.desc("all"), "c").limit(most)
+            counts = counts.withColumn("c", context).join(F.broadcast(own), "c")  # most rows at most
+        found = counts.select("k", "n").toArrow()
+        return found.column("k").to_numpy(), found.column("n").to_numpy()
+
+    return mixer.Trees(rows(1, None), *(rows(length, most) for length, most in zip((2, 3), mixer.OWN_TREES, strict=True)))
+
+
 def _tables(docs: DataFrame, trees) -> list[bytes]:
     """The log-odds of all slots, from all training texts."""
     cells = docs.select("text").mapInArrow(_cell_pass(trees), "part int, cells binary, n binary")
@@ -224,7 +248,12 @@ def _tables(docs: DataFrame, trees) -> list[bytes]:
 
 
 def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs, written."""
+    with common.workspace(docs.sparkSession) as result:
+        return result(_score(docs, folds, held_out), "lm")
+
+
+def _score(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held_out).alias("held"), "text")
     size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held"))).first()
@@ -239,8 +268,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Data
     schema = "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double"
     base = common.spill(own.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_base_pass(int(words), int(distinct), int(ends)), schema), "base")[0]
 
-    triples = table.select(F.explode("triples").alias("t")).groupBy("t.k").agg(F.sum("t.n").alias("n")).orderBy(F.desc("n"), "k").limit(MAX_TRIPLES).toPandas()
-    trees = spark.sparkContext.broadcast(mixer.Trees(triples["k"].to_numpy(np.int64), triples["n"].to_numpy(np.int64)))
+    trees = spark.sparkContext.broadcast(_trees(table))
     common.discard(spark, table_path, sums_path)
     tables = spark.sparkContext.broadcast(_tables(rows.filter("not held"), trees))
     scored = rows.select("doc_id", "text").mapInArrow(_score_pass(trees, tables), "doc_id long, text_hash long, score double")

@@ -1,17 +1,27 @@
 """A byte model by online logistic mixing of hashed-context bit predictors.
 
 Symbols are the bytes of a text, A-Z lower-cased, and an end symbol. A symbol is coded
-as the bits of its path in a binary tree (a Huffman tree for each common pair of preceding
-symbols), so that likely symbols take few bits. For each bit, every context (the last 4 and
-6 symbols, and the word so far) names a slot of its hashed table; the slot's statistics,
-counted over the training texts, give a log-odds. The mixer adds the log-odds up with
-weights out of a set that a gate chooses (by depth in the tree and by how many contexts
-know the bit), squashes the sum to a probability and refines it with an adaptive map of
-log-odds to observed frequencies. Weights and maps follow each coded bit online.
-
-Online state starts afresh every SEGMENT symbols of a text; contexts reach back over that
-border. So the score of a text depends
-on nothing but the text and the trained tables, and many segments advance together.
+as the bits of its path in a binary tree (a Huffman tree for each common triple or pair of
+preceding symbols), so that likely symbols take few bits; rare ones take the path of an escape and
+then eight bits. For each bit these predictors give a log-odds:
+
+* contexts (the last 4 and 6 symbols, and the word so far), each with a slot of its hashed
+  table, whose statistics were counted over the training texts;
+* a match: the symbol that followed the last place of the text with the same 6 symbols,
+  the surer the longer the match has held;
+* the text itself, where there is no match: after an escape, how often its earlier bytes took
+  either branch; before, whether the branch leads to the escape.
+
+The mixer adds the log-odds up with weights out of a set that a gate chooses (by how many
+contexts know the bit and how long the match is), squashes the sum to a probability and
+refines it with an adaptive map of log-odds to observed frequencies.
+
+All that is learned from a text itself (matches, branches, weights, map) is learned online:
+a bit is predicted from earlier bits of the text only, and the state is kept through the
+whole text. Weights and map follow at the ends of blocks, of 32 bits at first and 2048
+later, so that the blocks of many texts advance together. A text of over CHUNK symbols
+is read in pieces that hand on weights and map; matches reach back within a piece. The
+score of a text depends on nothing but the text and the trained tables.
 """
 
 from __future__ import annotations
@@ -23,25 +33,36 @@ import numpy as np
 
 END = 256
 SYMBOLS = 257
+_NO_BYTE = 255  # in no UTF-8 text
 #: Lengths of the contexts of symbols; the word so far comes on top.
 ORDERS = (4, 6)
 CONTEXTS = len(ORDERS) + 1
 TABLE_BITS = (22, 23, 23)
-SEGMENT = 256
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 CARRY = 64
 PAD = 8
-MAX_DEPTH = 22
-MAX_TREES = 1200
+MAX_DEPTH = 28
+#: Contexts of two and of three symbols with a tree of their own, at most, and the least count of such a context.
+OWN_TREES = (1200, 4000)
 MIN_TREE = 500
-DEPTH_GATES = 2
-GATES = DEPTH_GATES * (CONTEXTS + 1)
-BUCKETS = 25
+#: A symbol of a smaller share than this has no leaf of its own.
+RARE = 2.0**-11
+MATCH = max(ORDERS)
+#: Log-odds of a match that has held for so many symbols (a power of 2).
+TRUST = np.array([0.7, 1.5, 2, 2.5, 3, 3.5, 4, 4.5, 5, 6, 7, 8], np.float32)
+_MATCH_GATE = np.array([0, 1, 1, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3])
+ESCAPING = 2.0
+INPUTS = CONTEXTS + 1
+GATES = 4 * (CONTEXTS + 1) + 1
+BLOCKS = (0, 32, 64, 128, 256, 512, 1024, 2048)
+BUCKETS = 49
+LIMIT = 12.0
 SCALE = 16.0
 UNSEEN = -128
-START = 0.35
-RATE = 0.02
-MAP_RATE = 0.02
+#: Weights to start from: of contexts, and of the last input, by whether it is a match (gate), an escape or a branch.
+START, START_MATCH, START_ESCAPE, START_BRANCH = 0.35, 0.5, 0.0, 0.5
+RATE = 0.04
+MAP_PRIOR = 24.0
 _HASH = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _ROLL = 0x100000001B3
 _UNROLL = pow(_ROLL, -1, 1 << 64)
@@ -50,65 +71,97 @@ _SPACE[[9, 10, 11, 12, 13, 32, END]] = True
 
 
 class Trees:
-    """For each context of preceding symbols, the length, bits and node numbers of every symbol's path.
+    """For each context of preceding symbols, the length and bits of every symbol's path.
 
-    The MAX_TREES commonest pairs of symbols have a tree of their own, other pairs that of their last symbol.
+    Made from the counts (context * SYMBOLS + symbol, count) of all contexts of one symbol, and of those contexts of two and
+    of three that shall have a tree of their own; any other context has the tree of its longest end that has one.
     """
 
-    def __init__(self, triples: np.ndarray, counts: np.ndarray):
-        pair, last = triples // SYMBOLS, triples % SYMBOLS
-        single = np.bincount((pair % SYMBOLS) * SYMBOLS + last, counts, SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS)
-        weight = np.bincount(pair, counts, SYMBOLS * SYMBOLS)
-        own = np.argsort(-weight, kind="stable")[:MAX_TREES]
-        own = own[weight[own] >= MIN_TREE]
-        self.tree = np.tile(np.arange(SYMBOLS, dtype=np.int32), SYMBOLS)
-        self.tree[own] = SYMBOLS + np.arange(len(own))
-        double = np.zeros((len(own), SYMBOLS))
-        mine = self.tree[pair] >= SYMBOLS
-        np.add.at(double, (self.tree[pair[mine]] - SYMBOLS, last[mine]), counts[mine])
-        n = SYMBOLS + len(own)
+    def __init__(self, one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], three: tuple[np.ndarray, np.ndarray]):
+        weights = [np.bincount(one[0], one[1], SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS)]
+        self.two = np.tile(np.arange(SYMBOLS), SYMBOLS)
+        self.row = np.zeros(SYMBOLS * SYMBOLS, np.int64)  # of the first two symbols of three
+        self.three = np.full(SYMBOLS, -1)
+        n = SYMBOLS
+        for counts in (two, three):
+            context, at = np.unique(counts[0] // SYMBOLS, return_inverse=True)
+            weights.append(np.bincount(at * SYMBOLS + counts[0] % SYMBOLS, counts[1], len(context) * SYMBOLS).reshape(-1, SYMBOLS))
+            if counts is two:
+                self.two[context] = n + np.arange(len(context))
+            else:
+                pairs, at = np.unique(context // SYMBOLS, return_inverse=True)
+                self.row[pairs] = 1 + np.arange(len(pairs))
+                self.three = np.full((1 + len(pairs)) * SYMBOLS, -1)
+                self.three[(1 + at) * SYMBOLS + context % SYMBOLS] = n + np.arange(len(context))
+            n += len(context)
         self.length = np.zeros((n, SYMBOLS), np.uint8)
         self.code = np.zeros((n, SYMBOLS), np.uint32)
-        self.nodes = np.zeros((n, SYMBOLS, MAX_DEPTH), np.uint16)
-        overall = single.sum(0) + 1.0
+        self.rare = np.zeros((n, SYMBOLS), bool)
+        self.escape_length = np.zeros(n, np.uint8)
+        self.escape_code = np.zeros(n, np.uint32)
+        overall = weights[0].sum(0) + 1.0
         overall /= overall.sum()
-        for k in range(n):
-            own_counts = single[k] if k < SYMBOLS else double[k - SYMBOLS]
-            w = own_counts + overall
-            self._build(k, w + w.sum() / 2**15)
+        for k, own in enumerate(np.concatenate(weights)):
+            self._build(k, own + overall)
+        self.to_escape = _shared(self.length, self.code, self.escape_length[:, None], self.escape_code[:, None]).astype(np.int8)
 
-    def paths(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The number of the path of each symbol of s at these positions (2 or more)."""
-        return self.tree[s[at - 2] * SYMBOLS + s[at - 1]] * np.int64(SYMBOLS) + s[at]
+    def of(self, s: np.ndarray) -> np.ndarray:
+        """The tree of each position but the first three."""
+        last = s[1:-2] * SYMBOLS + s[2:-1]
+        own = _taken(self.three, _taken(self.row, s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1])
+        return np.where(own >= 0, own, _taken(self.two, last))
 
-    def _build(self, prev: int, weight: np.ndarray) -> None:
-        heap = [(float(w), i, i) for i, w in enumerate(weight)]
+    def _build(self, k: int, weight: np.ndarray) -> None:
+        """The tree of the symbols that aren't rare, the end and an escape, and eight bits more for each rare symbol."""
+        share = weight / weight.sum()
+        leaf = share >= RARE
+        leaf[END] = True
+        escaped = float(share[~leaf].sum())
+        heap = [(max(float(share[i]), RARE / 2), int(i), int(i)) for i in np.flatnonzero(leaf)] + [(max(escaped, RARE), SYMBOLS, SYMBOLS)]
         heapq.heapify(heap)
         children: dict[int, tuple[int, int]] = {}
-        fresh = SYMBOLS
+        fresh = SYMBOLS + 1
         while len(heap) > 1:
             a, b = heapq.heappop(heap), heapq.heappop(heap)
             children[fresh] = (a[2], b[2])
             heapq.heappush(heap, (a[0] + b[0], fresh, fresh))
             fresh += 1
-        level, number = [(heap[0][2], 0, [])], 0
-        while level:  # numbers by level: likely nodes lie side by side
+        level, escape = [(heap[0][2], 0, 0)], (0, 0)
+        while level:
             below = []
-            for node, code, path in level:
-                if node < SYMBOLS:
-                    self.length[prev, node], self.code[prev, node] = len(path), code
-                    self.nodes[prev, node, : len(path)] = path
+            for node, code, depth in level:
+                if node == SYMBOLS:
+                    escape = (code, depth)
+                elif node < SYMBOLS:
+                    self.code[k, node], self.length[k, node] = code, depth
                 else:
-                    step = [*path, number]
-                    number += 1
-                    below += [(child, code << 1 | bit, step) for bit, child in enumerate(children[node])]
+                    below += [(child, code << 1 | bit, depth + 1) for bit, child in enumerate(children[node])]
             level = below
+        self.escape_code[k], self.escape_length[k] = escape
+        rare = np.flatnonzero(~leaf)
+        self.code[k, rare], self.length[k, rare] = escape[0] << 8 | rare, escape[1] + 8
+        self.rare[k] = ~leaf
+
+
+def gram_counts(s: np.ndarray, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The coded symbols with the three before each, as numbers in base SYMBOLS, and how often they occur."""
+    small = np.where(s == END, _NO_BYTE, s).astype(np.uint32)
+    key = np.zeros(len(small) - 3, np.uint32)
+    for k in (3, 2, 1, 0):
+        key <<= np.uint32(8)
+        key |= small[3 - k : len(small) - k]
+    keys, n = np.unique(key[coded[3:]], return_counts=True)
+    digits = [(keys >> np.uint32(8 * k)).astype(np.int64) & 255 for k in (3, 2, 1, 0)]
+    out = np.zeros(len(keys), np.int64)
+    for d in digits:
+        out = out * SYMBOLS + np.where(d == _NO_BYTE, END, d)
+    return out, n
 
 
-def triple_counts(s: np.ndarray, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The coded symbols with the two before each, as numbers, and how often they occur."""
-    at = np.flatnonzero(coded)
-    return np.unique(((s[at - 2] * SYMBOLS + s[at - 1]) * SYMBOLS + s[at]).astype(np.int32), return_counts=True)
+def added_up(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of several such counts."""
+    keys, at = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in counts]), len(keys)).astype(np.int64)
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -140,54 +193,151 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield chunk()
 
 
-def _contexts(s: np.ndarray) -> list[np.ndarray]:
-    """The slot that each context before each position starts from."""
+def _powers(of: int, n: int) -> np.ndarray:
+    out = np.full(n, of, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
+
+
+class _Rolls:
+    """Powers of the base of the rolling hash of words, and their inverses, as far as they were needed yet."""
+
+    n = 0
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.n:
+            self.n, self.power, self.inverse = n, _powers(_ROLL, n), _powers(_UNROLL, n)
+        return self.power[:n], self.inverse[:n]
+
+
+_rolls = _Rolls()
+
+
+def _contexts(s: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The slot that each context before each position starts from, and a hash of the longest."""
     u = s.astype(np.uint64)
+    following = u + np.uint64(1)
     out, v = [], np.zeros(len(u), np.uint64)
     for k in range(1, max(ORDERS) + 1):
-        v = v * np.uint64(SYMBOLS)
-        v[k:] += u[:-k] + np.uint64(1)
+        v *= np.uint64(SYMBOLS)
+        v[k:] += following[:-k]
         if k in ORDERS:
             out.append(v.copy())
-    power = np.full(len(u), _ROLL, np.uint64)
-    power[:1] = 1
-    np.cumprod(power, out=power)
-    inverse = np.full(len(u), _UNROLL, np.uint64)
-    inverse[:1] = 1
-    np.cumprod(inverse, out=inverse)
+    power, inverse = _rolls(len(u))
     sums = np.zeros(len(u) + 1, np.uint64)
-    np.cumsum((u + np.uint64(1)) * power, out=sums[1:])
+    np.cumsum(following * power, out=sums[1:])
     start = np.zeros(len(u) + 1, np.int64)
     np.maximum.accumulate(np.where(_SPACE[s], np.arange(1, len(s) + 1), 0), out=start[1:])
     start = start[:-1]  # of the word that position i goes on
-    word = (sums[:-1] - sums[start]) * inverse[start]
+    word = (sums[:-1] - sums.take(start)) * inverse.take(start)
     word[1:] += u[:-1]
-    out.append(word)
-    return [((h * m) >> np.uint64(64 - bits)).astype(np.int32) for h, m, bits in zip(out, _HASH, TABLE_BITS, strict=True)]
+    slots = [((h * m) >> np.uint64(64 - bits)).astype(np.int32) for h, m, bits in zip([*out, word], _HASH, TABLE_BITS, strict=True)]
+    return slots, v
+
+
+class Bits:
+    """The bits of the coded symbols of a chunk: the depth, the value, the node and the slot in each table."""
+
+    def __init__(self, s: np.ndarray, coded: np.ndarray, trees: Trees):
+        self.at = np.flatnonzero(coded)
+        self.tree = trees.of(s).take(self.at - 3)
+        self.path = path = self.tree * SYMBOLS + s.take(self.at)
+        self.length = length = _taken(trees.length, path).astype(np.int32)
+        first = np.cumsum(length, dtype=np.int64) - length
+        self.symbol = np.repeat(np.arange(len(length)), length)  # of each bit
+        n = len(self.symbol)
+        self.depth = np.arange(n, dtype=np.int32)
+        self.depth -= self.each(first.astype(np.int32))
+        self.code = _taken(trees.code, path).astype(np.int32)
+        after = self.each(length - 1)
+        after -= self.depth  # bits of the path after this one
+        node = self.each(self.code | np.int32(1) << length)
+        node >>= after
+        self.bit = (node & 1).astype(np.uint8)
+        node >>= 1  # a 1 and the way to the node name it
+        self.node = node
+        self.slots = []
+        contexts, self.past = _contexts(s)  # the latter of the last MATCH symbols
+        for h, bits in zip(contexts, TABLE_BITS, strict=True):
+            slot = self.each(h.take(self.at))
+            slot += node
+            slot &= np.int32((1 << bits) - 1)
+            self.slots.append(slot)
+
+    def after_escapes(self, trees: Trees) -> tuple[np.ndarray, np.ndarray]:
+        """The bits after an escape, and a number for the way from the escape to each."""
+        rare = _taken(trees.rare, self.path)
+        escape = np.where(rare, trees.escape_length.take(self.tree), MAX_DEPTH).astype(np.int32)
+        after = np.flatnonzero(self.depth >= self.each(escape))
+        top = np.int32(1) << (self.depth.take(after) - escape.take(self.symbol.take(after)))
+        return after, self.node.take(after) & (top - 1) | top
 
+    def each(self, of_symbol: np.ndarray) -> np.ndarray:
+        """What each symbol has, for each of its bits."""
+        return _taken(of_symbol, self.symbol)
 
-def bit_slots(s: np.ndarray, coded: np.ndarray, trees: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of each bit of the coded symbols: the number of its symbol among these, its depth, its value and its slot in each table."""
-    at = np.flatnonzero(coded)
-    path = trees.paths(s, at)
-    length = trees.length.reshape(-1)[path].astype(np.int32)
-    rep = np.repeat(np.arange(len(at), dtype=np.int32), length)
-    depth = np.arange(len(rep), dtype=np.int32)
-    depth -= np.repeat(np.cumsum(length, dtype=np.int32) - length, length)
-    below = np.repeat(length - 1, length) - depth
-    bit = ((np.repeat(trees.code.reshape(-1)[path], length) >> below.astype(np.uint32)) & 1).astype(np.uint8)
-    node = trees.nodes.reshape(-1)[np.repeat((path * MAX_DEPTH).astype(np.int32), length) + depth].astype(np.int32)
-    slots = [(np.repeat(h[at], length) + node) & np.int32((1 << bits) - 1) for h, bits in zip(_contexts(s), TABLE_BITS, strict=True)]
-    return rep, depth, bit, slots
+    def along(self, shared: np.ndarray) -> np.ndarray:
+        """By how many steps the path of each symbol shares with another one (-1 without one): 1 or -1 where that one goes to 1 or 0 from the node of a bit, 0 where it doesn't pass that node."""
+        way = self.each(shared)
+        way -= self.depth
+        np.clip(way, -1, 1, out=way)
+        way += 1
+        return _taken(_WAY, way.astype(np.int64) + 3 * self.bit)
+
+
+def _shared(length: np.ndarray, code: np.ndarray, other_length: np.ndarray, other_code: np.ndarray) -> np.ndarray:
+    """How many steps two paths have in common."""
+    apart = (code.astype(np.int64) << (MAX_DEPTH - length.astype(np.int64))) ^ (other_code.astype(np.int64) << (MAX_DEPTH - other_length.astype(np.int64)))
+    return (MAX_DEPTH - np.frexp(apart.astype(np.float64))[1]).astype(np.int32)
+
+
+#: By whether the paths have parted before a bit, part there, or go on together, and by the bit.
+_WAY = np.array([0, 1, -1, 0, -1, 1], np.float32)
+
+
+def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at] for valid places, flat; this mode is the fast one."""
+    return values.reshape(-1).take(at, mode="clip")
+
+
+def _matches(s: np.ndarray, at: np.ndarray, owner: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of these positions the symbol after the last equal context (hashed in ``past``) of its text (or -1), and for how many symbols it has been right."""
+    h = owner.astype(np.uint64)
+    h *= _HASH[1]
+    h ^= past
+    h *= _HASH[0]
+    bits = np.uint64((2 * CHUNK).bit_length())
+    key = h.take(at)
+    key >>= bits
+    key <<= bits
+    key |= np.arange(len(at), dtype=np.uint64)
+    key.sort()
+    where = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int32)
+    key >>= bits
+    symbol, text = s.take(at).astype(np.int32), owner.take(at).astype(np.int32)
+    now, then = where[1:], where[:-1]
+    same = np.flatnonzero(key[1:] == key[:-1])
+    now, then = now.take(same), then.take(same)
+    own = text.take(now) == text.take(then)
+    guess = np.full(len(at), -1, np.int32)
+    guess[now[own]] = symbol.take(then[own])
+    i = np.arange(len(at), dtype=np.int32)
+    going_on = np.zeros(len(at), bool)
+    going_on[1:] = text[1:] == text[:-1]
+    broken = np.maximum.accumulate(np.where((guess == symbol) & going_on, 0, i))  # the last symbol that wasn't foretold
+    held = np.zeros(len(at), np.int32)
+    held[1:] = (i[:-1] - broken[:-1]) * going_on[1:]
+    return guess, held
 
 
 def slot_counts(texts: list[bytes], trees: Trees, counts: list[np.ndarray]) -> None:
     """Add the bits of texts to counts[context][2 * slot + bit]."""
     for s, coded, _ in pieces(texts):
-        _, _, bit, slots = bit_slots(s, coded, trees)
-        one = np.ones(1, counts[0].dtype)[0]
-        for c, slot in enumerate(slots):
-            np.add.at(counts[c], slot.astype(np.int64) * 2 + bit, one)
+        bits = Bits(s, coded, trees)
+        for table, slot in zip(counts, bits.slots, strict=True):
+            slot += slot
+            slot += bits.bit
+            np.add.at(table, slot, table.dtype.type(1))
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -196,6 +346,36 @@ def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.where(zeros + ones > 0, np.clip(np.rint(odds), -127, 127), UNSEEN).astype(np.int8)
 
 
+def _branch_odds(bits: Bits, after: np.ndarray, branch: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For the bits after an escape, the log-odds by how often the earlier ones of the same text and branch were 1."""
+    key = owner.take(bits.at).take(bits.symbol.take(after)).astype(np.int64) * 256 + branch
+    order = np.argsort(key, kind="stable")
+    key, bit = key[order], bits.bit[after][order].astype(np.int64)
+    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    ones = np.cumsum(bit) - bit
+    ones = ones - ones[start]
+    zeros = np.arange(len(key)) - start - ones
+    out = np.empty(len(key), np.float32)
+    out[order] = np.log((ones + 0.4) / (zeros + 0.4))
+    return out
+
+
+class _State:
+    """Weights and maps of the texts of a chunk, a row for each."""
+
+    def __init__(self, texts: int):
+        self.weights = np.full((INPUTS, texts, GATES), START, np.float32)
+        self.weights[-1] = [START_MATCH if g % 4 else START_ESCAPE for g in range(GATES - 1)] + [START_BRANCH]
+        centres = (np.arange(BUCKETS) - BUCKETS // 2) * (2 * LIMIT / (BUCKETS - 1))
+        self.seen = np.full((texts, BUCKETS), MAP_PRIOR)
+        self.ones = np.tile(MAP_PRIOR / (1 + np.exp(-centres)), (texts, 1))
+
+    def go_on(self, before: _State) -> None:
+        """The first text is the last of the chunk before."""
+        self.weights[:, 0], self.seen[0], self.ones[0] = before.weights[:, -1], before.seen[-1], before.ones[-1]
+
+
 class Mixer:
     def __init__(self, trees: Trees, tables: list[np.ndarray]):
         self.trees, self.tables = trees, tables
@@ -203,67 +383,87 @@ class Mixer:
     def score(self, texts: list[bytes]) -> np.ndarray:
         """The natural-log probability of each text."""
         total = np.zeros(len(texts))
+        state, holder = None, -1
         for s, coded, owner in pieces(texts):
-            rep, depth, bit, slots = bit_slots(s, coded, self.trees)
-            if not len(rep):
-                continue
-            odds = np.empty((len(rep), CONTEXTS), np.int8)
-            for c, slot in enumerate(slots):
-                np.take(self.tables[c], slot, out=odds[:, c])
-            known = odds != UNSEEN
-            gate = np.minimum(depth, DEPTH_GATES - 1) * (CONTEXTS + 1) + np.count_nonzero(known, axis=1)
-            odds *= known
-            # segments: SEGMENT coded symbols, within a piece of a text
-            starts = coded & ~np.concatenate([[False], coded[:-1]])
-            piece = np.cumsum(starts) - 1
-            inside = np.arange(len(s)) - np.flatnonzero(starts)[np.maximum(piece, 0)]
-            at = np.flatnonzero(coded)
-            new = np.concatenate([[True], (piece[at][1:] != piece[at][:-1]) | (inside[at][1:] % SEGMENT == 0)])
-            lane = (np.cumsum(new, dtype=np.int32) - 1)[rep]
-            lanes = int(lane[-1]) + 1
-            ll = self._advance(lane, lanes, odds, gate.astype(np.int32), bit)
-            np.add.at(total, owner[at[new]], ll)
+            first, last = int(owner[0]), int(owner[-1])
+            before, state = state, _State(last - first + 1)
+            if holder == first:  # the text goes on from the chunk before
+                state.go_on(before)
+            holder = last
+            total[first : last + 1] += self._advance(Bits(s, coded, self.trees), s, owner - first, state)
         return total
 
-    def _advance(self, lane: np.ndarray, lanes: int, odds: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """Run all segments side by side, a bit at a time; the natural-log probability of each."""
-        length = np.bincount(lane, minlength=lanes)
-        by_length = np.argsort(-length, kind="stable")
-        rank = np.empty(lanes, np.int64)
-        rank[by_length] = np.arange(lanes)
-        live = np.searchsorted(-length[by_length], -np.arange(length.max()), side="left")
-        offset = np.concatenate([[0], np.cumsum(live)])
-        step = np.arange(len(lane)) - np.repeat(np.cumsum(length) - length, length)  # bits of a lane lie together
-        place = np.empty(len(lane), np.int64)
-        place[offset[step] + np.repeat(rank, length)] = np.arange(len(lane))
-        rows = (np.repeat(rank * GATES, length) + gate)[place]
-        xs = odds[place].astype(np.float32)
-        xs *= np.float32(1 / SCALE)
-        ys = bit[place].astype(np.float32)
-        final = np.empty(len(lane), np.float32)
-        weights = np.full((lanes * GATES, CONTEXTS), START, np.float32)
-        centres = (np.arange(BUCKETS) / 1.5 - 8).astype(np.float32)
-        maps = np.tile(1 / (1 + np.exp(-centres)), lanes).astype(np.float32)
-        cells = (np.repeat(rank * BUCKETS, length)[place]).astype(np.int32)
-        one, half, low, high = np.float32(1), np.float32(0.5), np.float32(-8), np.float32(8)
-        rate, map_rate, fine = np.float32(RATE), np.float32(MAP_RATE), np.float32(1.5)
-        for t in range(len(live)):
-            lo, hi = offset[t], offset[t + 1]
-            x, y, row = xs[lo:hi], ys[lo:hi], rows[lo:hi]
-            w = weights.take(row, axis=0)
-            dot = np.einsum("ij,ij->i", w, x)
-            np.maximum(dot, low, out=dot)
-            np.minimum(dot, high, out=dot)
-            p = one / (one + np.exp(-dot))
-            w += ((y - p) * rate)[:, None] * x
-            weights[row] = w
+    def _inputs(self, bits: Bits, s: np.ndarray, owner: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The log-odds that the mixer adds up, and the gates."""
+        x, known = [], np.zeros(len(bits.bit), np.int16)
+        for table, slot in zip(self.tables, bits.slots, strict=True):
+            odds = table.take(slot, mode="clip")
+            seen = odds != UNSEEN
+            known += seen
+            odds *= seen
+            x.append(odds * np.float32(1 / SCALE))
+        guess, held = _matches(s, bits.at, owner, bits.past)
+        shared = np.where(guess == s.take(bits.at), bits.length, np.int32(-1))
+        wrong = np.flatnonzero((guess >= 0) & (shared < 0))
+        at = bits.tree.take(wrong) * SYMBOLS + guess.take(wrong)
+        shared[wrong] = _shared(bits.length.take(wrong), bits.code.take(wrong), _taken(self.trees.length, at), _taken(self.trees.code, at))
+        way = bits.along(shared)
+        level = np.minimum(np.frexp(held.astype(np.float32))[1], len(TRUST) - 1)  # held 0, 1, 2-3, 4-7, ...
+        gate = bits.each(_MATCH_GATE.take(level + 1).astype(np.int16))
+        matched = way != 0
+        gate *= matched
+        gate += known * np.int16(4)
+        way *= bits.each(TRUST.take(level))
+        escape = bits.along(_taken(self.trees.to_escape, bits.path).astype(np.int32))
+        escape *= np.float32(ESCAPING)
+        escape *= ~matched
+        way += escape
+        after, branch = bits.after_escapes(self.trees)
+        alone = ~matched.take(after)
+        way[after] = np.where(alone, _branch_odds(bits, after, branch, owner), way.take(after))
+        gate[after[alone]] = GATES - 1
+        return [*x, way], gate
+
+    def _advance(self, bits: Bits, s: np.ndarray, owner: np.ndarray, state: _State) -> np.ndarray:
+        """Run the blocks of all texts side by side; the natural-log probability of each text here."""
+        lanes = int(owner[-1]) + 1
+        inputs, gates = self._inputs(bits, s, owner)
+        length = np.bincount(owner.take(bits.at), bits.length, lanes).astype(np.int64)
+        start = np.cumsum(length) - length
+        total = np.zeros(lanes)
+        edge, t, scale = 0, 0, np.float32((BUCKETS - 1) / (2 * LIMIT))
+        low, high, half = np.float32(-LIMIT), np.float32(LIMIT), np.float32(0.5)
+        while (live := np.flatnonzero(length > edge)).size:
+            t += 1
+            until = BLOCKS[t] if t < len(BLOCKS) else edge + BLOCKS[-1]
+            n = np.minimum(length[live], until) - edge
+            lane = np.repeat(np.arange(len(live)), n)
+            idx = np.arange(len(lane)) + np.repeat(start[live] + edge - (np.cumsum(n) - n), n)
+            x, y = [_taken(column, idx) for column in inputs], _taken(bits.bit, idx)
+            weights, seen, ones = (a[..., live, :].reshape(*a.shape[:-2], -1) for a in (state.weights, state.seen, state.ones))
+            row = lane * GATES + _taken(gates, idx)
+            dot = _taken(weights[0], row) * x[0]
+            for w, column in zip(weights[1:], x[1:], strict=True):
+                dot += _taken(w, row) * column
+            np.clip(dot, low, high, out=dot)
+            p = 1 / (1 + np.exp(-dot))
             dot += high
-            dot *= fine
+            dot *= scale
             dot += half
-            cell = cells[lo:hi] + dot.astype(np.int32)
-            a = maps.take(cell)
-            maps[cell] = a + (y - a) * map_rate
-            np.add(p, a, out=final[lo:hi])
-        final *= half
-        ll = np.bincount(np.repeat(np.arange(lanes), length), np.log(np.where(ys > 0, final, one - final))[offset[step] + np.repeat(rank, length)], lanes)
-        return ll
+            cell = lane * BUCKETS + dot.astype(np.int32)
+            final = p + _taken((ones / seen).astype(np.float32), cell)
+            final *= half
+            chance = np.abs(final - (1 - y).astype(np.float32))  # of the bit that came
+            total[live] += np.add.reduceat(np.log(chance), np.cumsum(n) - n)
+            # what this block teaches
+            error = y - p
+            rate = RATE / (1 + np.bincount(row, minlength=weights.shape[1]) / 24)
+            for w, column in zip(weights, x, strict=True):
+                column *= error
+                w += rate * np.bincount(row, column, len(w))
+            seen += np.bincount(cell, minlength=len(seen))
+            ones += np.bincount(cell, y, len(ones))
+            for a, new in zip((state.weights, state.seen, state.ones), (weights, seen, ones), strict=True):
+                a[..., live, :] = new.reshape(*a.shape[:-2], len(live), -1)
+            edge = until
+        return total

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aerolith.llm import exact_dedup, jaccard_join, language_id, licenses, line_crf, lm_scoring, mixer, mixing, packing, quality_grade, rans, token_files
+from aerolith.llm import exact_dedup, jaccard_join, language_id, licenses, line_crf, lm_scoring, mixing, packing, quality_grade, rans, token_files
 from aerolith.llm.tokenize import Encoder
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -197,17 +197,6 @@ def test_lm_scoring(docs, rows):
     assert got[90]["score"] == pytest.approx(got[91]["score"])
 
 
-def test_mixer_does_not_depend_on_neighbours():
-    texts = [b"abc abd " * 20, b"", b"zz", bytes(range(256)) * 4]
-    keys, n = zip(*[mixer.triple_counts(s, c) for s, c, _ in mixer.pieces(texts)], strict=True)
-    trees = mixer.Trees(np.concatenate(keys).astype(np.int64), np.concatenate(n))
-    counts = [np.zeros(2 << b, np.uint32) for b in mixer.TABLE_BITS]
-    mixer.slot_counts(texts, trees, counts)
-    model = mixer.Mixer(trees, [mixer.log_odds(c[0::2].astype(float), c[1::2].astype(float)) for c in counts])
-    together = model.score(texts)
-    assert together == pytest.approx([model.score([t])[0] for t in texts]) and (together < 0).all()
-
-
 def test_packing(docs, rows):
     import public_tokenizers
 
