@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import exact_dedup, jaccard_join, language_id, licenses, line_crf, lm_scoring, mixing, packing, quality_grade, token_files
+from aerolith.llm import collocations, exact_dedup, hard_negatives, jaccard_join, language_id, licenses, line_crf, lm_scoring, mixing, packing, quality_grade, token_files, toxicity
 from aerolith.llm.common import documents
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -134,6 +134,58 @@ FROM t LEFT JOIN bases ON bases.doc_id = t.doc_id LEFT JOIN method ON method.doc
 """
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {LOWER} AS low FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(low, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+runs AS ({' UNION ALL '.join(f"SELECT lang, {m} AS m, unnest(list_transform(range(1, len(w) - {m} + 2), lambda i: array_to_string(w[i:i+{m - 1}], ' '))) AS phrase FROM w" for m in range(1, 6))}),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM runs GROUP BY lang, m, phrase),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT f.lang, m, phrase, a, n, string_split(phrase, ' ') AS w FROM f JOIN n ON n.lang = f.lang WHERE m > 1 AND a >= 100),
+cuts AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+scores AS (
+  SELECT cuts.lang, cuts.m, cuts.phrase, cuts.a, cuts.n, k, h.a AS l, t.a AS r, CAST(CAST(1000 AS HUGEINT) * cuts.a * cuts.n // (CAST(h.a AS HUGEINT) * t.a) AS BIGINT) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = array_to_string(cuts.w[1:k], ' ') JOIN f t ON t.lang = cuts.lang AND t.phrase = array_to_string(cuts.w[k+1:cuts.m], ' ')
+),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND 100 * c.a >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP13_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS id
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.id AS a_id, a.vec_id AS anchor_id, o.vec_id, o.id, a.label = o.label AS same,
+    CAST(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(o.v)) + 1), lambda i: a.v[i] * o.v[i])), 0) AS BIGINT) AS score
+  FROM r a JOIN r o ON a.id <> o.id WHERE a.vec_id % 100 = 0
+),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY score DESC, vec_id, id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a_id, p.id ORDER BY n.score DESC, n.vec_id, n.id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a_id = p.a_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a_id, p.id ORDER BY n.score DESC, n.vec_id, n.id) <= 5
+"""
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
@@ -145,9 +197,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_grade": op8_quality_grade,
     "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_toxicity": op11_toxicity,
+    "op12_collocations": op12_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-_ORACLE = {"op2_exact_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_license_scan": _op9_sql()}
+_ORACLE = {"op2_exact_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_license_scan": _op9_sql(), "op12_collocations": OP12_SQL, "op13_hard_negatives": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
