@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import geodesy
 from aerolith.operators import frames as fr
-from aerolith.operators import meshes, points, relational
+from aerolith.operators import jobs, meshes, points, relational
 from aerolith.plans.depths import rounded
 from aerolith.plans.views import sql, table, view
 from aerolith.sinks import manifests
+from aerolith.streaming.progress import STATES
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -53,13 +54,49 @@ def progress_after_deletes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT *, date_diff('second', TIMESTAMP '2024-01-01', ts) // 3600 AS slot FROM events)
-SELECT user_id AS job_id, slot, arg_min(event_id, row(ts, event_id)) AS holder, count(*) - 1 AS refused FROM e GROUP BY user_id, slot""")
+WITH RECURSIVE first AS (SELECT user_id AS key, ts, min(event_id) AS id FROM events GROUP BY user_id, ts),
+next AS (SELECT key, ts, first_value(ts) OVER w AS next_ts, first_value(id) OVER w AS next_id FROM first WINDOW w AS (PARTITION BY key ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR FOLLOWING AND UNBOUNDED FOLLOWING)),
+held AS (
+  SELECT key, min(ts) AS ts, arg_min(id, ts) AS id FROM first GROUP BY key
+  UNION ALL SELECT n.key, n.next_ts, n.next_id FROM held h JOIN next n ON n.key = h.key AND n.ts = h.ts WHERE n.next_ts IS NOT NULL
+)
+SELECT e.user_id AS key, event_id AS id, h.id IS NOT NULL AS granted, last_value(h.id IGNORE NULLS) OVER (PARTITION BY e.user_id ORDER BY e.ts, event_id) AS holder
+FROM events e LEFT JOIN held h ON h.key = e.user_id AND h.ts = e.ts AND h.id = e.event_id""")
 def job_locks(spark: SparkSession, d: str) -> DataFrame:
-    """Who holds the lock of a job in each hour: the first that asked; the others are refused."""
-    slot = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3600).alias("slot")
-    rows = table(spark, d, "events").select(F.col("user_id").alias("job_id"), slot, F.struct("ts", "event_id").alias("asked"))
-    return rows.groupBy("job_id", "slot").agg(F.min("asked.event_id").alias("any"), F.min("asked").alias("first"), (F.count(F.lit(1)) - 1).alias("refused")).select("job_id", "slot", F.col("first.event_id").alias("holder"), "refused")
+    """Every request for the lock of a job: whether it got it, and which request has it then; a lock ends an hour after it was given."""
+    asked = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts")
+    return jobs.lock_grants(asked).select("key", "id", "granted", "holder")
+
+
+_MESSAGES = """(SELECT user_id AS key, CAST(floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 21600) AS BIGINT) AS id, ts, event_id,
+  CASE WHEN event_id % 41 = 0 THEN 'BOGUS' WHEN event_id % 211 = 0 THEN 'FAILED' WHEN event_id % 503 = 0 THEN 'CANCELLED' ELSE ([{stages}])[1 + least(12, date_diff('second', TIMESTAMP '2024-01-01', ts) // 216000 + event_id % 3)] END AS stage FROM events)""".replace("{stages}", ", ".join(f"'{x}'" for x in STATES))
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages to jobs: the events of a user within six hours are deliveries of one message."""
+    seconds = F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    i = F.col("event_id")
+    place = F.least(F.lit(12), F.floor(seconds / 216000) + i % 3)
+    stage = F.when(i % 41 == 0, "BOGUS").when(i % 211 == 0, "FAILED").when(i % 503 == 0, "CANCELLED").otherwise(F.element_at(F.array(*[F.lit(x) for x in STATES]), (1 + place).cast("int")))
+    return table(spark, d, "events").select(F.col("user_id").alias("key"), F.floor(seconds / 21600).alias("id"), "ts", stage.alias("stage"))
+
+
+@query(f"""
+WITH m AS (SELECT *, row_number() OVER (PARTITION BY key, id ORDER BY ts, stage) > 1 AS again, list_position([{', '.join(f"'{x}'" for x in STATES)}], stage) AS place FROM {_MESSAGES}),
+k AS (SELECT *, NOT again AND place IS NOT NULL AS counts, stage IN ('COMPLETED', 'FAILED', 'CANCELLED') AS ends FROM m),
+w AS (
+  SELECT *, coalesce(max(CASE WHEN counts AND NOT ends THEN place END) OVER before, 1) AS furthest, first_value(CASE WHEN counts AND ends THEN stage END IGNORE NULLS) OVER before AS ended
+  FROM k WINDOW before AS (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+r AS (
+  SELECT *, coalesce(ended, ([{', '.join(f"'{x}'" for x in STATES)}])[furthest]) AS before,
+    CASE WHEN again THEN 'duplicate' WHEN place IS NULL THEN 'unknown' WHEN ended IS NOT NULL THEN 'ended' WHEN NOT ends AND place < furthest THEN 'backward' END AS reason FROM w
+)
+SELECT key, id, epoch_us(ts) AS at, stage, before, CASE WHEN reason IS NULL THEN stage ELSE before END AS after, reason IS NULL AS accepted, reason FROM r""")
+def job_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """What each message does to its job: the state before and after, or why it was refused."""
+    out = jobs.transitions(messages(spark, d))
+    return out.select("key", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "stage", "before", "after", "accepted", "reason")
 
 
 @query("""

@@ -6,12 +6,15 @@ progress, ts). Windows and watermarks go beyond what batch callers need.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.operators import scratch
+
 #: States of a job in their order; the last three end it.
 STATES = ("QUEUED", "VALIDATING", "EXTRACTING_FRAMES", "ESTIMATING_POSE", "ESTIMATING_DEPTH", "SEGMENTING", "FUSING", "RECONSTRUCTING", "TEXTURING", "GEOREFERENCING", "QUALITY_CHECK", "GENERATING_TILES", "COMPLETED", "FAILED", "CANCELLED")
 TERMINAL = STATES[-3:]
@@ -57,24 +60,58 @@ def once(messages: DataFrame, late: str = "1 hour") -> DataFrame:
     return messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id"])
 
 
-def upsert_latest(path: str):
-    """For foreachBatch: keeps a table with the latest event of each job; a batch that comes again changes nothing."""
+#: Parts of the table of latest events.
+BUCKETS = 64
+
+
+def _committed(spark: SparkSession, path: str, before: int | None = None) -> dict[str, int]:
+    """Bucket -> the epoch that wrote it, as the last commit (before an epoch) says."""
+    epochs = [int(n) for n in scratch.children(spark, f"{path}/_log")]
+    epochs = [e for e in epochs if before is None or e < before]
+    return json.loads(spark.read.text(f"{path}/_log/{max(epochs)}").first()[0]) if epochs else {}
+
+
+def _paths(path: str, parts: dict[str, int]) -> list[str]:
+    return [f"{path}/data/epoch={e}/bucket={b}" for b, e in sorted(parts.items())]
+
+
+def upsert_latest(path: str, buckets: int = BUCKETS):
+    """For foreachBatch: keeps a table with the latest event of each job.
+
+    A micro-batch writes the buckets that its jobs fall into and no others, then a commit that names the epoch of each
+    bucket. One that comes again starts from the commit before it and changes nothing; epochs that neither the last
+    commit nor the one before names are deleted. ``read_latest`` reads what was committed last.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        parts = [batch.select("job_id", "stage", "progress", "ts")]
-        old = f"{path}/epoch={epoch - 1}"
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(old)
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            parts.append(spark.read.parquet(old))
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        top = rows.groupBy("job_id").agg(F.max(F.struct("ts", "progress", "stage")).alias("m"))
-        top.select("job_id", "m.stage", "m.progress", "m.ts").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        parts = _committed(spark, path, epoch)
+        bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
+        rows = batch.select("job_id", "stage", "progress", "ts", bucket.alias("bucket")).persist()
+        touched = {str(r[0]) for r in rows.select("bucket").distinct().collect()}  # one for each bucket at most
+        old = {b: e for b, e in parts.items() if b in touched}
+        both = rows.unionByName(spark.read.option("basePath", f"{path}/data").parquet(*_paths(path, old)).select(*rows.columns)) if old else rows
+        top = both.groupBy("job_id", "bucket").agg(F.max(F.struct("ts", "progress", "stage")).alias("m"))
+        if touched:
+            top.select("job_id", "m.stage", "m.progress", "m.ts", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/epoch={epoch}")
+        rows.unpersist()
+        commit = parts | dict.fromkeys(touched, epoch)
+        spark.createDataFrame([(json.dumps(commit),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_log/{epoch}")
+        wanted = {f"epoch={e}" for e in {*parts.values(), *commit.values()}}
+        scratch.delete(spark, *[f"{path}/data/{n}" for n in scratch.children(spark, f"{path}/data") if n not in wanted and int(n[6:]) < epoch])
+        scratch.delete(spark, *[f"{path}/_log/{n}" for n in scratch.children(spark, f"{path}/_log") if int(n) < epoch - 1])
 
     return run
 
 
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """job_id, stage, progress, ts as the last commit left them."""
+    parts = _committed(spark, path)
+    if not parts:
+        return spark.createDataFrame([], "job_id long, stage string, progress double, ts timestamp")
+    return spark.read.option("basePath", f"{path}/data").parquet(*_paths(path, parts)).select("job_id", "stage", "progress", "ts")
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """The state of each job after its events, with a count of events refused: states only go forward, and the last three stay."""
     rank = {s: i for i, s in enumerate(STATES)}

@@ -131,7 +131,7 @@ def test_stream_of_job_states(spark, tmp_path):
     assert {(r["job_id"], r["state"], r["refused"]) for r in spark.table("states").collect()} == {(1, "COMPLETED", 2), (2, "CANCELLED", 0)}
     q = events.writeStream.foreachBatch(progress.upsert_latest(str(tmp_path / "latest"))).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "latest/epoch=0")).filter("job_id = 1").first()["stage"] == "FUSING"
+    assert progress.read_latest(spark, str(tmp_path / "latest")).filter("job_id = 1").first()["stage"] == "FUSING"
 
 
 def test_event_normalisation(spark):
