@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolith.operators.scratch import Workspace
+
 AXES = ("x", "y", "z")
 
 
@@ -48,14 +50,6 @@ def _around(points: DataFrame, size: float) -> DataFrame:
     return out
 
 
-def pairs_within(points: DataFrame, key: str, radius: float) -> DataFrame:
-    """key, other, d2 of all ordered pairs within radius, without a point and itself."""
-    a = _around(points.select(key, *AXES), radius)
-    b = points.select(F.col(key).alias("other"), *[F.col(c).alias(f"o{c}") for c in AXES], *[cell(c, radius).alias(f"c{c}") for c in AXES])
-    d2 = sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in AXES[1:]), F.pow(F.col("x") - F.col("ox"), 2))
-    return a.join(b, [f"c{c}" for c in AXES]).filter(F.col(key) != F.col("other")).select(key, "other", d2.alias("d2")).filter(F.col("d2") <= radius * radius)
-
-
 def _places(points: DataFrame) -> DataFrame:
     """The distinct places of points and the number of points at each, which stand for one another in neighbour searches."""
     return points.groupBy(*AXES).agg(F.count(F.lit(1)).alias("m"))
@@ -65,50 +59,61 @@ def _near_places(open_places: DataFrame, places: DataFrame, radius: float) -> Da
     """x, y, z, d, m for the places within radius of each open place; a point isn't among the m points at its own place."""
     a = _around(open_places.select(*AXES), radius)
     b = places.select("m", *[F.col(c).alias(f"o{c}") for c in AXES], *[cell(c, radius).alias(f"c{c}") for c in AXES])
-    d2 = sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in AXES[1:]), F.pow(F.col("x") - F.col("ox"), 2))
-    near = a.join(b, [f"c{c}" for c in AXES]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+    near = a.join(b, [f"c{c}" for c in AXES]).withColumn("d2", _apart()).filter(F.col("d2") <= radius * radius)
     return near.select(*AXES, F.sqrt("d2").alias("d"), (F.col("m") - (F.col("d2") == 0).cast("long")).alias("m")).filter("m > 0")
 
 
-def radius_inliers(points: DataFrame, radius: float, least: int) -> DataFrame:
-    """Points with ``least`` other points within radius, and their number; the pairs are those of places, not of points."""
-    places = _places(points)
-    counts = _near_places(places, places, radius).groupBy(*AXES).agg(F.sum("m").alias("neighbours")).filter(F.col("neighbours") >= least)
-    return points.join(counts, list(AXES))
+def _apart() -> Column:
+    return sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in AXES[1:]), F.pow(F.col("x") - F.col("ox"), 2))
+
 
+#: One of each two opposite cells around a cell, and the cell itself first.
+_HALF = [(0, 0, 0)] + [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
 
-def _written(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut, in the folder that the session names for checkpoints."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints/aerolith"))
-    return df.checkpoint()
+
+def radius_inliers(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """Points with ``least`` other points within radius, and their number; the pairs are those of places, not of points.
+
+    Each place looks into half of the cells around its own, and a pair counts for both of its places.
+    """
+    with Workspace(points.sparkSession) as w:
+        places = w.cut(_places(points), "places")
+        steps = F.array(*[F.struct(*[F.lit(s).alias(f"s{c}") for c, s in zip(AXES, step, strict=True)]) for step in _HALF])
+        a = places.withColumn("s", F.explode(steps)).select("m", *AXES, ((F.col("s.sx") != 0) | (F.col("s.sy") != 0) | (F.col("s.sz") != 0)).alias("beside"), *[(cell(c, radius) + F.col(f"s.s{c}")).alias(f"c{c}") for c in AXES])
+        b = places.select(F.col("m").alias("om"), *[F.col(c).alias(f"o{c}") for c in AXES], *[cell(c, radius).alias(f"c{c}") for c in AXES])
+        near = a.join(b, [f"c{c}" for c in AXES]).withColumn("d2", _apart()).filter(F.col("d2") <= radius * radius)
+        mine = F.struct(*AXES, (F.col("om") - (F.col("d2") == 0).cast("long")).alias("n"))
+        other = F.struct(*[F.col(f"o{c}").alias(c) for c in AXES], F.col("m").alias("n"))
+        both = near.select(F.explode(F.when(F.col("beside"), F.array(mine, other)).otherwise(F.array(mine))).alias("p"))
+        counts = both.groupBy(*[F.col(f"p.{c}").alias(c) for c in AXES]).agg(F.sum("p.n").alias("neighbours")).filter(F.col("neighbours") >= least)
+        return points.join(w.keep(counts, "neighbours"), list(AXES))
 
 
 def neighbour_distance(points: DataFrame, k: int, size: float) -> DataFrame:
-    """x, y, z and the mean distance of a point there to its k nearest others.
+    """x, y, z and the mean distance of a point there to its k nearest others, written.
 
     The search doubles its radius for the places that have fewer than k others within it; a place with k within the radius
     is settled, as everything outside is farther. It ends when none is open, or when the radius spans all points: what is
     open then has fewer than k others at all, and gets a null.
     """
-    places, done, radius = _places(points), None, size
-    span = F.sqrt(sum((F.pow(F.max(c) - F.min(c), 2) for c in AXES[1:]), F.pow(F.max("x") - F.min("x"), 2)))
-    widest = places.agg(span).first()[0] or 0.0
-    open_places = places
-    w = Window.partitionBy(*AXES).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    while True:
-        taken = F.greatest(F.lit(0), F.least(F.col("m"), k - (F.sum("m").over(w) - F.col("m"))))
-        near = _near_places(open_places, places, radius).withColumn("taken", taken)
-        found = near.groupBy(*AXES).agg((F.sum(F.col("taken") * F.col("d")) / k).alias("mean_d"), F.sum("taken").alias("n")).filter(F.col("n") == k).drop("n")
-        found = _written(found)
-        done = found if done is None else done.unionByName(found)
-        open_places = open_places.join(found, list(AXES), "left_anti")
-        if open_places.isEmpty():
-            return done
-        if radius > widest:
-            return done.unionByName(open_places.select(*AXES, F.lit(None).cast("double").alias("mean_d")))
-        radius *= 2
+    with Workspace(points.sparkSession) as w:
+        places, done, radius = w.cut(_places(points), "places"), None, size
+        span = F.sqrt(sum((F.pow(F.max(c) - F.min(c), 2) for c in AXES[1:]), F.pow(F.max("x") - F.min("x"), 2)))
+        widest = places.agg(span).first()[0] or 0.0
+        open_places = places
+        order = Window.partitionBy(*AXES).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+        while True:
+            taken = F.greatest(F.lit(0), F.least(F.col("m"), k - (F.sum("m").over(order) - F.col("m"))))
+            near = _near_places(open_places, places, radius).withColumn("taken", taken)
+            found = near.groupBy(*AXES).agg((F.sum(F.col("taken") * F.col("d")) / k).alias("mean_d"), F.sum("taken").alias("n")).filter(F.col("n") == k).drop("n")
+            found = w.cut(found, "found")
+            done = found if done is None else done.unionByName(found)
+            open_places = w.cut(open_places.join(found, list(AXES), "left_anti"), "open")
+            if open_places.isEmpty():
+                return w.keep(done, "distances")
+            if radius > widest:
+                return w.keep(done.unionByName(open_places.select(*AXES, F.lit(None).cast("double").alias("mean_d"))), "distances")
+            radius *= 2
 
 
 def statistical_inliers(points: DataFrame, k: int, size: float, ratio: float) -> DataFrame:
@@ -132,21 +137,22 @@ def outside_boxes(points: DataFrame, boxes: list[tuple[float, ...]], classes: li
 def nearest_other(points: DataFrame, others: DataFrame, size: float) -> DataFrame:
     """x, y, z of the distinct places of points, with the id and the distance of the nearest of ``others`` (id, x, y, z; the lowest id on a tie).
 
-    As in ``neighbour_distance``, the radius doubles for the places that have none within it; without others there is no row.
+    As in ``neighbour_distance``, the radius doubles for the places that have none within it; without others there is no row. The result is written.
     """
-    open_places, done, radius = points.select(*AXES).distinct(), None, size
-    if others.isEmpty():
-        return open_places.limit(0).select("*", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("d"))
-    while True:
-        b = others.select("id", *[F.col(c).alias(f"o{c}") for c in AXES], *[cell(c, radius).alias(f"c{c}") for c in AXES])
-        d2 = sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in AXES[1:]), F.pow(F.col("x") - F.col("ox"), 2))
-        near = _around(open_places, radius).join(b, [f"c{c}" for c in AXES]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
-        found = _written(near.groupBy(*AXES).agg(F.min(F.struct("d2", "id")).alias("m")).select(*AXES, F.col("m.id").alias("id"), F.sqrt("m.d2").alias("d")))
-        done = found if done is None else done.unionByName(found)
-        open_places = open_places.join(found, list(AXES), "left_anti")
-        if open_places.isEmpty():
-            return done
-        radius *= 2
+    with Workspace(points.sparkSession) as w:
+        open_places, done, radius = w.cut(points.select(*AXES).distinct(), "places"), None, size
+        others = w.cut(others.select("id", *AXES), "others")
+        if others.isEmpty():
+            return points.select(*AXES).limit(0).select("*", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("d"))
+        while True:
+            b = others.select("id", *[F.col(c).alias(f"o{c}") for c in AXES], *[cell(c, radius).alias(f"c{c}") for c in AXES])
+            near = _around(open_places, radius).join(b, [f"c{c}" for c in AXES]).withColumn("d2", _apart()).filter(F.col("d2") <= radius * radius)
+            found = w.cut(near.groupBy(*AXES).agg(F.min(F.struct("d2", "id")).alias("m")).select(*AXES, F.col("m.id").alias("id"), F.sqrt("m.d2").alias("d")), "found")
+            done = found if done is None else done.unionByName(found)
+            open_places = w.cut(open_places.join(found, list(AXES), "left_anti"), "open")
+            if open_places.isEmpty():
+                return w.keep(done, "nearest")
+            radius *= 2
 
 
 def filter_report(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -15,10 +15,10 @@ PIXELS = """(SELECT l_suppkey % 25 AS job, l_suppkey AS frame, l_orderkey % 64 A
   FROM lineitem GROUP BY ALL)"""
 POSES = """(SELECT s_suppkey % 25 AS job, s_suppkey AS frame, s_suppkey * 0.7::DOUBLE AS e, (s_suppkey % 7) * 1.3::DOUBLE AS n, abs(CAST(s_acctbal AS DOUBLE)) % 40 AS up,
   CASE WHEN s_suppkey % 3 <> 0 THEN 20.0::DOUBLE + s_suppkey % 50 END AS agl FROM supplier)"""
-#: Points seen in every fourth frame of a job: unit vectors times depth, and places near twice of these.
+#: Points of every frame, unit vectors times depth, and places near twice of these. A point without depth isn't seen; there are frames that see most of theirs, few, or none.
 POINTS = """(SELECT l_suppkey % 25 AS job, l_suppkey AS frame, CAST(l_quantity AS DOUBLE) AS ax, round(l_discount * 100) AS ay, l_extendedprice / 1000 AS az,
-  2 * CAST(l_quantity AS DOUBLE) + l_linenumber % 3 AS bx, 2 * round(l_discount * 100) - l_linenumber % 2 AS by_, 2 * (l_extendedprice / 1000) AS bz, l_extendedprice / 1000 AS depth
-  FROM lineitem WHERE l_suppkey % 4 = 1)"""
+  2 * CAST(l_quantity AS DOUBLE) + l_linenumber % 3 AS bx, 2 * round(l_discount * 100) - l_linenumber % 2 AS by_, 2 * (l_extendedprice / 1000) AS bz, CASE WHEN l_partkey % (1 + l_suppkey % 40 * 30) = 0 THEN l_extendedprice / 1000 ELSE 0.0 END AS depth
+  FROM lineitem)"""
 
 
 def query(oracle: str | None = None):
@@ -50,9 +50,10 @@ def _poses(spark: SparkSession, d: str) -> DataFrame:
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
     q, y, z = F.col("l_quantity").cast("double"), F.round(F.col("l_discount") * 100), F.col("l_extendedprice") / 1000
-    rows = table(spark, d, "lineitem").filter("l_suppkey % 4 = 1")
+    rows = table(spark, d, "lineitem")
+    seen = F.when(F.col("l_partkey") % (1 + F.col("l_suppkey") % 40 * 30) == 0, z).otherwise(0.0)
     world = [(2 * q + F.col("l_linenumber") % 3).alias("bx"), (2 * y - F.col("l_linenumber") % 2).alias("by"), (2 * z).alias("bz")]
-    return rows.select((F.col("l_suppkey") % 25).alias("job"), F.col("l_suppkey").alias("frame"), q.alias("ax"), y.alias("ay"), z.alias("az"), *world, z.alias("depth"))
+    return rows.select((F.col("l_suppkey") % 25).alias("job"), F.col("l_suppkey").alias("frame"), q.alias("ax"), y.alias("ay"), z.alias("az"), *world, seen.alias("depth"))
 
 
 @query(f"""

@@ -186,7 +186,7 @@ def filter_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(points.filter_report(o, points.outside_boxes(o, [(10, 0, 0, 20, 5, 50)], [5, 6])), "retained")
 
 
-_CAMERAS = "(SELECT s_suppkey AS id, CAST(s_suppkey * 7 % 50 AS DOUBLE) AS x, CAST(s_suppkey * 3 % 11 AS DOUBLE) AS y, CAST(40 + s_suppkey * 5 % 60 AS DOUBLE) AS z FROM supplier WHERE s_suppkey < 40)"
+_CAMERAS = "(SELECT s_suppkey AS id, CAST(s_suppkey * 7 % 50 AS DOUBLE) AS x, CAST(s_suppkey * 3 % 11 AS DOUBLE) AS y, CAST(40 + s_suppkey * 5 % 60 AS DOUBLE) AS z FROM supplier)"
 
 
 @query(f"""
@@ -196,9 +196,9 @@ def nearest_camera(spark: SparkSession, d: str) -> DataFrame:
     """The camera nearest to each place of a cloud, and whether an upward normal must be turned towards it."""
     i = F.col("s_suppkey")
     place = [(i * 7 % 50).cast("double").alias("x"), (i * 3 % 11).cast("double").alias("y"), (40 + i * 5 % 60).cast("double").alias("z")]
-    cameras = table(spark, d, "supplier").filter("s_suppkey < 40").select(i.alias("id"), *place)
+    cameras = table(spark, d, "supplier").select(i.alias("id"), *place)
     near = points.nearest_other(view(spark, d, "observations"), cameras, 8.0)
-    rows = near.join(F.broadcast(cameras.select("id", F.col("z").alias("cz"))), "id")  # the cameras of a job
+    rows = near.join(cameras.select("id", F.col("z").alias("cz")), "id")
     return rows.select("x", "y", "z", F.col("id").alias("camera"), F.bround("d", 6).alias("dist"), (F.col("cz") - F.col("z") < 0).alias("turned"))
 
 
