@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from aerolith.plans import depths, files, flights, maskviews, registry, reports, scenes, terrain
+    from aerolith.plans import depths, files, flights, images, maskviews, registry, reports, scenes, terrain
 
-    return [flights, scenes, depths, maskviews, reports, registry, files, terrain]
+    return [flights, scenes, depths, maskviews, reports, registry, files, terrain, images]
 
 
 def queries() -> dict:
