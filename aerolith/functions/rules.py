@@ -97,6 +97,22 @@ def upload_parts(size: Column) -> Column:
     return F.when(size > 100 * 1024 * 1024, F.ceil(size / (50 * 1024 * 1024))).otherwise(1).cast("int")
 
 
+#: Extensions and largest sizes of files that may be uploaded, by kind.
+UPLOADS = {"VIDEO": ((".mp4", ".mov", ".m4v", ".avi"), 50 * 1024**3), "TELEMETRY": ((".csv", ".json", ".srt", ".txt", ".gpx"), 500 * 1024**2)}
+
+
+def upload_problem(name: Column, kind: Column, size: Column) -> Column:
+    """Why an upload is refused, the first of ``kind``, ``name`` (empty or over 512 characters), ``extension``, ``empty`` and ``size``; null if it isn't."""
+    extension = F.lower(F.regexp_extract(F.element_at(F.split(name, "/"), -1), r"[^.](\.[^.]*)$", 1))
+    known, allowed, most = F.lit(False), F.lit(False), F.lit(0)
+    for k, (extensions, largest) in UPLOADS.items():
+        known, allowed, most = known | (kind == k), allowed | ((kind == k) & extension.isin(*extensions)), F.when(kind == k, F.lit(largest)).otherwise(most)
+    bad_name = name.isNull() | ~F.length(name).between(1, 512)
+    return (
+        F.when(~F.coalesce(known, F.lit(False)), "kind").when(bad_name, "name").when(~allowed, "extension").when(F.coalesce(size, F.lit(0)) <= 0, "empty").when(size > most, "size")
+    )
+
+
 def majority(a: Column, b: Column, c: Column) -> Column:
     """The value that two of three share, else the first."""
     return F.when(b == c, b).otherwise(a)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions import rules
 from aerolith.plans.views import sql, table, view
-from aerolith.operators import meshes
+from aerolith.operators import meshes, scratch
 from aerolith.sinks import exports
+from aerolith.sources import point_files
 from aerolith.sources import telemetry_files as tf
 from aerolith.streaming import progress
 
@@ -135,9 +138,33 @@ def obj_export(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT l_orderkey, CAST(round_even((x - 1) / 0.001, 0) AS INT) AS x, CAST(round_even(conf_pct / 100 * 65535, 0) AS INT) AS intensity, [1, 6, 11, 2, 5, 13, 14, 17, 9, 1, 1][cls + 1] AS code, (l_orderkey % 256)::INT << 8 AS r, CAST(least(65535, round_even(z * 1000, 0)) AS INT) AS depth FROM {sql('observations')}")
 def las_records(spark: SparkSession, d: str) -> DataFrame:
     o = view(spark, d, "observations").select("l_orderkey", "x", "y", "z", "cls", (F.col("conf_pct") / 100).alias("conf"), F.lit(1).alias("state"), *[(F.col("l_orderkey") % 256).alias(c) for c in ("r", "g", "b")], exports.quantised(F.col("z")).alias("depth"))
-    low = o.agg(F.min("x").alias("x0")).first()["x0"]
-    code = F.element_at(F.array(*[F.lit(c) for c in exports.LAS_CODES]), F.col("cls") + 1)
-    return o.select("l_orderkey", F.rint((F.col("x") - low) / 0.001).cast("int").alias("x"), F.rint(F.col("conf") * 65535).cast("int").alias("intensity"), code.alias("code"), F.shiftleft(F.col("r").cast("int"), 8).alias("r"), "depth")
+    return exports.las_columns(o, ("l_orderkey", "depth")).select("l_orderkey", "x", "intensity", "code", "r", "depth")
+
+
+@query(f"""
+SELECT x, y, z, round_even(round_even(conf_pct / 100 * 65535, 0) / 65535.0, 6) AS conf, [1, 6, 11, 2, 5, 13, 14, 17, 9, 1, 1][cls + 1] AS code, CAST(l_linenumber % 6 AS INT) AS state, CAST(l_orderkey % 256 AS INT) AS r FROM {sql('observations')}""")
+def las_files(spark: SparkSession, d: str) -> DataFrame:
+    """The points of the cloud as they come back from LAS files."""
+    spark.dataSource.register(point_files.PointFiles)
+    colours = [(F.col("l_orderkey") % k).cast("int").alias(c) for c, k in (("r", 256), ("g", 100), ("b", 10))]
+    cloud = view(spark, d, "observations").select("x", "y", "z", (F.col("conf_pct") / 100).alias("conf"), "cls", (F.col("l_linenumber") % 6).cast("int").alias("state"), *colours)
+    path = f"{scratch.shared_dir(spark)}/las-{uuid.uuid4().hex}"
+    cloud.write.format("points").option("kind", "las").mode("append").save(path)
+    read = spark.read.format("points").load(path)
+    return read.select(*[F.bround(c, 3).alias(c) for c in ("x", "y", "z")], F.bround("conf", 6).alias("conf"), "code", "state", "r")
+
+
+@query("""
+WITH u AS (SELECT o_orderkey, o_orderkey % 5 AS k, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'Flight ' || o_orderkey || ['.MP4', '.mov', '.csv', '.exe', ''][o_orderkey % 5 + 1] END AS name, ['VIDEO', 'TELEMETRY', 'IMAGE'][o_custkey % 3 + 1] AS kind, CAST(floor(o_totalprice) AS BIGINT) * 400000 - 100000 AS size FROM orders)
+SELECT o_orderkey, CASE WHEN kind = 'IMAGE' THEN 'kind' WHEN name = '' THEN 'name' WHEN NOT (kind = 'VIDEO' AND k IN (0, 1) OR kind = 'TELEMETRY' AND k = 2) THEN 'extension' WHEN size <= 0 THEN 'empty'
+  WHEN size > CASE kind WHEN 'VIDEO' THEN 53687091200 ELSE 524288000 END THEN 'size' END AS problem FROM u""")
+def upload_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Which uploads are refused, and why."""
+    i = F.col("o_orderkey")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
+    name = F.when(i % 11 == 0, "").otherwise(F.concat(F.lit("Flight "), i, pick((".MP4", ".mov", ".csv", ".exe", ""), i % 5)))
+    rows = table(spark, d, "orders").select(i, name.alias("name"), pick(("VIDEO", "TELEMETRY", "IMAGE"), F.col("o_custkey") % 3).alias("kind"), (F.floor("o_totalprice") * 400_000 - 100_000).alias("size"))
+    return rows.select("o_orderkey", rules.upload_problem(F.col("name"), F.col("kind"), F.col("size")).alias("problem"))
 
 
 def _beats(spark: SparkSession, d: str) -> DataFrame:

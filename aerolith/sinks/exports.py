@@ -7,7 +7,6 @@ them into bytes, is numpy, a partition at a time.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,18 +87,19 @@ def quantised(depth: Column, scale: float = 1000.0) -> Column:
     return F.least(F.lit(65535), F.greatest(F.lit(0), F.rint(depth * scale))).cast("int")
 
 
-def las_columns(points: DataFrame) -> DataFrame:
-    """The integer columns of LAS point records: millimetres from the lowest corner, confidence, code, state, colours."""
+def las_columns(points: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The integer columns of LAS point records: millimetres from the lowest corner, confidence, code, state, colours; and what is carried."""
     low = points.agg(*[F.min(c).alias(f"__{c}") for c in ("x", "y", "z")])
     code = F.element_at(F.array(*[F.lit(c) for c in LAS_CODES]), F.col("cls") + 1)
     at = [F.rint((F.col(c) - F.col(f"__{c}")) / 0.001).cast("int").alias(c) for c in ("x", "y", "z")]
     colours = [F.shiftleft(F.col(c).cast("int"), 8).alias(c) for c in ("r", "g", "b")]
-    return points.crossJoin(F.broadcast(low)).select(*at, F.rint(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("conf"))) * 65535).cast("int").alias("intensity"), code.alias("code"), F.col("state").cast("int").alias("state"), *colours)
+    intensity = F.rint(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("conf"))) * 65535).cast("int").alias("intensity")
+    return points.crossJoin(F.broadcast(low)).select(*carry, *at, intensity, code.alias("code"), F.col("state").cast("int").alias("state"), *colours)
 
 
-def las_bytes(rows: pd.DataFrame, low: tuple[float, float, float], high: tuple[float, float, float]) -> bytes:
-    """A LAS 1.2 file of point format 3 from the columns of las_columns."""
-    n = len(rows)
+def las_file(records: np.ndarray, low: tuple[float, float, float], high: tuple[float, float, float]) -> bytes:
+    """A LAS 1.2 file of point format 3 from its records."""
+    n = len(records)
     head = bytearray(227)
     head[0:4], head[24], head[25], head[104] = b"LASF", 1, 2, 3
     head[58:90] = b"aerolith".ljust(32, b"\0")
@@ -107,21 +107,31 @@ def las_bytes(rows: pd.DataFrame, low: tuple[float, float, float], high: tuple[f
     struct.pack_into("<HII", head, 105, LAS_RECORD.itemsize, n, n)
     struct.pack_into("<6d", head, 131, 0.001, 0.001, 0.001, *low)
     struct.pack_into("<6d", head, 179, *[x for pair in zip(high, low, strict=True) for x in pair])
-    out = np.zeros(n, LAS_RECORD)
+    return bytes(head) + records.tobytes()
+
+
+def las_bytes(rows: pd.DataFrame, low: tuple[float, float, float], high: tuple[float, float, float]) -> bytes:
+    """A LAS file from the columns of las_columns."""
+    out = np.zeros(len(rows), LAS_RECORD)
     for c in ("x", "y", "z", "intensity", "code", "state", "r", "g", "b"):
         out[c] = rows[c].to_numpy()
     out["flags"] = out["source"] = 1
-    return bytes(head) + out.tobytes()
+    return las_file(out, low, high)
 
 
-def ply_bytes(rows: pd.DataFrame) -> bytes:
-    """A binary little-endian PLY file."""
+def ply_head(points: int) -> bytes:
+    """The header of a binary little-endian PLY file of so many points."""
     kinds = {"f4": "float", "u1": "uchar"}
     lines = [f"property {kinds[PLY_RECORD[c].str[1:]]} {c}" for c in PLY_RECORD.names]
+    return "\n".join(["ply", "format binary_little_endian 1.0", f"element vertex {points}", *lines, "end_header", ""]).encode()
+
+
+def ply_bytes(rows: pd.DataFrame) -> bytes:
+    """A binary little-endian PLY file."""
     out = np.zeros(len(rows), PLY_RECORD)
     for c in PLY_RECORD.names:
         out[c] = rows[c].to_numpy()
-    return "\n".join(["ply", "format binary_little_endian 1.0", f"element vertex {len(rows)}", *lines, "end_header", ""]).encode() + out.tobytes()
+    return ply_head(len(rows)) + out.tobytes()
 
 
 def tiff_bytes(grid: np.ndarray, x0: float, y1: float, size: float, epsg: int = 4326, nodata: float = -9999.0) -> bytes:
@@ -148,16 +158,3 @@ def tiff_bytes(grid: np.ndarray, x0: float, y1: float, size: float, epsg: int =
         if e[0] == 273:
             e[3] = at + len(tail)
     return b"II*\0" + struct.pack("<IH", 8, len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0) + tail + data
-
-
-def packed(points: DataFrame, dtype: np.dtype, schema: str = "bytes binary") -> DataFrame:
-    """The records of each partition as bytes, to be put after a header."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = np.zeros(len(part), dtype)
-            for c in part.columns:
-                out[c] = part[c].to_numpy()
-            yield pd.DataFrame({"bytes": [out.tobytes()]})
-
-    return points.mapInPandas(run, schema)
