@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.operators import surfaces
+from aerolith.operators import surfaces, textures
 from aerolith.plans.views import table
 
 QUERIES: dict = {}
@@ -60,13 +60,19 @@ def boundary_loops(spark: SparkSession, d: str) -> DataFrame:
     return surfaces.boundary_loops(terrain(spark, d)[0])
 
 
-@query(
+_FANS = (
     _LOOPS
     + """, short AS (SELECT l.loop_u, l.loop_v, l.length, l.place, l.u, x, y, z FROM loops l JOIN v ON v.vid = l.u WHERE l.length BETWEEN 3 AND 24),
-wide AS (SELECT a.loop_u, a.loop_v FROM short a JOIN short b USING (loop_u, loop_v) GROUP BY ALL HAVING max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) <= 2.0)
-SELECT a.loop_u, a.loop_v, b.place AS k, a.u AS i0, c.u AS i1, b.u AS i2 FROM wide JOIN short a USING (loop_u, loop_v) JOIN short b USING (loop_u, loop_v) JOIN short c ON c.loop_u = a.loop_u AND c.loop_v = a.loop_v AND c.place = b.place + 1
-WHERE a.place = 0 AND b.place >= 1"""
+wide AS (SELECT a.loop_u, a.loop_v FROM short a JOIN short b USING (loop_u, loop_v) GROUP BY ALL HAVING max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) <= 2.0),
+fans AS (
+  SELECT a.loop_u, a.loop_v, b.place AS k, a.u AS i0, c.u AS i1, b.u AS i2 FROM wide JOIN short a USING (loop_u, loop_v) JOIN short b USING (loop_u, loop_v) JOIN short c ON c.loop_u = a.loop_u AND c.loop_v = a.loop_v AND c.place = b.place + 1
+  WHERE a.place = 0 AND b.place >= 1
+)
+"""
 )
+
+
+@query(_FANS + "SELECT * FROM fans")
 def hole_fill(spark: SparkSession, d: str) -> DataFrame:
     """The faces that close the small holes of the terrain."""
     return surfaces.fill_holes(*terrain(spark, d))
@@ -76,3 +82,30 @@ def hole_fill(spark: SparkSession, d: str) -> DataFrame:
 def levels_of_detail(spark: SparkSession, d: str) -> DataFrame:
     """The terrain at 100, 35 and 10 percent of its faces."""
     return surfaces.level_report(surfaces.levels_of_detail(*terrain(spark, d)))
+
+
+_ATLAS = 300
+
+
+@query(
+    _FANS
+    + """, e AS (SELECT fid, i0, i1, i2, false AS inferred FROM f UNION ALL SELECT 1000000000000 + (loop_u * 4096 + loop_v % 4096) * 32 + k, i0, i1, i2, true FROM fans),
+box AS (SELECT min(x) AS x0, min(y) AS y0, greatest(1e-4, max(x) - min(x)) AS dx, greatest(1e-4, max(y) - min(y)) AS dy FROM v),
+spot AS (SELECT vid, CAST(floor((x - x0) / dx * 299.0::DOUBLE) AS BIGINT) AS pu, CAST(floor((y - y0) / dy * 299.0::DOUBLE) AS BIGINT) AS pv FROM v, box),
+t AS (SELECT fid, inferred, CAST(floor((i0 % 256 + i1 % 256 + i2 % 256) / 3) AS INT) AS r, CAST(floor((i0 % 200 + i1 % 200 + i2 % 200) / 3) AS INT) AS g, a.pu AS u0, a.pv AS v0, b.pu AS u1, b.pv AS v1, c.pu AS u2, c.pv AS v2
+  FROM e JOIN spot a ON a.vid = i0 JOIN spot b ON b.vid = i1 JOIN spot c ON c.vid = i2),
+n AS (SELECT *, unnest(range(least(v0, v1, v2), greatest(v0, v1, v2) + 1)) AS v FROM t),
+m AS (SELECT *, unnest(range(least(u0, u1, u2), greatest(u0, u1, u2) + 1)) AS u FROM n),
+edge AS (SELECT *, (u1 - u0) * (v - v0) - (v1 - v0) * (u - u0) AS s0, (u2 - u1) * (v - v1) - (v2 - v1) * (u - u1) AS s1, (u0 - u2) * (v - v2) - (v0 - v2) * (u - u2) AS s2 FROM m),
+top AS (SELECT v, u, arg_max(r, fid) AS r, arg_max(g, fid) AS g, arg_max(inferred, fid) AS inferred FROM edge WHERE least(s0, s1, s2) >= 0 OR greatest(s0, s1, s2) <= 0 GROUP BY v, u),
+grid AS (SELECT i // 300 AS v, i % 300 AS u FROM (SELECT unnest(range(90000)) AS i))
+SELECT grid.v, grid.u, coalesce(r, 160) AS r, coalesce(g, 160) AS g, CASE WHEN inferred IS NULL THEN 160 ELSE 7 END AS b, CASE WHEN inferred IS NULL THEN 220 WHEN inferred THEN 80 ELSE 240 END AS confidence
+FROM grid LEFT JOIN top ON top.v = grid.v AND top.u = grid.u"""
+)
+def texture_atlas(spark: SparkSession, d: str) -> DataFrame:
+    """The terrain and the faces that close its small holes, drawn into an atlas."""
+    faces, vertices = terrain(spark, d)
+    number = 1_000_000_000_000 + (F.col("loop_u") * 4096 + F.col("loop_v") % 4096) * 32 + F.col("k")
+    fans = surfaces.fill_holes(faces, vertices).select(number.alias("fid"), "i0", "i1", "i2", F.lit(True).alias("inferred"))
+    colours = [(F.col("vid") % 256).alias("r"), (F.col("vid") % 200).alias("g"), F.lit(7).alias("b")]
+    return textures.bake(faces.withColumn("inferred", F.lit(False)).unionByName(fans), vertices.select("*", *colours), _ATLAS)

@@ -135,3 +135,29 @@ def test_a_tetrahedron_is_left_as_it_is(spark):
     v = spark.createDataFrame([(i, float(i == 1), float(i == 2), float(i == 3)) for i in range(4)], VERTEX)
     assert surfaces.decimate(f, v, 4)[0].count() == 4
     assert surfaces.level_report(surfaces.levels_of_detail(f, v)).select("faces").collect() == [(4,)] * 3
+
+
+def test_atlas_of_large_and_degenerate_faces(spark, monkeypatch):
+    from aerolith.operators import textures
+
+    rng = __import__("random").Random(3)
+    size = 40
+    vertices = [(i, float(rng.randrange(size)), float(rng.randrange(size)), 0.0, rng.randrange(256), rng.randrange(256), rng.randrange(256)) for i in range(12)]
+    vertices += [(100, 0.0, 0.0, 0.0, 1, 2, 3), (101, size - 1.0, size - 1.0, 0.0, 1, 2, 3)]
+    faces = [(k, *rng.sample(range(12), 3), bool(k % 2)) for k in range(9)] + [(20, 3, 3, 4, False), (21, 5, 5, 5, True), (22, 0, 1, 77, True)]
+    at = {v[0]: v for v in vertices}
+    want = {(v, u): (160, 160, 160, 220) for v in range(size) for u in range(size)}
+    for _, *corners, inferred in sorted(faces):
+        if all(c in at for c in corners):
+            p = [(int(at[c][1]), int(at[c][2])) for c in corners]
+            colour = tuple(sum(at[c][4 + k] for c in corners) // 3 for k in range(3))
+            for v in range(min(y for _, y in p), max(y for _, y in p) + 1):
+                for u in range(min(x for x, _ in p), max(x for x, _ in p) + 1):
+                    s = [(p[(k + 1) % 3][0] - p[k][0]) * (v - p[k][1]) - (p[(k + 1) % 3][1] - p[k][1]) * (u - p[k][0]) for k in range(3)]
+                    if min(s) >= 0 or max(s) <= 0:
+                        want[v, u] = (*colour, 80 if inferred else 240)
+    f = spark.createDataFrame(faces, FACE + ", inferred boolean")
+    v = spark.createDataFrame(vertices, VERTEX + ", r int, g int, b int")
+    for square in (64, 7):
+        monkeypatch.setattr(textures, "SQUARE", square)
+        assert {(r["v"], r["u"]): tuple(r)[2:] for r in textures.bake(f, v, size).collect()} == want
