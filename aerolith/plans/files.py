@@ -167,6 +167,24 @@ def upload_checks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", rules.upload_problem(F.col("name"), F.col("kind"), F.col("size")).alias("problem"))
 
 
+@query("""
+SELECT event_id, CASE WHEN event_id % 7 > 0 THEN CAST(user_id AS VARCHAR) END AS job_id, CASE WHEN event_id % 7 = 0 OR event_id % 3 = 1 THEN '' ELSE event_type END AS stage,
+  CASE WHEN event_id % 7 > 0 THEN (event_id % 100)::DOUBLE ELSE 0.0 END AS progress, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 1000 END AS frames_total,
+  CASE WHEN event_id % 7 = 0 THEN 0.0 WHEN event_id % 3 = 0 THEN (event_id % 50)::DOUBLE + 0.5 WHEN event_id % 3 = 1 THEN (event_id % 90)::DOUBLE + 0.25 ELSE 0.0 END AS gpu_utilization,
+  CASE WHEN event_id % 7 > 0 AND event_id % 3 = 1 THEN 1 ELSE 0 END AS warnings, CASE WHEN event_id % 7 = 0 THEN 'event ' || event_id END AS raw FROM events""")
+def normalised_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events of jobs as they come: some under older names, some without a stage, some that aren't JSON."""
+    i = F.col("event_id")
+    head = F.format_string('{"job_id": "%d", "progress": %d', F.col("user_id"), i % 100)
+    nested = F.format_string('%s, "stage": "%s", "total_frames": %d, "gpu_stats": {"utilization": %d.5, "vram_used": 1.0}}', head, F.col("event_type"), i % 1000, i % 50)
+    flat = F.format_string('%s, "frames_total": %d, "gpu_utilization": %d.25, "warnings": ["GPS_GAP"]}', head, i % 1000, i % 90)
+    plain = F.format_string('%s, "stage": "%s", "frames_total": %d}', head, F.col("event_type"), i % 1000)
+    raw = F.when(i % 7 == 0, F.concat(F.lit("event "), i)).when(i % 3 == 0, nested).when(i % 3 == 1, flat).otherwise(plain)
+    e = F.col("e")
+    rows = table(spark, d, "events").select(i, progress.normalise(raw).alias("e"))
+    return rows.select("event_id", e["job_id"].alias("job_id"), e["stage"].alias("stage"), e["progress"].alias("progress"), e["frames_total"].alias("frames_total"), e["gpu_utilization"].alias("gpu_utilization"), F.size(e["warnings"]).alias("warnings"), e["raw"].alias("raw"))
+
+
 def _beats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.col("value").alias("progress"), F.col("ts").cast("timestamp").alias("ts"))
 

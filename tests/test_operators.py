@@ -148,3 +148,21 @@ def test_local_planes_and_identity(spark):
     assert abs(r["nz"]) == pytest.approx(1) and r["curvature"] == pytest.approx(0)
     few = spark.createDataFrame([(0.0,) * 6], ", ".join(f"{s}{c} double" for s in "st" for c in "xyz"))
     assert alignment.umeyama(few)[0] == 1.0
+
+
+def test_descriptors_in_blocks_of_any_size(spark):
+    from aerolith.operators import alignment
+
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(90, 4)), 1)
+    v[10] = v[11] = v[12]
+    rows = [(i % 3 if i < 80 else 7, i, v[i].tolist()) for i in range(90)] + [(9, 500, [1.0] * 4), (None, 501, [1.0] * 4), (1, None, [1.0] * 4), (1, 502, None)]
+    table = spark.createDataFrame(rows, "label int, id long, v array<double>")
+    want = {}
+    for label, a, p in rows[:90]:
+        near = sorted((float(np.sqrt(((np.array(p) - np.array(q)) ** 2).sum())), b) for other, b, q in rows[:90] if other == label and b != a)
+        if near[0][0] < 0.8 * near[1][0]:
+            want[a] = near[0]
+    for block in (1, 7, 1024):
+        got = {r["a"]: (r["d"], r["b"]) for r in alignment.ratio_matches(table, table, "label", 0.8, block).collect()}
+        assert set(got) == set(want) and all(got[a][1] == want[a][1] and abs(got[a][0] - want[a][0]) < 1e-9 for a in got)
