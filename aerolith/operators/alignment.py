@@ -49,10 +49,41 @@ def local_planes(near: DataFrame, key: str) -> DataFrame:
     return cov.mapInPandas(run, f"{key} long, nx double, ny double, nz double, curvature double")
 
 
-def ratio_matches(left: DataFrame, right: DataFrame, by: str, ratio: float = 0.75) -> DataFrame:
-    """a, b, d: the nearest descriptor of right for each of left (by, id, v) in the same group, if it is much nearer than the second."""
-    d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))
-    rows = left.select(by, F.col("id").alias("a"), "v").join(right.select(by, F.col("id").alias("b"), F.col("v").alias("w")), by).filter("a <> b").select("a", "b", d.alias("d"))
+#: Descriptors of a block.
+BLOCK = 1024
+
+
+def _two_nearest(cell: pd.DataFrame) -> pd.DataFrame:
+    left, right = cell[cell["side"] == 0], cell[cell["side"] == 1]
+    a, b = left["id"].to_numpy(), right["id"].to_numpy()
+    found = []
+    if len(a) and len(b):
+        v, w = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        for at in range(0, len(a), 32):
+            d = np.sqrt(((v[at : at + 32, None, :] - w[None, :, :]) ** 2).sum(-1))
+            for i, row in enumerate(d):
+                others = np.flatnonzero(b != a[at + i])
+                if len(others) > 2:
+                    others = others[row[others] <= np.partition(row[others], 1)[1]]
+                others = others[np.lexsort((b[others], row[others]))[:2]]
+                found += [(a[at + i], b[j], row[j]) for j in others]
+    return pd.DataFrame(found, columns=["a", "b", "d"])
+
+
+def ratio_matches(left: DataFrame, right: DataFrame, by: str, ratio: float = 0.75, block: int = BLOCK) -> DataFrame:
+    """a, b, d: the nearest descriptor of right for each of left (by, id, v) in the same group, if it is much nearer than the second.
+
+    Both sides of a group are dealt in blocks by hash, as many as its size needs, and each pair of blocks is compared on its own; it sends the
+    two nearest of each descriptor. All descriptors have one length; those with a null id, group or vector take no part.
+    """
+    left, right = (x.select(by, "id", "v").filter(F.col("id").isNotNull() & F.col("v").isNotNull()) for x in (left, right))
+    sizes = [x.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).alias(name)) for x, name in ((left, "nl"), (right, "nr"))]
+    sizes = sizes[0].join(sizes[1], by)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    l_rows = left.join(sizes, by).select(by, own("nl").alias("lb"), every("nr").alias("rb"), F.lit(0).alias("side"), "id", "v")
+    r_rows = right.join(sizes, by).select(by, every("nl").alias("lb"), own("nr").alias("rb"), F.lit(1).alias("side"), "id", "v")
+    rows = l_rows.unionByName(r_rows).groupBy(by, "lb", "rb").applyInPandas(_two_nearest, "a long, b long, d double")
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter("n <= 2")
     best = ranked.groupBy("a").agg(F.min(F.struct("d", "b")).alias("first"), F.max("d").alias("second"), F.count(F.lit(1)).alias("k"))
     return best.filter((F.col("k") == 2) & (F.col("first.d") < ratio * F.col("second"))).select("a", F.col("first.b").alias("b"), F.col("first.d").alias("d"))
