@@ -54,20 +54,23 @@ BLOCK = 1024
 
 
 def _two_nearest(cell: pd.DataFrame) -> pd.DataFrame:
+    """The two nearest of the right side for each of the left: products tell which may be, differences which are."""
     left, right = cell[cell["side"] == 0], cell[cell["side"] == 1]
     a, b = left["id"].to_numpy(), right["id"].to_numpy()
-    found = []
+    found = [pd.DataFrame({"a": a[:0], "b": b[:0], "d": np.zeros(0)})]
     if len(a) and len(b):
         v, w = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        for at in range(0, len(a), 32):
-            d = np.sqrt(((v[at : at + 32, None, :] - w[None, :, :]) ** 2).sum(-1))
-            for i, row in enumerate(d):
-                others = np.flatnonzero(b != a[at + i])
-                if len(others) > 2:
-                    others = others[row[others] <= np.partition(row[others], 1)[1]]
-                others = others[np.lexsort((b[others], row[others]))[:2]]
-                found += [(a[at + i], b[j], row[j]) for j in others]
-    return pd.DataFrame(found, columns=["a", "b", "d"])
+        vv, ww = (v * v).sum(1), (w * w).sum(1)
+        for at in range(0, len(a), 256):
+            some = slice(at, at + 256)
+            near = vv[some, None] + ww - 2 * (v[some] @ w.T)
+            near[a[some, None] == b] = np.inf
+            cut = np.partition(near, 1, axis=1)[:, 1] if len(b) > 1 else near[:, 0]
+            i, j = np.nonzero((near <= (cut + 1e-9 * (vv[some] + ww.max() + 1))[:, None]) & np.isfinite(near))
+            d = np.sqrt(((v[some][i] - w[j]) ** 2).sum(1))
+            rows = pd.DataFrame({"a": a[some][i], "i": i, "b": b[j], "d": d}).sort_values(["i", "d", "b"])
+            found.append(rows.groupby("i").head(2)[["a", "b", "d"]])
+    return pd.concat(found)
 
 
 def ratio_matches(left: DataFrame, right: DataFrame, by: str, ratio: float = 0.75, block: int = BLOCK) -> DataFrame:
