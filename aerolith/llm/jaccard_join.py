@@ -10,15 +10,21 @@ could link to a smaller one of the band below also signs for that band. In a ban
 domain of shingles is cut into n parts by a hash; a signature is the content of one
 part. Two linked sets differ in k parts at most, so among the first k + 1 parts (in a
 fixed order) that are not empty in a set, one is the same in both, and it is among the
-first k + 1 of the other set too. So each set signs its first k + 1 non-empty parts; if
-it has fewer, it also signs the empty ones among its first k + 1 parts, which covers
-the pairs where both have few. Hence linked sets share a signature: no link is lost.
+first k + 1 of the other set too. So each set signs its first k + 1 non-empty parts. If
+it has k or fewer, or belongs to a band up to ``SMALL``, it is also cut as finely as can be, one
+shingle to a part: among its first k + 2 shingles (in a fixed order) are two that the
+other set has among its own first k + 2, as linked sets share three shingles at least.
+So it signs each subset of two of them, which covers the pairs where both have few
+parts. Hence linked sets share a signature: no link is lost. No signature is that of an
+empty part, which unrelated short texts would have in common; sets of one or two shingles link
+to no other set, and sign as a whole.
 
 Common shingles. Passages that many texts share would put all these texts into the same
 buckets. Leaving any set of shingles out of all sets brings no two sets further apart, so
 the parts are formed without shingles that are common in a sample (a sixteenth of the
 classes, ``MAX_COMMON`` shingles at most); a set that then has k non-empty parts or
 fewer signs these, and signs in full, under other names, for the pairs where both are so.
+Subsets of two take common shingles last.
 Which shingles are left out changes the buckets, never the links.
 
 Verification. A signature's classes form a bucket, and equal buckets are one. A bucket is
@@ -35,6 +41,9 @@ tiles, and a cell compares two tiles:
 3. The sets of the classes that remain are compared. A cell returns the links that span
    its components, fewer than it has classes, and never pairs of candidates.
 
+A class with over a ``HEAVY``-th of all rows gets its component by a broadcast of these few
+classes, and rows without words get theirs without a join, so that no task holds all copies of a text.
+
 Each pair that shares a bucket is thus compared, ruled out exactly, or connected through a
 leader, so that components are exact.
 
@@ -64,6 +73,10 @@ from aerolith.llm.components import components
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 BROADCAST_IDS = 2_000_000
+#: Bands of small sets, whose parts hold one shingle each.
+SMALL = 3
+#: Classes with more than this part of all rows are heavy; there are fewer than HEAVY.
+HEAVY = 1_000
 SAMPLE = 16
 COMMON_IN_SAMPLE = 4
 MAX_COMMON = 1_000_000
@@ -144,28 +157,38 @@ def without(found: np.ndarray, common: np.ndarray) -> np.ndarray:
 def signatures(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The signatures of a set, for its own band and for the one below if it may link to a smaller set there."""
     size = len(found)
-    if not size:
-        return np.zeros(0, np.uint64)
+    if size < 3:  # it links to its equals only
+        return _mix(np.array([int(found.sum()) + size], np.uint64)) if size else found
     own = size.bit_length() - 1
-    bands = [own] + ([own - 1] if own and -(-size * NUMERATOR // DENOMINATOR) < 1 << own else [])
+    bands = [own] + ([own - 1] if -(-size * NUMERATOR // DENOMINATOR) < 1 << own else [])
     rare = without(found, common)
     out = []
     for band in bands:
-        n, most = parts_of(band), _bounds(size, band)
-        name = (2 * band + 1) * int(_Q)
-        filled, content = _parts(rare, n)
-        out.append(_mix(content[: most + 1] + filled[: most + 1] * _P + np.uint64(name & _ALL)))
+        most = _bounds(size, band)
+        first, other, pairs = (np.uint64((3 * band + i) * int(_Q) & _ALL) for i in range(1, 4))
+        if band <= SMALL:
+            out.append(_subsets(found, rare, most + 2, pairs))
+            continue
+        filled, content = _parts(rare, parts_of(band))
+        out.append(_mix(content[: most + 1] + filled[: most + 1] * _P + first))
         if len(filled) <= most:
-            filled, content = _parts(found, n)
+            filled, content = _parts(found, parts_of(band))
+            out.append(_mix(content[: most + 1] + filled[: most + 1] * _P + other))
             if len(filled) <= most:
-                empty = np.setdiff1d(np.arange(most + 1, dtype=np.uint64), filled)
-                filled, content = np.concatenate([filled, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
-            else:
-                filled, content = filled[: most + 1], content[: most + 1]
-            out.append(_mix(content + filled * _P + np.uint64((name + int(_Q)) & _ALL)))
+                out.append(_subsets(found, rare, most + 2, pairs))
     return np.concatenate(out)
 
 
+def _subsets(found: np.ndarray, rare: np.ndarray, n: int, name: np.uint64) -> np.ndarray:
+    """The signatures of each two of the first n shingles of a set, rare ones first."""
+    first = rare[:n]
+    if len(first) < n:
+        first = np.concatenate([first, without(found, rare)[: n - len(first)]])
+    content = _mix(first ^ _Q)
+    i, j = np.triu_indices(len(first), 1)
+    return _mix(content[i] + content[j] + name)
+
+
 def intersection(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate([a, b])
     both.sort()
@@ -474,10 +497,10 @@ def _link_components(docs: DataFrame) -> DataFrame:
     frequent = frequent.filter(F.col("n") >= COMMON_IN_SAMPLE).orderBy(F.desc("n"), "s").limit(MAX_COMMON).select("s").toArrow()
     common_shingles = spark.sparkContext.broadcast(np.sort(frequent.column(0).to_numpy().astype(np.uint64)))
     table = table.drop("sample")
-    classes = table.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
+    classes = table.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     classes = common.spill(classes, "class-heads")[0]
 
-    total = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    total, n_rows = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).first()
     parts = max(common.shuffle_partitions(spark), -(-8 * int(total) // PART_BYTES))
     dealt = rows.select("text").mapInArrow(_signature_pass(parts, common_shingles), "part int, sigs binary, keys binary").repartitionById(parts, F.col("part"))
     buckets = dealt.mapInArrow(_bucket_pass, "bucket long, key long").dropDuplicates(["bucket", "key"])
@@ -487,8 +510,14 @@ def _link_components(docs: DataFrame) -> DataFrame:
     members = roots.withColumnRenamed("node", "key").join(classes, "key")
     lowest = members.groupBy("root").agg(F.min("first").alias("component"))
     merged = members.join(lowest, "root").select("key", "component")
-    named = classes.join(merged, "key", "left").select("key", F.coalesce("component", "first").alias("component"))
-    return table.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    named = classes.join(merged, "key", "left").select("key", "rows", F.coalesce("component", "first").alias("component"))
+    named = common.spill(named, "named")[0]
+    heavy = F.col("rows") > n_rows // HEAVY
+    few = F.broadcast(named.filter(heavy).select("key", "component"))
+    worded = table.filter("key is not null")
+    out = worded.join(few, "key").union(worded.join(few, "key", "left_anti").join(named.filter(~heavy).select("key", "component"), "key"))
+    out = out.union(table.filter("key is null").withColumn("component", F.lit(None).cast("long")).select(out.columns))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
