@@ -47,7 +47,7 @@ classes, and rows without words get theirs without a join, so that no task holds
 Each pair that shares a bucket is thus compared, ruled out exactly, or connected through a
 leader, so that components are exact.
 
-Shingles, classes, signatures and buckets are 64-bit hashes. Sets travel only for classes
+Shingles, classes, signatures and buckets are 64-bit hashes; of a signature its part and 40 bits are sent. Sets travel only for classes
 that bitmaps can't rule out. Defined cases: null text is empty; a document without words
 has no shingles and is a component of its own; a row without doc_id links like any other,
 and gets the smallest doc_id of its component, null if there is none; repeated rows fall
@@ -223,6 +223,25 @@ def _class_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sample, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "sample"])
 
 
+def _dealt(sigs: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each signature, and 40 bits of the rest of it, which tell it apart in its part.
+
+    Parts hold some million signatures whatever the corpus, so that very few meet another one by chance; their classes are then compared.
+    """
+    n = np.uint64(parts)
+    return (sigs % n).astype(np.int64), sigs // n & np.uint64((1 << 40) - 1)
+
+
+def _packed(sigs: np.ndarray) -> bytes:
+    """Five bytes of each: the low four of all, then the fifth."""
+    return sigs.astype("<u4").tobytes() + (sigs >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 5
+    return np.frombuffer(data, "<u4", n).astype(np.int64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.int64) << 32
+
+
 def _signature_pass(parts: int, shared):
     """Signatures and classes, packed together for each part of the signatures' range."""
 
@@ -238,7 +257,7 @@ def _signature_pass(parts: int, shared):
                 continue
             sigs = np.concatenate(list(done.values()))
             keys = np.repeat(np.array(list(done), np.int64), [len(s) for s in done.values()])
-            part = (sigs % np.uint64(parts)).astype(np.int64)
+            part, sigs = _dealt(sigs, parts)
             order = np.argsort(part, kind="stable")
             sigs, keys = sigs[order], keys[order]
             edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -246,7 +265,7 @@ def _signature_pass(parts: int, shared):
             yield pa.record_batch(
                 [
                     pa.array(full, pa.int32()),
-                    pa.array([sigs[edges[p] : edges[p + 1]].tobytes() for p in full], pa.binary()),
+                    pa.array([_packed(sigs[edges[p] : edges[p + 1]]) for p in full], pa.binary()),
                     pa.array([keys[edges[p] : edges[p + 1]].tobytes() for p in full], pa.binary()),
                 ],
                 names=["part", "sigs", "keys"],
@@ -265,7 +284,7 @@ def _bucket_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bucket, key of the signatures that more than one class has; a bucket is named by its classes."""
     sigs, keys = [], []
     for batch in batches:
-        sigs += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        sigs += [_unpacked(x) for x in batch.column(1).to_pylist()]
         keys += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
     if not sigs:
         return
