@@ -40,6 +40,8 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 SEGMENT = 1 << 20
 PART_IDS = 8 << 20
+#: Rows of an Arrow batch of texts or ids: a worker and its executor hold a batch several times over.
+TEXT_ROWS = 1_000
 PARTS_A_BLOCK = 4096
 BROADCAST_PARTS = 1_000_000
 _COUNTS = pa.list_(pa.struct([("token", pa.int32()), ("n", pa.int64())]))
@@ -98,7 +100,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
     where = public_tokenizers.path(vocabulary)
     encoder = Encoder(where)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids, spilled = common.spill(rows.mapInArrow(_encode_pass(where, end), "doc_id long, n long, ids binary, counts array<struct<token:int,n:long>>"), "ids")
+    with common.batch_rows(spark, TEXT_ROWS):
+        ids, spilled = common.spill(rows.mapInArrow(_encode_pass(where, end), "doc_id long, n long, ids binary, counts array<struct<token:int,n:long>>"), "ids")
     found = ids.filter("counts is not null").select(F.explode("counts").alias("c")).groupBy("c.token").agg(F.sum("c.n").alias("n")).toPandas()
     counts = np.zeros(max(encoder.size, end + 1), np.int64)
     counts[found["token"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
@@ -108,7 +111,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
     parts = max(1, -(-int(counts.sum()) // PART_IDS))
     ordered = ids.filter("counts is null").select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     segments = ordered.mapInArrow(_segment_pass(shared, encoder.width), "part int, seq int, start long, ids long, blob binary")
-    segments.write.option("compression", "none").parquet(f"{path}/segments")
+    with common.batch_rows(spark, TEXT_ROWS):
+        segments.write.option("compression", "none").parquet(f"{path}/segments")
     common.discard(spark, spilled)
 
 

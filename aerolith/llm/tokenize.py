@@ -3,7 +3,8 @@
 Both supported kinds split a text before merging, and never merge across a split, so
 that a text's ids are those of its chunks one after the other. A chunk's ids are kept
 in a bounded memory; a new chunk of plain letters, digits and marks goes piece by
-piece to the library's model, any other to the library's whole encoder. A text whose
+piece to the library's model, any other to the library's whole encoder. A word with a
+mark after it shares the memory of the word alone. A text whose
 white space could make chunks depend on each other is encoded whole, as is one that
 holds the string of an added token (such as ``<|endoftext|>``), which is one id there.
 
@@ -13,7 +14,6 @@ holds the string of an added token (such as ``<|endoftext|>``), which is one id
 from __future__ import annotations
 
 import functools
-import json
 import re
 import sys
 from array import array
@@ -66,12 +66,11 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.width = 2 if self.size <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.added = [t["content"].encode() for t in spec.get("added_tokens") or []]  # found in the text as it is, before the split
-        self.drops_space = spec.get("normalizer") is not None  # the kind with word ends: lower case, white space dropped
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]  # found in the text as it is, before the split
+        self.drops_space = self.tokenizer.normalizer is not None  # the kind with word ends: lower case, white space dropped
         self.pack = "H" if self.width == 2 else "I"
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.space = _byte_letters()[0x20]
         mark = rf"[^\s{_LETTERS}0-9]+"
         parts = rf"[{_LETTERS}]+|[0-9]|{mark}" if self.drops_space else rf" ?[{_LETTERS}]+| ?[0-9]+| ?{mark}|\s+(?!\S)|\s+"
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{parts}")
@@ -94,18 +93,22 @@ class Encoder:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, chunk: bytes) -> bytes:
+        if self.drops_space and chunk.isalpha():  # ASCII letters only
+            return self._pack([t.id for t in self.model.tokenize(chunk.lower().decode())])
         text = chunk.decode()
         if self.drops_space and (common := _COMMON.fullmatch(text)):
             word, mark = common.groups()
-            return self.pieces[word.lower()] + self.pieces[mark] if mark else self._piece(word.lower())
+            return self.chunks[chunk[:-1]] + self.pieces[mark] if mark else self._piece(word.lower())
         if not _PLAIN.fullmatch(text):
             return self.whole(text)
         return b"".join([self.pieces[p] for p in self.split.findall(text.lower() if self.drops_space else text)])
 
     def _spaced(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():
+            return self._pack([t.id for t in self.model.tokenize(self.space + chunk.decode())])
         if common := _COMMON.fullmatch(chunk.decode()):
             word, mark = common.groups()
-            return self.pieces[" " + word] + self.pieces[mark] if mark else self._piece(" " + word)
+            return self.chunks[chunk[:-1]] + self.pieces[mark] if mark else self._piece(" " + word)
         return self._word(b" " + chunk)
 
     def encode(self, text: bytes) -> bytes:
