@@ -31,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm import common
+from aerolith.llm.tokenize import forget_encoders
 
 COUNTERS = 256
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 1_000
 
 
 def digest_of(text: bytes | None) -> bytes:
@@ -59,6 +62,7 @@ def merge_summary(summary: Counter, counts: Counter, counters: int) -> int:
 
 def _digest_pass(counters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         summary: Counter = Counter()
         for batch in batches:
             digests = _digests(batch.column(1))
@@ -80,7 +84,8 @@ def _digest_pass(counters: int):
 def digest_table(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """A written table: a row per document (weight null) and the summaries of all tasks (weight set)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digest_pass(counters), "doc_id long, digest binary, weight long")
-    return common.spill(rows, "digests")[0]
+    with common.batch_rows(docs.sparkSession, TEXT_ROWS):
+        return common.spill(rows, "digests")[0]
 
 
 def heavy_winners(table: DataFrame, counters: int = COUNTERS) -> DataFrame:

@@ -69,6 +69,7 @@ from pyspark.sql import functions as F
 
 from aerolith.llm import common
 from aerolith.llm.components import components
+from aerolith.llm.tokenize import forget_encoders
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -209,6 +210,7 @@ def bitmap(found: np.ndarray) -> bytes:
 
 
 def _class_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_encoders()
     words = _Words()
     for batch in batches:
         sizes, keys, sample, seen = [], [], [], set()
@@ -246,6 +248,7 @@ def _signature_pass(parts: int, shared):
     """Signatures and classes, packed together for each part of the signatures' range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         words, common = _Words(), shared.value
         for batch in batches:
             done: dict[int, np.ndarray] = {}

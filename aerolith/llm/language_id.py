@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm import common
+from aerolith.llm.tokenize import forget_encoders
 
 UNDETERMINED = "und"
 ORDER = 3
@@ -53,6 +54,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def _gram_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, gram, n for the texts of a task; a gram is ORDER + 1 bytes, big-endian."""
+    forget_encoders()
     waiting: dict[str, list[bytes]] = {}
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -222,6 +224,7 @@ def _block_pass(shared, first: bool, state: list[str]):
     """Batches with the state after one more block of languages; on a tie the earlier language stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             text = pc.cast(batch.column(batch.schema.get_field_index("text")), pa.string())
             langs, bits, mass = classify(pc.cast(text, pa.binary()).to_pylist(), pc.match_substring_regex(text, r"\p{L}").to_pylist(), shared.value)

@@ -14,11 +14,13 @@ holds the string of an added token (such as ``<|endoftext|>``), which is one id
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 MEMORY = 600_000
 #: Characters for which case, normal form and class are the same everywhere: printable ASCII and Latin-1 letters.
@@ -128,3 +130,11 @@ class Encoder:
 def shared_encoder(path: str) -> Encoder:
     """One encoder for all tasks of a worker process, so that what it remembers serves the next task too."""
     return Encoder(path)
+
+
+def forget_encoders() -> None:
+    """For the tasks of other operators: a worker that has encoded before gives its encoders up, and Arrow what it holds unused."""
+    if shared_encoder.cache_info().currsize:
+        shared_encoder.cache_clear()
+        gc.collect()  # an encoder and its memories refer to each other
+    pa.default_memory_pool().release_unused()

@@ -3,8 +3,8 @@
 import public_tokenizers
 import pytest
 
-from aerolith.llm import common, token_files
-from aerolith.llm.tokenize import Encoder
+from aerolith.llm import common, exact_dedup, jaccard_join, language_id, packing, token_files
+from aerolith.llm.tokenize import Encoder, shared_encoder
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -44,3 +44,30 @@ def test_a_word_is_remembered_once_whatever_mark_follows(name):
     text = "so strange, strange. strange! über, über; élan."
     assert encoder.encode(text.encode()) == encoder.whole(text)
     assert not any("strange" in piece or "ber" in piece for piece in encoder.pieces)
+
+
+@pytest.mark.parametrize("following", [language_id._gram_pass, language_id._block_pass(None, True, ["a", "b", "c"]), exact_dedup._digest_pass(10), jaccard_join._class_pass])
+def test_encoders_go_when_other_operators_use_the_worker(following):
+    shared_encoder(public_tokenizers.path(packing.VOCABULARY)).encode(b"some words")
+    assert shared_encoder.cache_info().currsize
+    list(following(iter([])))
+    assert not shared_encoder.cache_info().currsize
+
+
+def test_digests_are_made_in_small_batches(spark, monkeypatch):
+    inner, most = exact_dedup._digest_pass, exact_dedup.TEXT_ROWS
+
+    def checked(counters):
+        def run(batches):
+            def small():
+                for batch in batches:
+                    assert batch.num_rows <= most
+                    yield batch
+
+            yield from inner(counters)(small())
+
+        return run
+
+    monkeypatch.setattr(exact_dedup, "_digest_pass", checked)
+    docs = spark.range(2500).selectExpr("id as doc_id", "concat('word ', id) as text").coalesce(1)
+    assert exact_dedup.keep_winners(docs).count() == 2500
