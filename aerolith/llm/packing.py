@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +54,8 @@ def _piece_pass(path: str, capacity: int, end: int):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), pc.cast(batch.column(1), pa.binary()).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.encode(text or b""), encoder.dtype).astype("<u4").tobytes() + tail
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                ids = np.frombuffer(found, encoder.dtype).astype("<u4").tobytes() + tail
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     for column, value in zip(out, (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), strict=True):
                         column.append(value)
