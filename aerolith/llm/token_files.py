@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,7 +54,7 @@ def _encode_pass(path: str, end: int):
         counts = np.zeros(max(encoder.size, end + 1), np.int64)
         tail = np.array([end], encoder.dtype).tobytes()
         for batch in batches:
-            ids = [encoder.encode(t or b"") + tail for t in pc.cast(batch.column(1), pa.binary()).to_pylist()]
+            ids = [x + tail for x in encoder.encode_all(batch.column(1))]
             for x in ids:
                 counts += np.bincount(np.frombuffer(x, encoder.dtype), minlength=len(counts)) if len(x) > 1 << 16 else 0
             short = [x for x in ids if len(x) <= 1 << 16]

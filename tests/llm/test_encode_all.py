@@ -43,3 +43,14 @@ def test_words_that_come_again_outlast_those_seen_once(monkeypatch):
     for k in range(0, 500, 10):
         encoder.encode_all(pa.array([" ".join(f"w{i}" for i in range(k, k + 10))]))
     assert b"again" in encoder.chunks and len(encoder.chunks) + len(encoder.chunks.young) + len(encoder.chunks.old) <= 60
+
+
+def test_token_files_encode_columns(monkeypatch):
+    from aerolith.llm import token_files
+
+    encoder = token_files.shared_encoder(public_tokenizers.path(token_files.VOCABULARY))
+    monkeypatch.setattr(encoder, "encode", None)
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(["so strange", None, "so"])], names=["doc_id", "text"])
+    *found, _ = token_files._encode_pass(public_tokenizers.path(token_files.VOCABULARY), token_files.END)(iter([batch]))
+    ids = [np.frombuffer(x, encoder.dtype).tolist() for x in found[0].column("ids").to_pylist()]
+    assert ids == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [token_files.END] for t in ("so strange", "", "so")]
