@@ -39,6 +39,10 @@ ORDERS = (4, 6)
 CONTEXTS = len(ORDERS) + 1
 TABLE_BITS = (22, 23, 23)
 CHUNK = 1 << 17
+#: Symbols whose bits are made at a time, bits of a block that advance at a time, and symbols that are counted at a time.
+PART = 1 << 15
+TILE = 1 << 17
+COUNTED = 1 << 19
 CARRY = 64
 PAD = 8
 MAX_DEPTH = 28
@@ -103,13 +107,17 @@ class Trees:
         overall /= overall.sum()
         for k, own in enumerate(np.concatenate(weights)):
             self._build(k, own + overall)
-        self.to_escape = _shared(self.length, self.code, self.escape_length[:, None], self.escape_code[:, None]).astype(np.int8)
+        to_escape = _shared(self.length, self.code, self.escape_length[:, None], self.escape_code[:, None])
+        #: All that bits take from a path in one number: the code, the length, the steps shared with the escape, and the escape's length if the symbol is rare.
+        self.packed = self.code.astype(np.int64) | self.length.astype(np.int64) << 32 | to_escape.astype(np.int64) << 40
+        self.packed |= np.where(self.rare, self.escape_length[:, None], MAX_DEPTH).astype(np.int64) << 48
+        self.row, self.two, self.three = self.row.astype(np.int32), self.two.astype(np.int32), self.three.astype(np.int32)
 
     def of(self, s: np.ndarray) -> np.ndarray:
         """The tree of each position but the first three."""
-        last = s[1:-2] * SYMBOLS + s[2:-1]
-        own = _taken(self.three, _taken(self.row, s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1])
-        return np.where(own >= 0, own, _taken(self.two, last))
+        pair = s[:-2] * SYMBOLS + s[1:-1]
+        own = _taken(self.three, _taken(self.row, pair[:-1]) * np.int64(SYMBOLS) + s[2:-1])
+        return np.where(own >= 0, own, _taken(self.two, pair[1:])).astype(np.int64)
 
     def _build(self, k: int, weight: np.ndarray) -> None:
         """The tree of the symbols that aren't rare, the end and an escape, and eight bits more for each rare symbol."""
@@ -164,8 +172,8 @@ def added_up(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     return keys, np.bincount(at, np.concatenate([n for _, n in counts]), len(keys)).astype(np.int64)
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks of (symbols, coded, text): with padding or carried context before each piece of a text, which isn't coded there."""
+def pieces(texts: list[bytes], least: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of (symbols, coded, text) that end where they have ``least`` symbols: with padding or carried context before each piece of a text, which isn't coded there."""
     parts: list[tuple[np.ndarray, int, int]] = []
     size = 0
 
@@ -186,7 +194,7 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             before = max(0, at - CARRY)
             parts.append((whole[before : at + CHUNK], at - before, i))
             size += len(parts[-1][0])
-            if size >= CHUNK:
+            if size >= least:
                 yield chunk()
                 parts, size = [], 0
     if parts:
@@ -235,6 +243,22 @@ def _contexts(s: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return slots, v
 
 
+def _ways(length: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The symbol, the depth, the node and the value of each bit of these paths."""
+    first = np.cumsum(length, dtype=np.int64) - length
+    symbol = np.repeat(np.arange(len(length)), length)
+    after = _taken((first + length - 1).astype(np.int32), symbol)
+    after -= np.arange(len(symbol), dtype=np.int32)  # bits of the path after this one
+    node = _taken(code | np.int32(1) << length, symbol)
+    node >>= after
+    bit = node.astype(np.int8)
+    bit &= 1
+    node >>= 1  # a 1 and the way to the node name it
+    depth = _taken((length - 1).astype(np.int8), symbol)
+    depth -= after.astype(np.int8)
+    return symbol, depth, node, bit
+
+
 class Bits:
     """The bits of the coded symbols of a chunk: the depth, the value, the node and the slot in each table."""
 
@@ -242,34 +266,22 @@ class Bits:
         self.at = np.flatnonzero(coded)
         self.tree = trees.of(s).take(self.at - 3)
         self.path = path = self.tree * SYMBOLS + s.take(self.at)
-        self.length = length = _taken(trees.length, path).astype(np.int32)
-        first = np.cumsum(length, dtype=np.int64) - length
-        self.symbol = np.repeat(np.arange(len(length)), length)  # of each bit
-        n = len(self.symbol)
-        self.depth = np.arange(n, dtype=np.int32)
-        self.depth -= self.each(first.astype(np.int32))
-        self.code = _taken(trees.code, path).astype(np.int32)
-        after = self.each(length - 1)
-        after -= self.depth  # bits of the path after this one
-        node = self.each(self.code | np.int32(1) << length)
-        node >>= after
-        self.bit = (node & 1).astype(np.uint8)
-        node >>= 1  # a 1 and the way to the node name it
-        self.node = node
+        packed = _taken(trees.packed, path)
+        self.code, self.length = packed.astype(np.int32), (packed >> 32).astype(np.int8).astype(np.int32)
+        self.to_escape, self.escape = (packed >> 40).astype(np.int8), (packed >> 48).astype(np.int8)
+        self.symbol, self.depth, self.node, self.bit = _ways(self.length, self.code)
         self.slots = []
         contexts, self.past = _contexts(s)  # the latter of the last MATCH symbols
         for h, bits in zip(contexts, TABLE_BITS, strict=True):
             slot = self.each(h.take(self.at))
-            slot += node
+            slot += self.node
             slot &= np.int32((1 << bits) - 1)
             self.slots.append(slot)
 
-    def after_escapes(self, trees: Trees) -> tuple[np.ndarray, np.ndarray]:
+    def after_escapes(self) -> tuple[np.ndarray, np.ndarray]:
         """The bits after an escape, and a number for the way from the escape to each."""
-        rare = _taken(trees.rare, self.path)
-        escape = np.where(rare, trees.escape_length.take(self.tree), MAX_DEPTH).astype(np.int32)
-        after = np.flatnonzero(self.depth >= self.each(escape))
-        top = np.int32(1) << (self.depth.take(after) - escape.take(self.symbol.take(after)))
+        after = np.flatnonzero(self.depth >= self.each(self.escape))
+        top = np.int32(1) << (self.depth.take(after) - self.escape.take(self.symbol.take(after))).astype(np.int32)
         return after, self.node.take(after) & (top - 1) | top
 
     def each(self, of_symbol: np.ndarray) -> np.ndarray:
@@ -278,11 +290,13 @@ class Bits:
 
     def along(self, shared: np.ndarray) -> np.ndarray:
         """By how many steps the path of each symbol shares with another one (-1 without one): 1 or -1 where that one goes to 1 or 0 from the node of a bit, 0 where it doesn't pass that node."""
-        way = self.each(shared)
+        way = self.each(shared.astype(np.int8))
         way -= self.depth
-        np.clip(way, -1, 1, out=way)
-        way += 1
-        return _taken(_WAY, way.astype(np.int64) + 3 * self.bit)
+        out = (way > 0).view(np.int8)
+        out += out
+        out -= (way >= 0).view(np.int8)
+        out *= self.bit + self.bit - np.int8(1)
+        return out
 
 
 def _shared(length: np.ndarray, code: np.ndarray, other_length: np.ndarray, other_code: np.ndarray) -> np.ndarray:
@@ -291,10 +305,6 @@ def _shared(length: np.ndarray, code: np.ndarray, other_length: np.ndarray, othe
     return (MAX_DEPTH - np.frexp(apart.astype(np.float64))[1]).astype(np.int32)
 
 
-#: By whether the paths have parted before a bit, part there, or go on together, and by the bit.
-_WAY = np.array([0, 1, -1, 0, -1, 1], np.float32)
-
-
 def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """values[at] for valid places, flat; this mode is the fast one."""
     return values.reshape(-1).take(at, mode="clip")
@@ -332,12 +342,37 @@ def _matches(s: np.ndarray, at: np.ndarray, owner: np.ndarray, past: np.ndarray)
 
 def slot_counts(texts: list[bytes], trees: Trees, counts: list[np.ndarray]) -> None:
     """Add the bits of texts to counts[context][2 * slot + bit]."""
-    for s, coded, _ in pieces(texts):
-        bits = Bits(s, coded, trees)
-        for table, slot in zip(counts, bits.slots, strict=True):
-            slot += slot
-            slot += bits.bit
-            np.add.at(table, slot, table.dtype.type(1))
+    waiting: list[list[np.ndarray]] = [[] for _ in counts]
+    size = 0
+    for s, coded, _ in pieces(texts, min(PART, CHUNK)):
+        at = np.flatnonzero(coded)
+        path = trees.of(s).take(at - 3) * SYMBOLS + s.take(at)
+        for found, slot in zip(waiting, _contexts(s)[0], strict=True):
+            found.append(slot.take(at) * np.int64(trees.length.size) + path)
+        size += len(at)
+        if size >= COUNTED:
+            _count(waiting, trees, counts)
+            waiting, size = [[] for _ in counts], 0
+    if size:
+        _count(waiting, trees, counts)
+
+
+def _count(found: list[list[np.ndarray]], trees: Trees, counts: list[np.ndarray]) -> None:
+    """Add the bits of symbols, each given as (slot of its context, path): those that are alike go along the path once."""
+    for table, bits, parts in zip(counts, TABLE_BITS, found, strict=True):
+        key = np.concatenate(parts)
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        times = np.diff(first, append=len(key)).astype(table.dtype)
+        start, path = np.divmod(key.take(first), trees.length.size)
+        packed = _taken(trees.packed, path)
+        symbol, _, node, bit = _ways((packed >> 32).astype(np.int8).astype(np.int32), packed.astype(np.int32))
+        slot = _taken(start, symbol)
+        slot += node
+        slot &= (1 << bits) - 1
+        slot += slot
+        slot += bit
+        np.add.at(table, slot, _taken(times, symbol))
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -361,6 +396,19 @@ def _branch_odds(bits: Bits, after: np.ndarray, branch: np.ndarray, owner: np.nd
     return out
 
 
+def _spread(at: np.ndarray) -> np.ndarray:
+    """Four places for each one, taken in turn: sums at the same place needn't wait for each other."""
+    out = at << 2
+    for k in (1, 2, 3):
+        out[k::4] += k
+    return out
+
+
+def _sums(spread: np.ndarray, values: np.ndarray | None, n: int) -> np.ndarray:
+    """The sums (or counts) at n places, from their spread ones."""
+    return np.bincount(spread, values, 4 * n).reshape(n, 4).sum(1)
+
+
 class _State:
     """Weights and maps of the texts of a chunk, a row for each."""
 
@@ -384,24 +432,41 @@ class Mixer:
         """The natural-log probability of each text."""
         total = np.zeros(len(texts))
         state, holder = None, -1
-        for s, coded, owner in pieces(texts):
-            first, last = int(owner[0]), int(owner[-1])
-            before, state = state, _State(last - first + 1)
+        for first, length, columns, way in self._groups(texts):
+            before, state = state, _State(len(length))
             if holder == first:  # the text goes on from the chunk before
                 state.go_on(before)
-            holder = last
-            total[first : last + 1] += self._advance(Bits(s, coded, self.trees), s, owner - first, state)
+            holder = first + len(length) - 1
+            total[first : holder + 1] += self._advance(columns, way, length, state)
         return total
 
-    def _inputs(self, bits: Bits, s: np.ndarray, owner: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """The log-odds that the mixer adds up, and the gates."""
-        x, known = [], np.zeros(len(bits.bit), np.int16)
-        for table, slot in zip(self.tables, bits.slots, strict=True):
-            odds = table.take(slot, mode="clip")
+    def _groups(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts that advance together, of some CHUNK symbols: the first one's number, the bits of each, and what ``_inputs`` gives. A group has one piece of a text at most."""
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = first = 0
+        for s, coded, owner in pieces(texts, min(PART, CHUNK)):
+            if not parts:
+                first = int(owner[0])
+            owner = owner - owner[0]
+            bits = Bits(s, coded, self.trees)
+            length = np.bincount(owner.take(bits.at), bits.length, int(owner[-1]) + 1).astype(np.int64)
+            parts.append((length, *self._inputs(bits, s, owner)))
+            size += len(s)
+            if size >= CHUNK:
+                yield first, *(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
+                parts, size = [], 0
+        if parts:
+            yield first, *(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
+
+    def _inputs(self, bits: Bits, s: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each bit the scaled log-odds of the contexts, the gate and the value; and the log-odds of the last input."""
+        columns = np.empty((CONTEXTS + 2, len(bits.bit)), np.int8)
+        known = np.zeros(len(bits.bit), np.int8)
+        for odds, table, slot in zip(columns, self.tables, bits.slots, strict=False):
+            table.take(slot, mode="clip", out=odds)
             seen = odds != UNSEEN
             known += seen
             odds *= seen
-            x.append(odds * np.float32(1 / SCALE))
         guess, held = _matches(s, bits.at, owner, bits.past)
         shared = np.where(guess == s.take(bits.at), bits.length, np.int32(-1))
         wrong = np.flatnonzero((guess >= 0) & (shared < 0))
@@ -409,61 +474,69 @@ class Mixer:
         shared[wrong] = _shared(bits.length.take(wrong), bits.code.take(wrong), _taken(self.trees.length, at), _taken(self.trees.code, at))
         way = bits.along(shared)
         level = np.minimum(np.frexp(held.astype(np.float32))[1], len(TRUST) - 1)  # held 0, 1, 2-3, 4-7, ...
-        gate = bits.each(_MATCH_GATE.take(level + 1).astype(np.int16))
+        gate = bits.each(_MATCH_GATE.take(level + 1).astype(np.int8))
         matched = way != 0
         gate *= matched
-        gate += known * np.int16(4)
-        way *= bits.each(TRUST.take(level))
-        escape = bits.along(_taken(self.trees.to_escape, bits.path).astype(np.int32))
-        escape *= np.float32(ESCAPING)
+        gate += known * np.int8(4)
+        escape = bits.along(bits.to_escape)
         escape *= ~matched
-        way += escape
-        after, branch = bits.after_escapes(self.trees)
+        way = way * bits.each(TRUST.take(level))
+        way += escape * np.float32(ESCAPING)
+        after, branch = bits.after_escapes()
         alone = ~matched.take(after)
         way[after] = np.where(alone, _branch_odds(bits, after, branch, owner), way.take(after))
         gate[after[alone]] = GATES - 1
-        return [*x, way], gate
+        columns[CONTEXTS], columns[CONTEXTS + 1] = gate, bits.bit
+        return columns, way
 
-    def _advance(self, bits: Bits, s: np.ndarray, owner: np.ndarray, state: _State) -> np.ndarray:
-        """Run the blocks of all texts side by side; the natural-log probability of each text here."""
-        lanes = int(owner[-1]) + 1
-        inputs, gates = self._inputs(bits, s, owner)
-        length = np.bincount(owner.take(bits.at), bits.length, lanes).astype(np.int64)
+    def _advance(self, columns: np.ndarray, way: np.ndarray, length: np.ndarray, state: _State) -> np.ndarray:
+        """Run the blocks of all texts side by side, some TILE bits at a time; the natural-log probability of each text here."""
         start = np.cumsum(length) - length
-        total = np.zeros(lanes)
-        edge, t, scale = 0, 0, np.float32((BUCKETS - 1) / (2 * LIMIT))
-        low, high, half = np.float32(-LIMIT), np.float32(LIMIT), np.float32(0.5)
+        total = np.zeros(len(length))
+        edge, t = 0, 0
         while (live := np.flatnonzero(length > edge)).size:
             t += 1
             until = BLOCKS[t] if t < len(BLOCKS) else edge + BLOCKS[-1]
-            n = np.minimum(length[live], until) - edge
-            lane = np.repeat(np.arange(len(live)), n)
-            idx = np.arange(len(lane)) + np.repeat(start[live] + edge - (np.cumsum(n) - n), n)
-            x, y = [_taken(column, idx) for column in inputs], _taken(bits.bit, idx)
-            weights, seen, ones = (a[..., live, :].reshape(*a.shape[:-2], -1) for a in (state.weights, state.seen, state.ones))
-            row = lane * GATES + _taken(gates, idx)
-            dot = _taken(weights[0], row) * x[0]
-            for w, column in zip(weights[1:], x[1:], strict=True):
-                dot += _taken(w, row) * column
-            np.clip(dot, low, high, out=dot)
-            p = 1 / (1 + np.exp(-dot))
-            dot += high
-            dot *= scale
-            dot += half
-            cell = lane * BUCKETS + dot.astype(np.int32)
-            final = p + _taken((ones / seen).astype(np.float32), cell)
-            final *= half
-            chance = np.abs(final - (1 - y).astype(np.float32))  # of the bit that came
-            total[live] += np.add.reduceat(np.log(chance), np.cumsum(n) - n)
-            # what this block teaches
-            error = y - p
-            rate = RATE / (1 + np.bincount(row, minlength=weights.shape[1]) / 24)
-            for w, column in zip(weights, x, strict=True):
-                column *= error
-                w += rate * np.bincount(row, column, len(w))
-            seen += np.bincount(cell, minlength=len(seen))
-            ones += np.bincount(cell, y, len(ones))
-            for a, new in zip((state.weights, state.seen, state.ones), (weights, seen, ones), strict=True):
-                a[..., live, :] = new.reshape(*a.shape[:-2], len(live), -1)
+            step = max(1, TILE // (until - edge))
+            for k in range(0, len(live), step):
+                some = live[k : k + step]
+                n = np.minimum(length[some], until) - edge
+                spans = [slice(lo, hi) for lo, hi in zip((start[some] + edge).tolist(), (start[some] + edge + n).tolist(), strict=True)]
+                total[some] += self._block(np.concatenate([columns[:, a] for a in spans], axis=1), np.concatenate([way[a] for a in spans]), n, some, state)
             edge = until
         return total
+
+    def _block(self, columns: np.ndarray, way: np.ndarray, n: np.ndarray, some: np.ndarray, state: _State) -> np.ndarray:
+        """The natural-log probability of a block of n bits of each of some texts; their weights and maps follow."""
+        scale = np.float32((BUCKETS - 1) / (2 * LIMIT))
+        low, high, half = np.float32(-LIMIT), np.float32(LIMIT), np.float32(0.5)
+        lane = np.repeat(np.arange(len(some)), n)
+        x = [*(columns[:CONTEXTS] * np.float32(1 / SCALE)), way]
+        y = columns[CONTEXTS + 1]
+        weights, seen, ones = (a[..., some, :].reshape(*a.shape[:-2], -1) for a in (state.weights, state.seen, state.ones))
+        row = lane * GATES + columns[CONTEXTS]
+        dot = _taken(weights[0], row) * x[0]
+        for w, column in zip(weights[1:], x[1:], strict=True):
+            dot += _taken(w, row) * column
+        np.clip(dot, low, high, out=dot)
+        p = 1 / (1 + np.exp(-dot))
+        dot += high
+        dot *= scale
+        dot += half
+        cell = lane * BUCKETS + dot.astype(np.int32)
+        final = p + _taken((ones / seen).astype(np.float32), cell)
+        final *= half
+        chance = np.abs(final - (1 - y).astype(np.float32))  # of the bit that came
+        found = np.add.reduceat(np.log(chance), np.cumsum(n) - n)
+        # what this block teaches
+        error = y - p
+        row, cell = _spread(row), _spread(cell)
+        rate = RATE / (1 + _sums(row, None, weights.shape[1]) / 24)
+        for w, column in zip(weights, x, strict=True):
+            column *= error
+            w += rate * _sums(row, column, len(w))
+        seen += _sums(cell, None, len(seen))
+        ones += _sums(cell, y, len(ones))
+        for a, new in zip((state.weights, state.seen, state.ones), (weights, seen, ones), strict=True):
+            a[..., some, :] = new.reshape(*a.shape[:-2], len(some), -1)
+        return found
