@@ -59,19 +59,24 @@ def text_hash(text: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = len(self)
-        return out
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of these texts as numbers, how many each text has, and the distinct words, numbered as they come."""
+    lower = pa.array([t.lower() for t in texts], pa.large_binary()).view(pa.large_string())
+    split = pc.ascii_split_whitespace(lower)
+    edges, words = split.offsets.to_numpy(), split.flatten()
+    filled = pc.greater(pc.binary_length(words), 0)  # borders of a text give empty ones
+    lengths = np.diff(np.cumsum(np.concatenate([[0], filled.to_numpy(zero_copy_only=False)]))[edges])
+    numbers = words.filter(filled).dictionary_encode()
+    _, places, joined = numbers.dictionary.buffers()
+    places, joined = np.frombuffer(places, np.int64)[: len(numbers.dictionary) + 1].tolist(), joined.to_pybytes() if joined else b""
+    return numbers.indices.to_numpy().astype(np.uint32), lengths, [joined[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
 
 
 def _token_rows(g: int, docs: list[tuple], parts: int) -> list[dict]:
-    numbers = _Numbers()
-    tokens = [np.fromiter(map(numbers.__getitem__, text.lower().split()), np.uint32) for _, _, text in docs]
-    flat = np.concatenate(tokens)
-    trained = np.concatenate([t for t, d in zip(tokens, docs, strict=True) if not d[1]] or [flat[:0]])
-    counts = np.bincount(trained, minlength=len(numbers)).astype(np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+    flat, lengths, words = _numbered([text for _, _, text in docs])
+    trained = flat[np.repeat([not d[1] for d in docs], lengths)]
+    counts = np.bincount(trained, minlength=len(words)).astype(np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     part = (hashes % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -81,7 +86,7 @@ def _token_rows(g: int, docs: list[tuple], parts: int) -> list[dict]:
             "doc_ids": [d[0] for d in docs],
             "held": [d[1] for d in docs],
             "text_hash": [text_hash(d[2]) for d in docs],
-            "lengths": [len(t) for t in tokens],
+            "lengths": lengths.tolist(),
             "tokens": zstandard.compress(flat.tobytes(), 1),
         }
     ]

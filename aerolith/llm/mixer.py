@@ -39,9 +39,10 @@ ORDERS = (4, 6)
 CONTEXTS = len(ORDERS) + 1
 TABLE_BITS = (22, 23, 23)
 CHUNK = 1 << 17
-#: Symbols whose bits are made at a time, bits of a block that advance at a time, and symbols that are counted at a time.
-PART = 1 << 15
-TILE = 1 << 17
+#: Symbols whose bits are made at a time, bits of texts that advance together and of a block that advances at a time, and symbols that are counted at a time.
+PART = 1 << 17
+GROUP = 1 << 21
+TILE = 1 << 16
 COUNTED = 1 << 19
 CARRY = 64
 PAD = 8
@@ -54,6 +55,8 @@ RARE = 2.0**-11
 MATCH = max(ORDERS)
 #: Log-odds of a match that has held for so many symbols (a power of 2).
 TRUST = np.array([0.7, 1.5, 2, 2.5, 3, 3.5, 4, 4.5, 5, 6, 7, 8], np.float32)
+#: The place in it for a match that has held for 0, 1, 2-3, 4-7, ... symbols.
+_LEVEL = np.array([n.bit_length() for n in range((1 << len(TRUST) - 1) + 1)]).clip(max=len(TRUST) - 1).astype(np.int8)
 _MATCH_GATE = np.array([0, 1, 1, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3])
 ESCAPING = 2.0
 INPUTS = CONTEXTS + 1
@@ -111,6 +114,7 @@ class Trees:
         #: All that bits take from a path in one number: the code, the length, the steps shared with the escape, and the escape's length if the symbol is rare.
         self.packed = self.code.astype(np.int64) | self.length.astype(np.int64) << 32 | to_escape.astype(np.int64) << 40
         self.packed |= np.where(self.rare, self.escape_length[:, None], MAX_DEPTH).astype(np.int64) << 48
+        self.path_bits = (self.length.size - 1).bit_length()
         self.row, self.two, self.three = self.row.astype(np.int32), self.two.astype(np.int32), self.three.astype(np.int32)
 
     def of(self, s: np.ndarray) -> np.ndarray:
@@ -235,7 +239,7 @@ def _contexts(s: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     sums = np.zeros(len(u) + 1, np.uint64)
     np.cumsum(following * power, out=sums[1:])
     start = np.zeros(len(u) + 1, np.int64)
-    np.maximum.accumulate(np.where(_SPACE[s], np.arange(1, len(s) + 1), 0), out=start[1:])
+    np.maximum.accumulate(np.where(_taken(_SPACE, s), np.arange(1, len(s) + 1), 0), out=start[1:])
     start = start[:-1]  # of the word that position i goes on
     word = (sums[:-1] - sums.take(start)) * inverse.take(start)
     word[1:] += u[:-1]
@@ -243,24 +247,24 @@ def _contexts(s: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return slots, v
 
 
-def _ways(length: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The symbol, the depth, the node and the value of each bit of these paths."""
+def _ways(length: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first bit of each of these paths; and of each bit the symbol, how many bits of the path come after it, the node and the value."""
     first = np.cumsum(length, dtype=np.int64) - length
-    symbol = np.repeat(np.arange(len(length)), length)
+    begins = np.zeros(int(length.sum()), np.int8)
+    begins[first[1:]] = 1  # no path is empty
+    symbol = np.cumsum(begins, dtype=np.int64)
     after = _taken((first + length - 1).astype(np.int32), symbol)
-    after -= np.arange(len(symbol), dtype=np.int32)  # bits of the path after this one
+    after -= np.arange(len(symbol), dtype=np.int32)
     node = _taken(code | np.int32(1) << length, symbol)
     node >>= after
     bit = node.astype(np.int8)
     bit &= 1
     node >>= 1  # a 1 and the way to the node name it
-    depth = _taken((length - 1).astype(np.int8), symbol)
-    depth -= after.astype(np.int8)
-    return symbol, depth, node, bit
+    return first, symbol, after, node, bit
 
 
 class Bits:
-    """The bits of the coded symbols of a chunk: the depth, the value, the node and the slot in each table."""
+    """The bits of the coded symbols of a chunk: how many come after each on its path, the value, the node and the slot in each table."""
 
     def __init__(self, s: np.ndarray, coded: np.ndarray, trees: Trees):
         self.at = np.flatnonzero(coded)
@@ -269,7 +273,8 @@ class Bits:
         packed = _taken(trees.packed, path)
         self.code, self.length = packed.astype(np.int32), (packed >> 32).astype(np.int8).astype(np.int32)
         self.to_escape, self.escape = (packed >> 40).astype(np.int8), (packed >> 48).astype(np.int8)
-        self.symbol, self.depth, self.node, self.bit = _ways(self.length, self.code)
+        self.first, self.symbol, after, self.node, self.bit = _ways(self.length, self.code)
+        self.after = after.astype(np.int8)
         self.slots = []
         contexts, self.past = _contexts(s)  # the latter of the last MATCH symbols
         for h, bits in zip(contexts, TABLE_BITS, strict=True):
@@ -280,8 +285,9 @@ class Bits:
 
     def after_escapes(self) -> tuple[np.ndarray, np.ndarray]:
         """The bits after an escape, and a number for the way from the escape to each."""
-        after = np.flatnonzero(self.depth >= self.each(self.escape))
-        top = np.int32(1) << (self.depth.take(after) - self.escape.take(self.symbol.take(after))).astype(np.int32)
+        rare = np.flatnonzero(self.escape < MAX_DEPTH)
+        after = ((self.first.take(rare) + self.escape.take(rare))[:, None] + np.arange(8)).reshape(-1)
+        top = np.tile(np.int32(1) << np.arange(8, dtype=np.int32), len(rare))
         return after, self.node.take(after) & (top - 1) | top
 
     def each(self, of_symbol: np.ndarray) -> np.ndarray:
@@ -290,8 +296,8 @@ class Bits:
 
     def along(self, shared: np.ndarray) -> np.ndarray:
         """By how many steps the path of each symbol shares with another one (-1 without one): 1 or -1 where that one goes to 1 or 0 from the node of a bit, 0 where it doesn't pass that node."""
-        way = self.each(shared.astype(np.int8))
-        way -= self.depth
+        way = self.each((shared - (self.length - 1)).astype(np.int8))
+        way += self.after  # the steps that are shared, less the depth of the bit
         out = (way > 0).view(np.int8)
         out += out
         out -= (way >= 0).view(np.int8)
@@ -348,7 +354,10 @@ def slot_counts(texts: list[bytes], trees: Trees, counts: list[np.ndarray]) -> N
         at = np.flatnonzero(coded)
         path = trees.of(s).take(at - 3) * SYMBOLS + s.take(at)
         for found, slot in zip(waiting, _contexts(s)[0], strict=True):
-            found.append(slot.take(at) * np.int64(trees.length.size) + path)
+            key = slot.take(at).astype(np.int64)
+            key <<= trees.path_bits
+            key |= path
+            found.append(key)
         size += len(at)
         if size >= COUNTED:
             _count(waiting, trees, counts)
@@ -362,11 +371,14 @@ def _count(found: list[list[np.ndarray]], trees: Trees, counts: list[np.ndarray]
     for table, bits, parts in zip(counts, TABLE_BITS, found, strict=True):
         key = np.concatenate(parts)
         key.sort()
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        fresh = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=fresh[1:])
+        first = np.flatnonzero(fresh)
         times = np.diff(first, append=len(key)).astype(table.dtype)
-        start, path = np.divmod(key.take(first), trees.length.size)
+        key = key.take(first)
+        start, path = (key >> trees.path_bits).astype(np.int32), key & ((1 << trees.path_bits) - 1)
         packed = _taken(trees.packed, path)
-        symbol, _, node, bit = _ways((packed >> 32).astype(np.int8).astype(np.int32), packed.astype(np.int32))
+        _, symbol, _, node, bit = _ways((packed >> 32).astype(np.int8).astype(np.int32), packed.astype(np.int32))
         slot = _taken(start, symbol)
         slot += node
         slot &= (1 << bits) - 1
@@ -396,17 +408,19 @@ def _branch_odds(bits: Bits, after: np.ndarray, branch: np.ndarray, owner: np.nd
     return out
 
 
-def _spread(at: np.ndarray) -> np.ndarray:
-    """Four places for each one, taken in turn: sums at the same place needn't wait for each other."""
-    out = at << 2
+def _spread(at: np.ndarray, n: int) -> np.ndarray:
+    """Four places for each one of n, taken in turn: sums at the same place needn't wait for each other."""
     for k in (1, 2, 3):
-        out[k::4] += k
-    return out
+        at[k::4] += k * n
+    return at
 
 
 def _sums(spread: np.ndarray, values: np.ndarray | None, n: int) -> np.ndarray:
     """The sums (or counts) at n places, from their spread ones."""
-    return np.bincount(spread, values, 4 * n).reshape(n, 4).sum(1)
+    return np.bincount(spread, values, 4 * n).reshape(4, n).sum(0)
+
+
+_PAIR = np.array([1.0, 1.0 + (1 << 26)])  # exact up to 2^26 bits of a block
 
 
 class _State:
@@ -429,34 +443,42 @@ class Mixer:
         self.trees, self.tables = trees, tables
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """The natural-log probability of each text."""
+        """The natural-log probability of each text; texts that are alike are scored once."""
+        places: dict[bytes, int] = {}
+        at = [places.setdefault(text.lower(), len(places)) for text in texts]
+        return self._score(list(places)).take(at)
+
+    def _score(self, texts: list[bytes]) -> np.ndarray:
         total = np.zeros(len(texts))
         state, holder = None, -1
-        for first, length, columns, way in self._groups(texts):
+        for first, parts in self._groups(texts):
+            length = np.concatenate([p[0] for p in parts])
             before, state = state, _State(len(length))
             if holder == first:  # the text goes on from the chunk before
                 state.go_on(before)
             holder = first + len(length) - 1
-            total[first : holder + 1] += self._advance(columns, way, length, state)
+            total[first : holder + 1] += self._advance(parts, length, state)
         return total
 
-    def _groups(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Texts that advance together, of some CHUNK symbols: the first one's number, the bits of each, and what ``_inputs`` gives. A group has one piece of a text at most."""
+    def _groups(self, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+        """Texts that advance together, of some GROUP bits: the first one's number, and in parts the bits of each and what ``_inputs`` gives. A group has one piece of a text at most."""
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = first = 0
+        size = first = last = 0
         for s, coded, owner in pieces(texts, min(PART, CHUNK)):
+            if parts and (size >= GROUP or int(owner[0]) == last):
+                yield first, parts
+                parts, size = [], 0
             if not parts:
                 first = int(owner[0])
+            last = int(owner[-1])
             owner = owner - owner[0]
             bits = Bits(s, coded, self.trees)
-            length = np.bincount(owner.take(bits.at), bits.length, int(owner[-1]) + 1).astype(np.int64)
+            ends = np.cumsum(np.bincount(owner.take(bits.at)))  # of the symbols of each text
+            length = np.diff(np.append(bits.first, len(bits.bit)).take(ends), prepend=0)
             parts.append((length, *self._inputs(bits, s, owner)))
-            size += len(s)
-            if size >= CHUNK:
-                yield first, *(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
-                parts, size = [], 0
+            size += len(bits.bit)
         if parts:
-            yield first, *(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
+            yield first, parts
 
     def _inputs(self, bits: Bits, s: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each bit the scaled log-odds of the contexts, the gate and the value; and the log-odds of the last input."""
@@ -473,7 +495,7 @@ class Mixer:
         at = bits.tree.take(wrong) * SYMBOLS + guess.take(wrong)
         shared[wrong] = _shared(bits.length.take(wrong), bits.code.take(wrong), _taken(self.trees.length, at), _taken(self.trees.code, at))
         way = bits.along(shared)
-        level = np.minimum(np.frexp(held.astype(np.float32))[1], len(TRUST) - 1)  # held 0, 1, 2-3, 4-7, ...
+        level = _LEVEL.take(held, mode="clip")
         gate = bits.each(_MATCH_GATE.take(level + 1).astype(np.int8))
         matched = way != 0
         gate *= matched
@@ -489,9 +511,10 @@ class Mixer:
         columns[CONTEXTS], columns[CONTEXTS + 1] = gate, bits.bit
         return columns, way
 
-    def _advance(self, columns: np.ndarray, way: np.ndarray, length: np.ndarray, state: _State) -> np.ndarray:
+    def _advance(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: np.ndarray, state: _State) -> np.ndarray:
         """Run the blocks of all texts side by side, some TILE bits at a time; the natural-log probability of each text here."""
-        start = np.cumsum(length) - length
+        start = np.concatenate([np.cumsum(p[0]) - p[0] for p in parts])
+        columns, way = ([p[k] for p in parts for _ in p[0]] for k in (1, 2))
         total = np.zeros(len(length))
         edge, t = 0, 0
         while (live := np.flatnonzero(length > edge)).size:
@@ -501,8 +524,8 @@ class Mixer:
             for k in range(0, len(live), step):
                 some = live[k : k + step]
                 n = np.minimum(length[some], until) - edge
-                spans = [slice(lo, hi) for lo, hi in zip((start[some] + edge).tolist(), (start[some] + edge + n).tolist(), strict=True)]
-                total[some] += self._block(np.concatenate([columns[:, a] for a in spans], axis=1), np.concatenate([way[a] for a in spans]), n, some, state)
+                spans = list(zip(some.tolist(), (start[some] + edge).tolist(), (start[some] + edge + n).tolist(), strict=True))
+                total[some] += self._block(np.concatenate([columns[k][:, lo:hi] for k, lo, hi in spans], axis=1), np.concatenate([way[k][lo:hi] for k, lo, hi in spans]), n, some, state)
             edge = until
         return total
 
@@ -510,11 +533,12 @@ class Mixer:
         """The natural-log probability of a block of n bits of each of some texts; their weights and maps follow."""
         scale = np.float32((BUCKETS - 1) / (2 * LIMIT))
         low, high, half = np.float32(-LIMIT), np.float32(LIMIT), np.float32(0.5)
-        lane = np.repeat(np.arange(len(some)), n)
+        lane = np.arange(len(some))
         x = [*(columns[:CONTEXTS] * np.float32(1 / SCALE)), way]
         y = columns[CONTEXTS + 1]
         weights, seen, ones = (a[..., some, :].reshape(*a.shape[:-2], -1) for a in (state.weights, state.seen, state.ones))
-        row = lane * GATES + columns[CONTEXTS]
+        row = np.repeat(lane * GATES, n)
+        row += columns[CONTEXTS]
         dot = _taken(weights[0], row) * x[0]
         for w, column in zip(weights[1:], x[1:], strict=True):
             dot += _taken(w, row) * column
@@ -523,20 +547,23 @@ class Mixer:
         dot += high
         dot *= scale
         dot += half
-        cell = lane * BUCKETS + dot.astype(np.int32)
+        cell = np.repeat(lane * BUCKETS, n)
+        cell += dot.astype(np.int32)
         final = p + _taken((ones / seen).astype(np.float32), cell)
         final *= half
         chance = np.abs(final - (1 - y).astype(np.float32))  # of the bit that came
         found = np.add.reduceat(np.log(chance), np.cumsum(n) - n)
         # what this block teaches
         error = y - p
-        row, cell = _spread(row), _spread(cell)
+        row, cell = _spread(row, weights.shape[1]), _spread(cell, len(seen))
         rate = RATE / (1 + _sums(row, None, weights.shape[1]) / 24)
         for w, column in zip(weights, x, strict=True):
             column *= error
             w += rate * _sums(row, column, len(w))
-        seen += _sums(cell, None, len(seen))
-        ones += _sums(cell, y, len(ones))
+        # one sum counts the bits and, in its upper half, the ones
+        both = _sums(cell, _PAIR.take(y), len(seen)).astype(np.int64)
+        seen += both & ((1 << 26) - 1)
+        ones += both >> 26
         for a, new in zip((state.weights, state.seen, state.ones), (weights, seen, ones), strict=True):
             a[..., some, :] = new.reshape(*a.shape[:-2], len(some), -1)
         return found
