@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from aerolith.functions import rules
 
 HORIZONTAL_TARGET, VERTICAL_TARGET = 0.5, 0.75
+CORNERS = ("x0", "y0", "x1", "y1")
 
 
 def smoothed_motion(rows: DataFrame, key: str, order: list[str], value: str, limit: float) -> DataFrame:
@@ -19,21 +20,38 @@ def smoothed_motion(rows: DataFrame, key: str, order: list[str], value: str, lim
     return rows.withColumn("moving", F.avg(value).over(w) >= limit)
 
 
-def overlapping(boxes: DataFrame, by: str, key: str, least: float, size: int = 32) -> DataFrame:
-    """a < b and iou of the boxes (arrays x0, y0, x1, y1) of a frame that overlap by ``least`` (more than 0).
+def shapes(boxes: DataFrame, by: str, key: str) -> DataFrame:
+    """by, x0, y0, x1, y1 and the keys of all boxes of a frame that lie there; boxes without an area overlap nothing and go.
 
-    Boxes meet in the cells of a grid of this size that both touch; the cell with the corner of their overlap counts.
+    Boxes at one place are all pairs of the result among themselves, so that a list of keys is as long as the root of the result at most.
     """
-    def cells(lo: int, hi: int) -> Column:
-        return F.sequence(F.floor(F.col("box")[lo] / size), F.floor(F.col("box")[hi] / size))
-
-    dealt = boxes.select(by, key, "box", F.explode(cells(0, 2)).alias("cx")).select("*", F.explode(cells(1, 3)).alias("cy"))
-    a = dealt.select(by, "cx", "cy", F.col(key).alias("a"), F.col("box").alias("p"))
-    b = dealt.select(by, "cx", "cy", F.col(key).alias("b"), F.col("box").alias("q"))
-    value = rules.iou([F.col("p")[i] for i in range(4)], [F.col("q")[i] for i in range(4)])
-    corner = [F.floor(F.greatest(F.col("p")[i], F.col("q")[i]) / size) for i in range(2)]
-    met = a.join(b, [by, "cx", "cy"]).filter((F.col("a") < F.col("b")) & (F.col("cx") == corner[0]) & (F.col("cy") == corner[1]))
-    return met.select(by, "a", "b", value.alias("iou")).filter(F.col("iou") >= least)
+    corners = [F.col("box")[k].alias(c) for k, c in enumerate(CORNERS)]
+    return boxes.select(by, F.col(key).alias("key"), *corners).filter("x1 > x0 and y1 > y0 and key is not null").groupBy(by, *CORNERS).agg(F.collect_list("key").alias("keys"))
+
+
+def overlapping(boxes: DataFrame, by: str, key: str, least: float, size: int = 32, digits: int | None = None) -> DataFrame:
+    """a < b and iou (rounded to ``digits``, if given) of the boxes (arrays x0, y0, x1, y1) of a frame that overlap by ``least`` (more than 0).
+
+    Boxes at one place are compared once. They meet in the cells of a grid of this size that both touch; the cell with the corner of
+    their overlap counts.
+    """
+    def cells(lo: str, hi: str) -> Column:
+        return F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+
+    dealt = shapes(boxes, by, key).select("*", F.explode(cells("x0", "x1")).alias("cx")).select("*", F.explode(cells("y0", "y1")).alias("cy"))
+    p, q = ([F.col(f"{side}{c}") for c in CORNERS] for side in "pq")
+    sides = [dealt.select(by, "cx", "cy", *[F.col(c).alias(f"{side}{c}") for c in (*CORNERS, "keys")]) for side in "pq"]
+    corner = [F.floor(F.greatest(p[i], q[i]) / size) for i in range(2)]
+    same = ordered = F.lit(True)
+    for a, b in zip(reversed(p), reversed(q), strict=True):
+        same, ordered = (a == b) & same, (a < b) | ((a == b) & ordered)
+    value = rules.iou(p, q)
+    met = sides[0].join(sides[1], [by, "cx", "cy"]).filter(ordered & (value >= least) & (F.col("cx") == corner[0]) & (F.col("cy") == corner[1]))
+    rounded = value if digits is None else F.bround(value, digits)
+    pairs = met.select(by, rounded.alias("iou"), same.alias("same"), "qkeys", F.explode("pkeys").alias("a")).select(by, "iou", "same", "a", F.explode("qkeys").alias("b"))
+    a, b, up = F.col("a"), F.col("b"), F.col("up")
+    pairs = pairs.withColumn("up", a < b).filter(up | (~F.col("same") & (b < a)))
+    return pairs.select(by, F.when(up, a).otherwise(b).alias("a"), F.when(up, b).otherwise(a).alias("b"), "iou")
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:

@@ -276,7 +276,7 @@ def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
     o = _observations(spark, d).withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("x", "y", "z", "conf_pct")))
     boxes = o.select(F.struct(*KEY, "copy").alias("id"), "frame", F.array(F.col("l_partkey") % 50, F.col("l_suppkey") % 50, F.col("l_partkey") % 50 + 5 + F.col("l_linenumber"), F.col("l_suppkey") % 50 + 9).alias("box"))
     sides = [F.col(f"{side}.l_{c}").alias(f"{side}_{c}") for side in "ab" for c in ("orderkey", "linenumber", "partkey")]
-    return tracks.overlapping(boxes, "frame", "id", 0.3).select("frame", *sides, F.bround("iou", 6).alias("iou"))
+    return tracks.overlapping(boxes, "frame", "id", 0.3, digits=6).select("frame", *sides, "iou")
 
 
 @query(f"SELECT count(*) AS pixels, count(DISTINCT frame) AS frames, round_even(avg(f), 6) AS mean_fraction, round_even(max(f), 6) AS max_fraction FROM (SELECT frame, avg(CASE WHEN cls >= 5 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY frame) AS f FROM {_PIX})")
