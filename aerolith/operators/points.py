@@ -137,11 +137,12 @@ def outside_boxes(points: DataFrame, boxes: list[tuple[float, ...]], classes: li
 def nearest_other(points: DataFrame, others: DataFrame, size: float) -> DataFrame:
     """x, y, z of the distinct places of points, with the id and the distance of the nearest of ``others`` (id, x, y, z; the lowest id on a tie).
 
-    As in ``neighbour_distance``, the radius doubles for the places that have none within it; without others there is no row. The result is written.
+    Of others at one place only the lowest id can be the nearest. As in ``neighbour_distance``, the radius doubles for the places that have none within it;
+    without others there is no row. The result is written.
     """
     with Workspace(points.sparkSession) as w:
         open_places, done, radius = w.cut(points.select(*AXES).distinct(), "places"), None, size
-        others = w.cut(others.select("id", *AXES), "others")
+        others = w.cut(others.groupBy(*AXES).agg(F.min("id").alias("id")), "others")
         if others.isEmpty():
             return points.select(*AXES).limit(0).select("*", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("d"))
         while True:

@@ -25,3 +25,23 @@ def test_boxes_at_one_place_are_compared_once(spark):
     assert sorted(map(tuple, tracks.overlapping(boxes, "frame", "id", 0.3).collect())) == want
     rounded = tracks.overlapping(boxes, "frame", "id", 0.3, size=11, digits=2)
     assert sorted(r[:3] for r in rounded.collect()) == [r[:3] for r in want] and {r["iou"] for r in rounded.collect()} == {round(r[3], 2) for r in want}
+
+
+def test_cameras_at_one_place_are_searched_once(spark, monkeypatch):
+    sizes = {}
+
+    class Counted(scratch.Workspace):
+        def cut(self, df, name):
+            out = super().cut(df, name)
+            sizes[name] = out.count()
+            return out
+
+    monkeypatch.setattr(points, "Workspace", Counted)
+    rng = random.Random(6)
+    places = [tuple(float(rng.randrange(20)) for _ in "xyz") for _ in range(12)]
+    cameras = [(k, *rng.choice(places)) for k in range(300)]
+    cloud = [tuple(float(rng.randrange(60)) for _ in "xyz") for _ in range(60)]
+    found = points.nearest_other(spark.createDataFrame(cloud, "x double, y double, z double"), spark.createDataFrame(cameras, "id long, x double, y double, z double"), 4.0)
+    want = {p: min((sum((a - b) ** 2 for a, b in zip(p, c[1:], strict=True)), c[0]) for c in cameras) for p in cloud}
+    assert {(r["x"], r["y"], r["z"]): r["id"] for r in found.collect()} == {p: k for p, (_, k) in want.items()}
+    assert sizes["others"] == len({c[1:] for c in cameras})
