@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.operators.meshes import edge_kinds, with_corners
+from aerolith.operators.patches import collapsed, pitch
 from aerolith.operators.scratch import Workspace
 
 #: Holes of this many vertices and this diameter are filled; shares of faces of the levels of detail; the fewest faces of one.
@@ -17,6 +18,9 @@ HOLE_VERTICES = (3, 24)
 HOLE_DIAMETER = 2.0
 RATIOS = (0.35, 0.10)
 FEWEST_FACES = 4
+#: The share of faces above the target that may stay, and the share of those to go that a round within patches must remove to be followed by another.
+SLACK = 0.005
+LEAST_PROGRESS = 0.1
 _AXES = ("x", "y", "z")
 
 
@@ -152,15 +156,22 @@ def _cheapest(chosen: DataFrame, most: int) -> DataFrame:
 def decimate(faces: DataFrame, vertices: DataFrame, target: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """faces (fid, i0, i1, i2, carry) and vertices with about ``target`` faces left, written; the mesh itself if it has no more.
 
-    Rounds of edge collapses to midpoints. In a round an edge collapses if it is the shortest within two rings of
-    its ends, so that collapses don't meet and no edge gets a third face; each round is a fixed number of joins by vertex or edge. It ends
+    Rounds of edge collapses to midpoints. First every patch of a shifting grid takes its share of the shortest edges inside it, each round
+    one shuffle. What is left when patches get no further goes by joins by vertex or edge: in a round an edge collapses if it is the shortest
+    within two rings of its ends, so that collapses don't meet and no edge gets a third face. It ends
     early if no edge may collapse. A face keeps its fid and what is carried; one with a missing vertex goes.
     """
     with Workspace(faces.sparkSession) as w:
         placed = with_corners(faces.select("fid", "i0", "i1", "i2", *carry), vertices)
         placed = w.cut(placed, "faces")
         count = placed.count()
-        while count > target >= FEWEST_FACES:
+        size, turn = pitch(placed) if count > target >= FEWEST_FACES else None, 0
+        while size and count > target * (1 + SLACK):
+            placed = w.cut(collapsed(placed, target, count, size, turn), "faces")
+            before, count, turn = count, placed.count(), turn + 1
+            if before - count < (before - target) * LEAST_PROGRESS:
+                break
+        while count > target * (1 + SLACK) and target >= FEWEST_FACES:
             with Workspace(faces.sparkSession) as v:
                 good, links = _collapsible(placed, v)
                 chosen = _cheapest(_independent(good, links, v), max(1, (count - target + 1) // 2))

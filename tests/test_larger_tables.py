@@ -3,9 +3,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
-from aerolith.operators import points, scratch, tracks
+from aerolith.operators import patches, points, scratch, surfaces, tracks
+from aerolith.operators.meshes import with_corners
+from tests.test_surfaces import FACE, VERTEX, edge_counts, euler, grid
 
 
 def iou(p, q):
@@ -45,3 +45,27 @@ def test_cameras_at_one_place_are_searched_once(spark, monkeypatch):
     want = {p: min((sum((a - b) ** 2 for a, b in zip(p, c[1:], strict=True)), c[0]) for c in cameras) for p in cloud}
     assert {(r["x"], r["y"], r["z"]): r["id"] for r in found.collect()} == {p: k for p, (_, k) in want.items()}
     assert sizes["others"] == len({c[1:] for c in cameras})
+
+
+def test_patches_share_the_work_of_a_mesh(spark, monkeypatch):
+    rng = random.Random(8)
+    faces, vertices = grid(40, 60, {(rng.randrange(40), rng.randrange(60)) for _ in range(60)})
+    rounds = []
+    monkeypatch.setattr(surfaces, "pitch", lambda placed: rounds.append(patches.pitch(placed, 900)) or rounds[-1])
+    monkeypatch.setattr(surfaces, "_collapsible", lambda *a: pytest.fail("patches got no further"))
+    seen = []
+    monkeypatch.setattr(surfaces, "collapsed", lambda *a: seen.append(patches.collapsed(*a)) or seen[-1])
+    f, v = spark.createDataFrame(faces, FACE).selectExpr("*", "fid % 7 AS cls"), spark.createDataFrame(vertices, VERTEX)
+    target = len(faces) // 5
+    small, corners = surfaces.decimate(f, v, target, ("cls",))
+    rows = [tuple(r) for r in small.collect()]
+    assert abs(len(rows) - target) <= 0.03 * target and 2 <= len(seen) <= 8
+    assert rounds[0] < 30 and len({r["fid"] for r in small.collect()}) == len(rows)
+    assert set(edge_counts([r[:4] for r in rows]).values()) <= {1, 2} and euler([r[:4] for r in rows]) == euler(faces)
+    assert all(r[4] == r[0] % 7 for r in rows) and {r["vid"] for r in corners.collect()} == {i for r in rows for i in r[1:4]}
+
+
+def test_a_mesh_at_one_place_has_no_patches(spark):
+    f = spark.createDataFrame([(k, k, k + 1, k + 2) for k in range(6)], FACE)
+    v = spark.createDataFrame([(k, 1.0, 2.0, 3.0) for k in range(8)], VERTEX)
+    assert patches.pitch(with_corners(f, v)) is None
