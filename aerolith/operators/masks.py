@@ -16,6 +16,7 @@ PALETTE = ((128, 128, 128), (230, 25, 75), (60, 60, 60), (245, 130, 48), (60, 18
 SPECIES_CONFIDENCE = 0.70
 LEAST_AREA = 25
 LEAST_STATIC = 100
+_CORNERS = ("x0", "y0", "x1", "y1")
 
 
 def combined(semantic: DataFrame, dynamic: DataFrame) -> DataFrame:
@@ -58,16 +59,29 @@ def _covered(boxes: DataFrame, height: int, width: int) -> DataFrame:
     """A row for each pixel of each box: at most the image for a box, and joins with pixels are on equal places."""
     boxes = _clamped(boxes, height, width)
     rows = boxes.withColumn("v", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("u", F.explode(F.sequence("x0", F.col("x1") - 1)))
-    return rows.drop("x0", "y0", "x1", "y1")
+    return rows.drop(*_CORNERS)
+
+
+def _objects(boxes: DataFrame) -> DataFrame:
+    """frame, object and the distinct shapes (x0, y0, x1, y1, cls) of the objects: their (frame, position) where several rows share it, else the shape itself.
+
+    Objects of one shape see the same, so that a frame has as many of them as there are shapes, however many boxes.
+    """
+    kind = [*_CORNERS, "cls"]
+    found = boxes.groupBy("frame", "position").agg(F.count(F.lit(1)).alias("rows"), *[F.min(c).alias(c) for c in kind])
+    none = [F.lit(None).cast(boxes.schema[c].dataType).alias(c) for c in ("position", *kind)]
+    lone = found.filter("rows = 1 and position is not null").select("frame", *kind).distinct().select("frame", F.struct(none[0], *kind).alias("object"), *kind)
+    several = boxes.join(found.filter("rows > 1").select("frame", "position"), ["frame", "position"])
+    return lone.unionByName(several.select("frame", F.struct("position", *none[1:]).alias("object"), *kind).distinct())
 
 
 def object_pixels(boxes: DataFrame, pixels: DataFrame, height: int, width: int) -> DataFrame:
     """frame, v, u of the moving objects: in each box the pixels of the object's class, all pixels of the box if there is none."""
-    area = _covered(boxes, height, width)
+    area = _covered(_objects(_clamped(boxes, height, width)), height, width)
     seen = pixels.select("frame", "v", "u", F.col("cls").alias("seen"))
     area = area.join(seen, ["frame", "v", "u"], "left").withColumn("own", F.coalesce(F.col("seen") == F.col("cls"), F.lit(False)))
-    any_own = area.groupBy("frame", "position").agg(F.bool_or("own").alias("some"))
-    return area.join(any_own, ["frame", "position"]).filter(F.col("own") | ~F.col("some")).select("frame", "v", "u").distinct()
+    any_own = area.groupBy("frame", "object").agg(F.bool_or("own").alias("some"))
+    return area.join(any_own, ["frame", "object"]).filter(F.col("own") | ~F.col("some")).select("frame", "v", "u").distinct()
 
 
 def detection_class(category: Column, species: Column, confidence: Column) -> Column:

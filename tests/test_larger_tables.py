@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from aerolith.operators import patches, points, scratch, surfaces, tracks
+from aerolith.operators import masks, patches, points, scratch, surfaces, tracks
 from aerolith.operators.meshes import with_corners
 from tests.test_surfaces import FACE, VERTEX, edge_counts, euler, grid
 
@@ -69,3 +69,21 @@ def test_a_mesh_at_one_place_has_no_patches(spark):
     f = spark.createDataFrame([(k, k, k + 1, k + 2) for k in range(6)], FACE)
     v = spark.createDataFrame([(k, 1.0, 2.0, 3.0) for k in range(8)], VERTEX)
     assert patches.pitch(with_corners(f, v)) is None
+
+
+def test_alike_boxes_are_unfolded_once(spark):
+    rng = random.Random(9)
+    pixels = [(f, v, u, rng.randint(1, 4)) for f in range(2) for v in range(9) for u in range(9) if rng.random() < 0.8]
+    boxes = [(k % 2, k, x := rng.randrange(-2, 6, 3), y := rng.randrange(-2, 6, 3), x + 3, y + 2, rng.randint(1, 6)) for k in range(600)]
+    boxes += [(0, 4000, 0, 0, 2, 2, 9), (0, 4000, 6, 6, 9, 9, 4), (1, 4000, 0, 0, 2, 2, 9), (1, 4000, 0, 0, 2, 2, 9)]
+    grouped = {}
+    for f, k, x0, y0, x1, y1, cls in boxes:
+        x0, y0 = max(0, x0), max(0, y0)
+        inside = {(f, v, u) for v in range(y0, max(y0 + 1, min(9, y1))) for u in range(x0, max(x0 + 1, min(9, x1)))}
+        own, whole = grouped.setdefault((f, k), (set(), set()))
+        own.update(p for p in inside if (*p, cls) in pixels)
+        whole.update(inside)
+    b = spark.createDataFrame(boxes, "frame long, position long, x0 int, y0 int, x1 int, y1 int, cls int")
+    got = masks.object_pixels(b, spark.createDataFrame(pixels, "frame long, v long, u long, cls int"), 9, 9)
+    assert {tuple(r) for r in got.collect()} == {p for own, whole in grouped.values() for p in own or whole}
+    assert masks._objects(b).count() == len({(x[0], *x[2:]) for x in boxes[:600]}) + 3
