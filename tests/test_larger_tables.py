@@ -3,10 +3,15 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from aerolith.operators import masks, patches, points, scratch, surfaces, tracks
 from aerolith.operators.meshes import with_corners
+from aerolith.plans import scenes, views
 from tests.test_surfaces import FACE, VERTEX, edge_counts, euler, grid
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def iou(p, q):
     w, h = max(0, min(p[2], q[2]) - max(p[0], q[0])), max(0, min(p[3], q[3]) - max(p[1], q[1]))
@@ -87,3 +92,22 @@ def test_alike_boxes_are_unfolded_once(spark):
     got = masks.object_pixels(b, spark.createDataFrame(pixels, "frame long, v long, u long, cls int"), 9, 9)
     assert {tuple(r) for r in got.collect()} == {p for own, whole in grouped.values() for p in own or whole}
     assert masks._objects(b).count() == len({(x[0], *x[2:]) for x in boxes[:600]}) + 3
+
+
+@pytest.fixture(scope="module")
+def many_orders(spark, tmp_path_factory):
+    """The smallest tables with orders, parts and suppliers numbered as in 6 GB."""
+    d = str(tmp_path_factory.mktemp("many"))
+    spark.read.parquet(f"{SMALL}/part.parquet").write.parquet(f"{d}/part.parquet")
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    lines.withColumns({"l_orderkey": F.col("l_orderkey") + 53_999_700, "l_partkey": F.col("l_partkey") + 7_199_700, "l_suppkey": F.col("l_suppkey") + 359_700}).write.parquet(f"{d}/lineitem.parquet")
+    return d
+
+
+def test_faces_of_very_many_orders(spark, many_orders):
+    base, far = ({(r["i0"], r["i1"], r["i2"], r["fid"]) for r in views.view(spark, d, "faces").collect()} for d in (SMALL, many_orders))
+    more = ((53_999_700 * 8 * 1_000_000 + 7_199_700) * 10_000 + 359_700) * 4
+    assert far == {(i0, i1, i2, fid + more - 2**64) for i0, i1, i2, fid in base}  # all numbers were shifted by a multiple of 300
+    small, large = (sorted(tuple(r)[1:] for r in scenes.view_selection(spark, d).fillna(-1).orderBy("fid").collect()) for d in (SMALL, many_orders))
+    assert small == large
+    assert sorted(scenes.view_utilisation(spark, SMALL).collect()) == sorted(scenes.view_utilisation(spark, many_orders).collect())
